@@ -1 +1 @@
-
+"""Column functions: normalisers, urls, hashes, similarity and scoring."""

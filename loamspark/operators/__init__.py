@@ -1 +1 @@
-
+"""Dataflow operators over DataFrames."""

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-QUERIES: dict[str, Callable] = {}
-SQL: dict[str, str] = {}
+from . import changes, chat, facts, graph, relational, texts, web  # noqa: F401  (they register)
+from .registry import QUERIES, SQL
 
 
 def queries() -> dict[str, Callable]:
