@@ -69,7 +69,8 @@ def routed(blocks: DataFrame) -> DataFrame:
     body = ~F.col("type").isin("heading", "faq_question")
     listed = F.col("type").isin(*K.STRUCTURED)
     first_type = F.min(F.struct("ordinal", "page_type")).over(page)["page_type"]
-    blocked = F.reduce(F.array(*(T.matches(F.col("url"), dict(K.LANES)[x]) for x in ("legal", "editorial", "proof"))), F.lit(False), lambda a, b: a | b)
+    lanes = dict(K.LANES)
+    blocked = T.matches(F.col("url"), lanes["legal"]) | T.matches(F.col("url"), lanes["editorial"]) | T.matches(F.col("url"), lanes["proof"])
     priced = F.count_if(body & T.matches(F.col("text"), K.PRICE)).over(page) > 0
     catalog = F.count_if(body & listed).over(page) > F.count_if(body & ~listed).over(page)
     promoted = (first_type == "other") & ~blocked & (priced | catalog)
@@ -118,25 +119,34 @@ def item_name(category: Column, value: Column) -> Column:
     return out
 
 
-def topic_key(category: Column, value: Column, heading: Column, suggested: Column) -> Column:
-    """Namespace:identity; FAQ by question, shared aliases, then names, heading or the suggestion."""
-    evidence = F.concat_ws(" ", F.coalesce(heading, F.lit("")), value)
+def with_topic_key(facts: DataFrame, suggested: Column) -> DataFrame:
+    """topic_key of facts (category, value, heading): FAQ by question, shared aliases, then names.
+
+    Each step is a column of its own, so that an expression used twice is computed once.
+    """
+    category, value, heading = F.col("category"), F.col("value"), F.col("heading")
+    evidence = F.col("_evidence")
     spaces = F.create_map(*(F.lit(x) for kv in K.TOPIC_SPACES.items() for x in kv))
-    space = F.coalesce(F.element_at(spaces, category), category)
-    explicit, offered = item_name(category, value), _name(suggested)
-    title = F.when(~T.matches(T.clean(heading), K.GENERIC_HEADINGS), F.nullif(T.clean(heading), F.lit("")))
     contact = F.when(T.matches(evidence, r"\bsupport\b"), "support").when(T.matches(evidence, r"\bsales\b"), "sales")
     contact = F.coalesce(contact, *(F.nullif(F.regexp_extract(evidence, T.ascii_words(p, True), 0), F.lit("")) for p in (K.EMAIL, K.PHONE)))
-    name = F.when(category == "policy", _group(evidence, K.POLICY_NAME)).when(category == "contact_information", contact)
-    name = name.when(category == "integration", _group(value, r"\b(?:with|to|for)\s+(.+?)(?:[.!]|$)"))
+    title = F.when(~T.matches(F.col("_title"), K.GENERIC_HEADINGS), F.nullif(F.col("_title"), F.lit("")))
     items = ("product", "service", "industry_served", "location_service_area", "primary_use_case")
-    name = name.when(category.isin(*items), F.when(explicit.isNotNull() & ~T.matches(explicit, K.BARE_ITEM), explicit).otherwise(title))
-    name = F.when(category == "pricing_plan", F.coalesce(explicit, offered)).otherwise(F.coalesce(name, explicit, offered))
-    identity = T.slug(F.coalesce(name, value))
-    out = F.when(category == "faq", F.concat(F.lit("faq:"), T.slug(F.coalesce(F.nullif(suggested, F.lit("")), value))))
-    for own, alias, pattern in K.TOPIC_ALIASES:
-        out = out.when((category == own) & T.matches(evidence, pattern), f"{own}:{alias}")
-    return out.otherwise(F.concat(space, F.lit(":"), F.when(identity == "", "unknown").otherwise(identity)))
+    own = F.when(category == "policy", _group(evidence, K.POLICY_NAME)).when(category == "contact_information", contact)
+    own = own.when(category == "integration", _group(value, r"\b(?:with|to|for)\s+(.+?)(?:[.!]|$)"))
+    own = own.when(category.isin(*items), F.when(F.col("_item").isNotNull() & ~T.matches(F.col("_item"), K.BARE_ITEM), F.col("_item")).otherwise(title))
+    own = own.when(category == "pricing_plan", F.col("_item"))
+    alias = F.lit(None).cast("string")
+    for name, identity, pattern in reversed(K.TOPIC_ALIASES):
+        alias = F.when((category == name) & T.matches(evidence, pattern), f"{name}:{identity}").otherwise(alias)
+    rest = F.concat(F.coalesce(F.element_at(spaces, category), category), F.lit(":"), F.when(F.col("_identity") == "", "unknown").otherwise(F.col("_identity")))
+    question = F.concat(F.lit("faq:"), T.slug(F.coalesce(F.nullif(suggested, F.lit("")), value)))
+    return (
+        facts.withColumns({"_evidence": F.concat_ws(" ", F.coalesce(heading, F.lit("")), value), "_title": T.clean(heading), "_item": item_name(category, value), "_offered": _name(suggested)})
+        .withColumn("_own", own)
+        .withColumn("_identity", T.slug(F.coalesce("_own", "_item", "_offered", value)))
+        .withColumn("topic_key", F.when(category == "faq", question).otherwise(F.coalesce(alias, rest)))
+        .drop("_evidence", "_title", "_item", "_offered", "_own", "_identity")
+    )
 
 
 def _entity(value: Column) -> Column:
@@ -144,7 +154,7 @@ def _entity(value: Column) -> Column:
 
 
 def expansions(category: Column, sentence: Column) -> Column:
-    """The items of an enumeration, if there is more than one; else an empty array."""
+    """The items of an enumeration in a sentence, by the category's wording."""
     def listed(lead: str) -> Column:
         found = F.regexp_extract(sentence, T.ascii_words(rf"\b(?:{lead})\s+(.+?)(?:[.!]|$)", True), 1)
         return F.filter(F.transform(F.split(found, T.ascii_words(r"\s*(?:,|\band\b|\bor\b)\s*", True)), _entity), lambda x: x != "")
@@ -162,8 +172,13 @@ def expansions(category: Column, sentence: Column) -> Column:
     found = found.when(category == "service", F.filter(services, lambda x: x.rlike(work)))
     found = found.when(category == "product", F.filter(listed("our products? include|we (?:offer|sell)|products?:"), lambda x: x.rlike(tool)))
     found = found.when(category == "location_service_area", F.filter(listed("(?:offices? (?:are )?(?:located )?in)|(?:we )?serve|available (?:in|throughout)|serving"), lambda x: x.rlike(K.BARE_PLACE)))
-    found = F.filter(F.transform(F.coalesce(found, F.array().cast("array<string>")), _entity), lambda x: T.key_text(x) != "")
-    first = F.filter(found, lambda x, i: F.array_position(F.transform(found, T.key_text), T.key_text(x)) == i + 1)
+    return F.filter(F.transform(F.coalesce(found, F.array().cast("array<string>")), _entity), lambda x: T.key_text(x) != "")
+
+
+def several(found: Column) -> Column:
+    """The items without repeats (by key text), if there were several; else an empty array."""
+    keys = F.transform(found, T.key_text)
+    first = F.filter(found, lambda x, i: F.array_position(keys, T.key_text(x)) == i + 1)
     return F.when(F.size(found) > 1, first).otherwise(F.array().cast("array<string>"))
 
 
@@ -173,14 +188,15 @@ def extract(blocks: DataFrame) -> DataFrame:
     context = F.concat_ws(" ", F.coalesce("heading", F.lit("")), F.when(F.col("previous_type") == "heading", F.col("previous_text")).otherwise(""))
     said = body.withColumn("context", context).withColumn("sentence", F.explode(T.sentences(F.col("text"))))
     hits = said.withColumn("hit", F.explode(rule_hits(F.col("sentence"), F.col("page_type"), F.col("context"))))
-    hits = hits.withColumn("items", expansions(F.col("hit.category"), F.col("sentence")))
+    hits = hits.withColumn("category", F.col("hit.category"))
+    hits = hits.withColumn("found", expansions(F.col("category"), F.col("sentence"))).withColumn("items", several(F.col("found")))
     each = hits.withColumn("value", F.explode(F.when(F.size("items") > 0, F.col("items")).otherwise(F.array("sentence"))))
-    category, value = F.col("hit.category"), F.col("value")
+    category, value = F.col("category"), F.col("value")
     good = (F.length("heading") >= 3) & ~T.matches(F.col("heading"), K.GENERIC_TITLE)
-    facts = each.withColumn("topic_key", topic_key(category, value, F.col("heading"), value))
+    facts = with_topic_key(each, value)
     fact_id = T.stable_id("det_fact", F.concat_ws("\x00", "topic_key", T.key_text(value), F.lit("website")))
     evidence = F.struct("url", "page_id", "ordinal", F.col("sentence").alias("excerpt"), "heading", "page_type", "structured")
-    return facts.select("site", fact_id.alias("fact_id"), category.alias("category"), F.when(good, F.col("heading")).otherwise(F.col("hit.rule_title")).alias("title"), "value", "topic_key", F.lit("website").alias("provenance"), F.lit(True).alias("explicit"), evidence.alias("evidence"))
+    return facts.select("site", fact_id.alias("fact_id"), "category", F.when(good, F.col("heading")).otherwise(F.col("hit.rule_title")).alias("title"), "value", "topic_key", F.lit("website").alias("provenance"), F.lit(True).alias("explicit"), evidence.alias("evidence"))
 
 
 def is_proof(category: Column, title: Column, value: Column) -> Column:

@@ -38,12 +38,12 @@ def w9_next_sequence(t: Tables) -> DataFrame:
 
 
 @query("""SELECT event_id, user_id, event_type, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS attempt_number,
-                 greatest(0, epoch_ms(lead(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id)) - epoch_ms(ts)) AS duration_ms FROM events""")
+                 coalesce(greatest(0, epoch_us(lead(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id)) - epoch_us(ts)), 0) // 1000 AS duration_ms FROM events""")
 def k7_telemetry_attempts(t: Tables) -> DataFrame:
     w = W.partitionBy("user_id", "event_type").orderBy("ts", "event_id")
-    milli = lambda c: F.unix_millis(c.cast("timestamp"))
-    ms = F.greatest(F.lit(0), milli(F.lead("ts").over(w)) - milli(F.col("ts")))
-    gap = F.when(F.lead("ts").over(w).isNotNull(), ms).otherwise(F.lit(0))
+    micro = lambda c: F.unix_micros(c.cast("timestamp"))
+    us = F.greatest(F.lit(0), micro(F.lead("ts").over(w)) - micro(F.col("ts")))
+    gap = F.floor(F.when(F.lead("ts").over(w).isNotNull(), us).otherwise(F.lit(0)) / 1000)
     return t.events.select("event_id", "user_id", "event_type", F.row_number().over(w).cast("long").alias("attempt_number"), gap.alias("duration_ms"))
 
 
