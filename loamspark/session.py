@@ -7,7 +7,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: What a session of this library sets; a cluster's own settings for sizes stay as they are.
 SETTINGS = {
@@ -36,3 +36,15 @@ def ship(spark: SparkSession, root: str) -> None:
             z.write(p, p.relative_to(root))
     spark.sparkContext.addPyFile(str(path))
     spark.sparkContext._loamspark = True
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` with its lineage cut by a checkpoint in the folder that all executors share.
+
+    The session's spark.checkpoint.dir names it; where it is unset (tests on one machine) a
+    temporary folder is used.
+    """
+    context = df.sparkSession.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="loamspark-"))
+    return df.checkpoint()
