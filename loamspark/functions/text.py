@@ -92,6 +92,17 @@ def tokens(text: Column, least: int = 1) -> Column:
     return F.array_distinct(F.filter(words, lambda w: F.length(w) >= least))
 
 
+def grams(text: Column, most: int) -> Column:
+    """Distinct stretches of one to ``most`` characters of a text."""
+
+    def of(n: int) -> Column:
+        places = F.sequence(F.lit(1), F.length(text) - n + 1)
+        cuts = F.when(F.length(text) >= n, F.transform(places, lambda i: F.substring(text, i, F.lit(n))))
+        return F.coalesce(cuts, F.array().cast("array<string>"))
+
+    return F.array_distinct(F.concat(*map(of, range(1, most + 1))))
+
+
 def overlap(a: Column, b: Column) -> Column:
     """Overlap coefficient of two sets: common elements over the smaller size, 0 if one is empty."""
     least = F.least(F.size(a), F.size(b))
