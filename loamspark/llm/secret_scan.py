@@ -9,7 +9,8 @@ on ordinary identifiers, and is a secret if the log-likelihood ratio passes ``th
 
 Training samples are labelled rows. By default the random ones are the values that the base
 patterns found in the corpus and ``synthetic`` digests in base64, hex and base32-like letters;
-the ordinary ones are all candidate runs without a digit outside base spans. Transition counts are
+the ordinary ones are all candidate runs without a digit outside base spans and ``synthetic``
+decimal numbers (order, card and phone numbers are no secrets). Transition counts are
 taken over all of them; only the table of counts, at most the square of the alphabet, reaches
 the driver.
 
@@ -47,7 +48,7 @@ SPANS = "array<struct<start:int,kind:int,end:int>>"
 @dataclass(frozen=True)
 class Params:
     threshold: float = 9.0  #: log-likelihood ratio of a secret, about ln(8000) for the prior odds
-    synthetic: int = 4000  #: digests of each of three alphabets added to the random samples
+    synthetic: int = 4000  #: digests of each of three alphabets, and decimal numbers, added to the samples
     smooth: float = 0.5  #: added to every transition count
 
 
@@ -121,7 +122,9 @@ def default_samples(spark: SparkSession, read: DataFrame, params: Params = Param
     digit = F.col("run").rlike("[0-9]")
     values = read.select(F.explode("values").alias("run")).where(digit & (F.length("run") >= 16)).withColumn("random", F.lit(True))
     ordinary = read.select(F.explode("runs.text").alias("run")).where(~digit).withColumn("random", F.lit(False))
-    return made.union(values).union(ordinary)
+    number = F.lpad(F.pmod(F.xxhash64("id"), F.lit(10**16)).cast("string"), 16, "7")
+    numbers = spark.range(params.synthetic).select(number.alias("run"), F.lit(False).alias("random"))
+    return made.union(values).union(ordinary).union(numbers)
 
 
 def _read(docs: DataFrame) -> DataFrame:
