@@ -7,8 +7,8 @@ pages and hold enough tokens are valid, and those that lie inside one gap of ano
 in it; a class that fits in no such way is dropped. Together they are the host's template: its
 tags bound the slots, its text nodes are boilerplate. Slots in menus, headers, footers, sidebars,
 notices, adverts, forms, scripts, styles and comments are not extracted. Of the others the main
-slots are the template's ``article`` and ``main`` elements, or else its innermost element that
-holds most of the host's remaining text.
+slots are the template's ``article`` and ``main`` elements (its leads), or else its innermost
+element that holds most of the host's remaining text, without the blocks that are the template's.
 
 Vectors are never gathered: a token's vector is told by a sum over its pages of count times a
 64-bit hash of the page, which tasks add up before the shuffle and Spark after it. So a host with
@@ -152,17 +152,30 @@ def page(html: str) -> tuple[list[int], list[Piece], set[int]]:
     return tags, out, leads
 
 
+def _varied(nodes: list[Piece], template: dict[int, str]) -> list[Piece]:
+    """The nodes of all blocks but those that are wholly the template's."""
+    blocks: list[list[Piece]] = []
+    for x in nodes:
+        if x.breaks or not blocks:
+            blocks.append([])
+        blocks[-1].append(x)
+    return [x for b in blocks if any(y.key not in template for y in b) for x in b]
+
+
 def extract(html: str, template: dict[int, str] | None = None) -> str:
-    """The main text of a page; ``template`` has the keys of the host's template, main slots as "main"."""
+    """The main text of a page; ``template`` has the keys of the host's template with their roles."""
     _, nodes, _ = page(html)
     free = [x for x in nodes if not x.out]
-    main = {k for k, role in (template or {}).items() if role == "main"}
-    if any(main.intersection(x.within) for x in free):
-        free = [x for x in free if main.intersection(x.within)]
+    lead, main = ({k for k, role in (template or {}).items() if role == name} for name in ("lead", "main"))
+    if any(lead.intersection(x.within) for x in free):
+        free = [x for x in free if lead.intersection(x.within)]
     elif any(x.article for x in free):
         free = [x for x in free if x.article]
+    elif any(main.intersection(x.within) for x in free):
+        free = [x for x in free if main.intersection(x.within)]
+        free = _varied(free, template) or free
     elif template:
-        free = [x for x in free if x.key not in template]
+        free = _varied(free, template)
     return " ".join("".join((" " if x.breaks else "") + x.text for x in free).split())
 
 
@@ -217,7 +230,7 @@ def occurrences(pages: DataFrame) -> DataFrame:
 
 
 def templates(spark: SparkSession, pages: DataFrame, params: Params, scratch: Scratch) -> DataFrame:
-    """host, token and role ("main", "tag" or "text") of the tokens of valid classes."""
+    """host, token and role ("lead", "main", "tag" or "text") of the tokens of valid classes."""
     found = scratch.keep(occurrences(pages), "occurrences")
     hosts = found.where("kind = 2").select("host", F.col("pages").alias("host_pages"), F.col("chars").alias("host_chars"))
     often = found.where(f"kind <> 2 and pages >= {params.pages}").join(hosts, "host")
@@ -242,8 +255,8 @@ def templates(spark: SparkSession, pages: DataFrame, params: Params, scratch: Sc
             rows += [(t["token"], "text" if t["kind"] == 1 else "tag") for t in own]
             leads += [t["token"] for t in own if t["kind"] == 3 and t["chars"] >= params.article * most > 0]
             elements += [(t["at"], t["token"]) for t in own if t["kind"] == 0 and t["chars"] >= params.main * most > 0]
-        main = {*leads} or {t for _, t in sorted(elements)[-1:]}
-        return pd.DataFrame([(b["host"].iloc[0], t, "main" if t in main else role) for t, role in rows], columns=["host", "token", "role"])
+        main = {} if leads else {t for _, t in sorted(elements)[-1:]}
+        return pd.DataFrame([(b["host"].iloc[0], t, "lead" if t in leads else "main" if t in main else role) for t, role in rows], columns=["host", "token", "role"])
 
     return scratch.keep(classes.groupBy("host").applyInPandas(lambda b: nest(b.sort_values("pages", ascending=False)), "host string, token long, role string"), "templates")
 
