@@ -14,7 +14,7 @@ Rules come first: a rule fits its host and all subdomains of it if the url's pat
 rule's path; the longest rule wins.
 
 Defined results: a null url, or one without ``://``, has an empty host and path, fits no rule and
-is allowed. Repeated rows are judged alike. Urls are read whole. An empty table gives an empty
+is allowed. Null and empty keys list nothing. Repeated rows are judged alike. Urls are read whole. An empty table gives an empty
 result; extra columns are ignored.
 """
 
@@ -156,7 +156,7 @@ def judge(spark: SparkSession, pages: DataFrame, listed: DataFrame, rules: dict[
     rows = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     hosts = rows.select("host").distinct()
     universe = hosts.select(F.explode(keys_of(F.col("host"))).alias("key")).distinct()
-    listed = listed.select("key").distinct()
+    listed = listed.select("key").where("key <> ''").distinct()
     levels = cascade(spark, universe, listed, params)
     if levels is None:  # beyond what may be broadcast
         bad = hosts.select("host", F.explode(keys_of(F.col("host"))).alias("key")).join(listed, "key", "left_semi").select("host").distinct()
