@@ -10,9 +10,11 @@ Each document gets ``bands * rows`` consistent weighted samples (r and c from Ga
 uniform; the least ln a of each sample identifies its shingle and quantised weight). Documents
 whose samples agree in a whole band share a bucket. In each bucket one pivot, the member with
 the most neighbours over all bands, is compared with the others by exact weighted Jaccard
-similarity. Members that fail are compared again in buckets with a longer key, with one of them
-as pivot, until none is left; no pair list of a whole bucket is ever made. Links of at least
-``threshold`` give the classes, found by repeated contraction to the least neighbour.
+similarity; members that fail get a pivot of their own, ``turns`` times. Then all pairs of a
+bucket that are not yet in one class are compared, but those whose total weights alone rule a
+link out. So two documents that share a bucket and are similar are always in one class. Large
+buckets are cut into parts whose pairs are cells of their own. Links of at least ``threshold``
+give the classes, found by repeated contraction to the least neighbour.
 
 Exact copies are one text with many ids; only one of them is sampled and compared.
 
@@ -47,6 +49,8 @@ class Params:
     bands: int = 12
     rows: int = 4
     idf_bits: int = 16
+    turns: int = 3  #: of pivots, before the remaining pairs of a bucket are compared
+    part: int = 256  #: members of a part of a large bucket, about
     seed: int = 11
 
 
@@ -189,6 +193,11 @@ def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
 
 
+@F.pandas_udf(T.DoubleType())
+def weight(packed: pd.Series) -> pd.Series:
+    return pd.Series([float(np.frombuffer(v, np.float32, len(v) // 8, len(v) // 2).sum()) for v in packed], dtype=float)
+
+
 # --- links and classes -------------------------------------------------------------------
 
 
@@ -198,34 +207,48 @@ def links(spark: SparkSession, docs: DataFrame, unique: DataFrame, idf: Broadcas
     shared = spread.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     member = scratch.keep(spread.join(shared, "key"), "member")
     centre = member.groupBy("doc_id").agg(F.sum("n").alias("near"))
-    state = scratch.keep(member.join(centre, "doc_id").select("key", "band", "doc_id", "near", F.lit(True).alias("open")), "state")
+    state = scratch.keep(member.join(centre, "doc_id").select("key", "doc_id", "near"), "state")
     vectors = scratch.keep(vectors_of(docs.join(centre.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), idf, p), "vectors")
     tested = spark.createDataFrame([], "a long, b long, linked boolean")
-    for turn in range(p.bands):
-        # The pivot of a bucket: of its open members the one with the most neighbours, the least id of several.
-        rank = F.struct("open", "near", (-F.col("doc_id")).alias("least"))
-        pivot = state.groupBy("key").agg(F.max(rank).alias("top"), F.count("*").alias("n"))
-        pivot = pivot.where("n > 1 and top.open").select("key", (-F.col("top.least")).alias("pivot"))
-        met = scratch.keep(state.join(pivot, "key"), "met")
-        pairs = met.where("doc_id <> pivot").select(F.least("doc_id", "pivot").alias("a"), F.greatest("doc_id", "pivot").alias("b")).distinct()
-        fresh = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
+
+    def compare(pairs: DataFrame) -> DataFrame:
         one = vectors.select(F.col("doc_id").alias("a"), F.col("packed").alias("va"))
         two = vectors.select(F.col("doc_id").alias("b"), F.col("packed").alias("vb"))
-        compared = fresh.join(two, "b").join(one, "a").select("a", "b", (similarity("va", "vb") >= p.threshold).alias("linked"))
-        compared = scratch.keep(compared, "tested")
-        tested = tested.union(compared)
-        # What failed stays open and meets again under a longer key; so do the members it may belong to.
-        asked = met.withColumns({"a": F.least("doc_id", "pivot"), "b": F.greatest("doc_id", "pivot")})
-        asked = asked.join(tested, ["a", "b"], "left").withColumn("open", F.col("open") & (F.col("linked") == False) & (F.col("doc_id") != F.col("pivot")))  # noqa: E712
-        asked = asked.withColumn("open", F.coalesce("open", F.lit(False)))
-        asked = scratch.keep(asked.select("key", "band", "doc_id", "near", "open"), "asked")
-        left = asked.groupBy("key").agg(F.max("open").alias("left")).where("left").select("key")
-        again = asked.join(left, "key").join(unique, "doc_id")
-        longer = F.xxhash64("key", F.element_at("keys", (F.pmod(F.col("band") + turn + 1, F.lit(p.bands)) + 1).cast("int")))
-        state = scratch.keep(again.select(longer.alias("key"), "band", "doc_id", "near", "open"), "state")
+        return scratch.keep(pairs.join(two, "b").join(one, "a").select("a", "b", (similarity("va", "vb") >= p.threshold).alias("linked")), "tested")
+
+    for _ in range(p.turns):
+        # The pivot of a bucket: the open member with the most neighbours, the least id of several.
+        pivot = state.groupBy("key").agg(F.max(F.struct("near", (-F.col("doc_id")).alias("least"))).alias("top"), F.count("*").alias("n"))
+        pivot = pivot.where("n > 1").select("key", (-F.col("top.least")).alias("pivot"))
+        met = state.join(pivot, "key").where("doc_id <> pivot").withColumns({"a": F.least("doc_id", "pivot"), "b": F.greatest("doc_id", "pivot")})
+        met = scratch.keep(met, "met")
+        tested = tested.union(compare(met.select("a", "b").distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")))
+        # What failed stays open and gets another pivot under its own key.
+        state = scratch.keep(met.join(tested.where("not linked"), ["a", "b"]).select("key", "doc_id", "near"), "state")
         if state.isEmpty():
             break
-    return tested.where("linked").select("a", "b")
+    # Pivots only join what is easily joined; all other pairs of a bucket follow, but those of one class.
+    joined = components(tested.where("linked").select("a", "b"), scratch).withColumnRenamed("class_id", "own")
+    placed = member.join(joined, "doc_id", "left").withColumn("own", F.coalesce("own", "doc_id"))
+    placed = scratch.keep(placed, "placed")
+    mixed = placed.groupBy("key").agg(F.min("own").alias("low"), F.max("own").alias("high")).where("low <> high").select("key")
+    size = vectors.select("doc_id", weight("packed").alias("weight"))
+    rest = placed.join(mixed, "key").join(size, "doc_id").join(unique, "doc_id")
+    rest = scratch.keep(rest.withColumn("parts", F.ceil(F.col("n") / p.part).cast("int")), "rest")
+    # A large bucket is cut into parts; each pair of parts is a cell of its own.
+    rest = rest.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
+    cell = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
+    rest = rest.select("key", "band", "doc_id", "own", "weight", "keys", "part", cell)
+    rest = rest.withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")})
+    x, y = (rest.select("key", "i", "j", *(F.col(c).alias(c + side) for c in ("doc_id", "own", "weight", "keys", "part", "band"))) for side in "xy")
+    pairs = x.join(y, ["key", "i", "j"]).where("ownx <> owny and ((partx = party and doc_idx < doc_idy) or partx < party)")
+    # No pair of such weights can be similar enough (with a margin for rounding).
+    pairs = pairs.where(F.least("weightx", "weighty") >= (p.threshold - 1e-3) * F.greatest("weightx", "weighty"))
+    # A pair that shares several bands is made in the first of them.
+    pairs = pairs.where("array_position(transform(arrays_zip(keysx, keysy), k -> k.keysx = k.keysy), true) = bandx + 1")
+    pairs = pairs.select(F.least("doc_idx", "doc_idy").alias("a"), F.greatest("doc_idx", "doc_idy").alias("b"))
+    pairs = scratch.keep(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+    return tested.union(compare(pairs)).where("linked").select("a", "b")
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:

@@ -49,3 +49,20 @@ def test_nulls_empty_long_repeated_rows_and_clashing_columns(spark):
 def test_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert N.classes(spark, empty).collect() == [] and N.keep_one(spark, empty).collect() == []
+
+
+def test_a_pair_that_shares_one_band_with_a_pivot_unlike_both(spark):
+    base = [f"w{i}" for i in range(100)]
+    texts = [base, [*base[:-1], "x"], *([f"{c}{i}" for i in range(100)] for c in "pqr")]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    p = N.Params()
+    keys = [[1000 * i + band for band in range(p.bands)] for i in range(len(texts))]
+    for i in (0, 1, 2):
+        keys[i][0] = -1  # the only band that 0 and 1 share, with 2
+    for i in (2, 3, 4):
+        keys[i][5] = -2  # which makes 2 the pivot
+    unique = spark.createDataFrame(list(enumerate(keys)), "doc_id long, keys array<long>")
+    idf = spark.sparkContext.broadcast(N.word_idf(spark, docs, p))
+    for part in (256, 1):
+        got = N.links(spark, docs, unique, idf, N.Params(part=part, turns=1), N.Scratch(spark, "test")).collect()
+        assert [tuple(r) for r in got] == [(0, 1)]
