@@ -3,13 +3,13 @@
 Documents of a source are cut into blocks. With weight w, the j-th block of a source (from 0) is
 released at slot floor(j / w) and due by ceil((j + 1) / w); in each slot, of the released blocks,
 the one with the earliest deadline goes out. Every source is then always less than one block from
-its target share.
+its target share, however long the mixture: weights are exact fractions and are not rounded,
+unless ``slots`` asks for multiples of 1/``slots``. When a source has no further block the others
+go on with their weights in proportion, as a new phase. No document is dropped or repeated.
 
-Weights are rounded to multiples of 1/``slots``, so a schedule repeats after ``slots`` slots. Only
-that one period is computed, from the sources' weights alone; block b of a source with q blocks a
-period takes its slot from the period's table by b mod q. When a source has no further block the
-others go on with their weights in proportion; each such phase has a period of its own. No
-document is dropped or repeated.
+Deadline scheduling is sequential, so one task runs it over the numbers of blocks alone and emits
+a row for each block; its memory grows with the sources only. Documents find their slots by a
+shuffle join.
 
 Documents are numbered within their source by a hash of their id, in buckets whose number grows
 with the input, so that no task has to order a whole source.
@@ -24,10 +24,14 @@ table gives an empty result. Extra columns are ignored (or kept, by ``mixed``).
 from __future__ import annotations
 
 import heapq
-from collections.abc import Mapping
+import itertools
+import math
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass, field
 from fractions import Fraction
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -35,69 +39,75 @@ from pyspark.sql.window import Window as W
 from .common import Scratch
 
 
-#: A schedule's tables are broadcast up to so many rows of a few numbers, and joined by shuffle beyond.
-BROADCAST_ROWS = 200_000
-
-
 @dataclass(frozen=True)
 class Params:
     block: int = 8  #: documents of a block
-    slots: int = 1000  #: slots of a period; weights are multiples of one part of it
+    slots: int | None = None  #: if set, weights are rounded to multiples of one part of it
     bucket: int = 4096  #: documents that one window orders, about
     weights: Mapping[str, float] = field(default_factory=dict)
 
 
 def shares(weights: Mapping[str, float], slots: int) -> dict[str, int]:
-    """Blocks of each source in a period: the weights in proportion, at least one, summing to slots."""
-    slots, total = max(slots, len(weights)), sum(weights.values())
-    exact = {s: Fraction(w) / Fraction(total) * (slots - len(weights)) for s, w in weights.items()}
-    out = {s: 1 + int(x) for s, x in exact.items()}
-    for s in sorted(exact, key=lambda s: (int(exact[s]) - exact[s], s))[: slots - sum(out.values())]:
-        out[s] += 1
+    """The weights in proportion as integers of sum ``slots``, by largest remainder; no weight becomes 0."""
+    slots, total = max(slots, len(weights)), sum(map(Fraction, weights.values()))
+    exact = {s: Fraction(w) / total * slots for s, w in weights.items()}
+    out = {s: max(1, int(x)) for s, x in exact.items()}
+    while (gap := slots - sum(out.values())) > 0:
+        for s in sorted(exact, key=lambda s: (out[s] - exact[s], s))[:gap]:
+            out[s] += 1
+    while sum(out.values()) > slots:  # what the least ones took beyond their part
+        out[max((s for s in out if out[s] > 1), key=lambda s: (out[s] - exact[s], s))] -= 1
     return out
 
 
-def period(blocks: Mapping[str, int]) -> list[str]:
-    """The source of each slot of a period: earliest deadline first among the released blocks."""
-    slots = sum(blocks.values())
-    waiting = [(0, s, 0) for s in sorted(blocks)]  # release, source, number of block
+def integers(weights: Mapping[str, float]) -> dict[str, int]:
+    """The weights in exact proportion as integers."""
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    scale = math.lcm(*(x.denominator for x in exact.values()))
+    whole = {s: int(x * scale) for s, x in exact.items()}
+    part = math.gcd(*whole.values())
+    return {s: n // part for s, n in whole.items()}
+
+
+def turns(weights: Mapping[str, int]) -> Iterator[str]:
+    """The source of each slot, without end: earliest deadline first among the released blocks."""
+    total = sum(weights.values())
+    waiting = [(0, s, 0) for s in sorted(weights)]  # release, source, number of block
     heapq.heapify(waiting)
     ready: list[tuple[int, int, str, int]] = []  # deadline, next release (a tie-break), source, number
-    out = []
-    for now in range(slots):
+    for now in itertools.count():
         while waiting and waiting[0][0] <= now:
             _, s, j = heapq.heappop(waiting)
-            q = blocks[s]
-            heapq.heappush(ready, (-(-(j + 1) * slots // q), (j + 1) * slots // q, s, j))
+            end, w = (j + 1) * total, weights[s]
+            heapq.heappush(ready, (-(-end // w), end // w, s, j))
         _, released, s, j = heapq.heappop(ready)
-        out.append(s)
-        if j + 1 < blocks[s]:
-            heapq.heappush(waiting, (released, s, j + 1))
-    return out
+        yield s
+        heapq.heappush(waiting, (released, s, j + 1))
+
 
+def period(blocks: Mapping[str, int]) -> list[str]:
+    """The sources of the slots in which each has had exactly its number of blocks."""
+    return list(itertools.islice(turns(blocks), sum(blocks.values())))
 
-def phases(supply: Mapping[str, int], p: Params) -> list[dict]:
-    """Each phase: where it starts, the blocks of each source that came before, and its period."""
+
+def order(supply: Mapping[str, int], p: Params) -> Iterator[tuple[str, int]]:
+    """Source and block of each slot until every source has run dry."""
     size = {s: float(n) for s, n in supply.items()}
     target = {s: float(p.weights.get(s, 0)) for s in supply} if p.weights else {s: n**0.5 for s, n in size.items()}
-    left, done, start, out = dict(supply), dict.fromkeys(supply, 0), 0, []
-    while any(left.values()):
-        live = {s: target[s] for s, n in left.items() if n and target[s] > 0} or {s: size[s] for s, n in left.items() if n}
-        blocks = shares(live, p.slots)
-        order = period(blocks)
-        slots: dict[str, list[int]] = {s: [] for s in live}
-        for at, s in enumerate(order):
-            slots[s].append(at)
-        # The phase ends with the slot that the first source to run dry could not fill.
-        end = min(left[s] // q * len(order) + slots[s][left[s] % q] for s, q in blocks.items())
-        whole, part = divmod(end, len(order))
-        out.append({"start": start, "before": {s: done[s] for s in live}, "slots": slots, "length": len(order)})
-        for s, q in blocks.items():
-            n = whole * q + sum(x < part for x in slots[s])
-            done[s], left[s] = done[s] + n, left[s] - n
-            out[-1].setdefault("until", {})[s] = done[s]
-        start += end
-    return out
+    done = dict.fromkeys(supply, 0)
+    while left := {s for s in supply if done[s] < supply[s]}:
+        live = {s: target[s] for s in left if target[s] > 0} or {s: size[s] for s in left}
+        if len(live) == 1:
+            (s,) = live
+            yield from ((s, j) for j in range(done[s], supply[s]))
+            done[s] = supply[s]
+            continue
+        # The phase ends with the slot that the first source to run dry cannot fill.
+        for s in turns(shares(live, p.slots) if p.slots else integers(live)):
+            if done[s] == supply[s]:
+                break
+            yield s, done[s]
+            done[s] += 1
 
 
 def numbered(spark: SparkSession, docs: DataFrame, p: Params) -> tuple[DataFrame, dict[str, int]]:
@@ -118,20 +128,18 @@ def numbered(spark: SparkSession, docs: DataFrame, p: Params) -> tuple[DataFrame
 def schedule(spark: SparkSession, docs: DataFrame, params: Params = Params()) -> DataFrame:
     """doc_id, source, block (within the source), slot (in the mixture), place (within the block)."""
     rows, sizes = numbered(spark, docs, params)
-    plan = phases({s: -(-n // params.block) for s, n in sizes.items()}, params)
-    spans = [(k, s, x["before"][s], x["until"][s], x["start"], x["length"], len(x["slots"][s])) for k, x in enumerate(plan) for s in x["slots"]]
-    slots = [(k, s, j, at) for k, x in enumerate(plan) for s, own in x["slots"].items() for j, at in enumerate(own)]
-    # Both tables depend on the number of sources only: at most sources**2 and sources * params.slots rows.
-    span = spark.createDataFrame(spans, "phase int, source string, first long, until long, start long, length long, q long")
-    slot = spark.createDataFrame(slots, "phase int, source string, j long, at long")
-    span, slot = (F.broadcast(x) if n <= BROADCAST_ROWS else x for x, n in ((span, len(spans)), (slot, len(slots))))
-    blocks = rows.withColumn("block", F.floor(F.col("number") / params.block)).alias("r")
-    near = blocks.join(span.alias("s"), (F.col("r.source") == F.col("s.source")) & (F.col("block") >= F.col("first")) & (F.col("block") < F.col("until")))
-    near = near.select("doc_id", "r.source", "number", "block", "phase", "start", "length", "q", (F.col("block") - F.col("first")).alias("b"))
-    near = near.withColumn("j", F.col("b") % F.col("q"))
-    placed = near.join(slot, ["phase", "source", "j"])
-    at = F.col("start") + F.floor(F.col("b") / F.col("q")) * F.col("length") + F.col("at")
-    return placed.select("doc_id", "source", "block", at.alias("slot"), (F.col("number") % params.block).alias("place"))
+    supply = {s: -(-n // params.block) for s, n in sizes.items()}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for _ in batches:
+            at = 0
+            for part in itertools.batched(order(supply, params), 50_000):
+                yield pd.DataFrame(part, columns=["source", "block"]).assign(slot=np.arange(at, at + len(part)))
+                at += len(part)
+
+    slots = spark.range(0, 1, 1, 1).mapInPandas(run, "source string, block long, slot long")
+    blocks = rows.withColumn("block", F.floor(F.col("number") / params.block))
+    return blocks.join(slots, ["source", "block"]).select("doc_id", "source", "block", "slot", (F.col("number") % params.block).alias("place"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, params: Params = Params()) -> DataFrame:

@@ -1,4 +1,6 @@
+import itertools
 from collections import Counter
+from fractions import Fraction
 
 from loamspark.llm import mixing as M
 
@@ -37,3 +39,24 @@ def test_mixed_keeps_rows_and_columns(spark):
     assert got.columns == [*docs.columns, "slot", "place"]
     assert Counter(tuple(r)[:4] for r in got.collect()) == Counter(rows)
     assert M.mixed(spark, docs.limit(0)).count() == 0 and M.schedule(spark, docs.limit(0)).count() == 0
+
+
+def test_given_weights_hold_over_many_periods():
+    hot = {"hot": 0.5} | {f"s{k}": 0.0025 for k in range(200)}
+    for weights, supply, n in (({"a": 1, "b": 2}, None, 6000), (hot, None, 6000), ({}, {"big": 10_000} | {f"s{k}": 100 for k in range(170)}, 1500)):
+        own = supply or dict.fromkeys(weights, 6000)
+        target = weights or {s: x**0.5 for s, x in own.items()}
+        total, seen = sum(map(Fraction, target.values())), Counter()
+        share = {s: float(Fraction(w) / total) for s, w in target.items()}
+        for at, (s, block) in enumerate(itertools.islice(M.order(own, M.Params(weights=weights)), n), 1):
+            assert block == seen[s]
+            seen[s] += 1
+            if at % 7 == 0:
+                assert all(abs(seen[s] - at * w) < 1 for s, w in share.items())
+
+
+def test_default_schedule_keeps_the_given_weights(spark):
+    docs = spark.createDataFrame([(i, "a" if i % 3 == 0 else "b") for i in range(9000)], "doc_id long, source string")
+    got = M.schedule(spark, docs, M.Params(block=1, weights={"a": 1, "b": 2})).collect()
+    slots = sorted(r["slot"] for r in got if r["source"] == "a")
+    assert len(got) == 9000 and all(abs(k - at / 3) < 1 for k, at in enumerate(slots))
