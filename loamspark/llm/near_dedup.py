@@ -20,13 +20,13 @@ Exact copies are one text with many ids; only one of them is sampled and compare
 
 Defined results: documents without a word (null, empty, blank) are classes of their own. Texts
 of one to four words have one shingle, all their words. Repeated rows are copies of each other.
-The class id is the least doc_id of the class; a null doc_id is kept as a row, with a null class.
+The class id is the least doc_id of the class, or null if it has none. Classes are found by text:
+rows with a null doc_id or with the same doc_id and different texts belong where their texts do.
 Extra columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -34,7 +34,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -147,22 +147,26 @@ def word_idf(spark: SparkSession, docs: DataFrame, p: Params) -> np.ndarray:
     return (1 + np.log((1 + n) / (1 + df))).astype(np.float32)
 
 
+def text_key() -> Column:
+    """128 bits of a hash of the text, as hexadecimal digits; empty for a null text."""
+    return F.coalesce(F.substring(F.sha2(F.col("text"), 256), 1, 32), F.lit(""))
+
+
 def sign(docs: DataFrame, idf: Broadcast, p: Params) -> DataFrame:
-    """doc_id, content hash (null if no word) and band keys of every row."""
+    """doc_id, hash of the text, content (the same, but null if no word) and band keys of every row."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
-            texts = [t or "" for t in x["text"]]
-            keys, content = [], []
+            texts = [t or "" for t in x.pop("text")]
+            keys, filled = [], []
             for a, b in pieces(texts):
                 w = words(texts[a:b])
                 doc, h, weight = shingles(w, idf.value, p.shingle)
                 keys += list(band_keys(samples(doc, h, weight, b - a, p), p))
-                filled = np.diff(w.first) > 0
-                content += [hashlib.blake2b(t.encode(), digest_size=16).hexdigest() if f else None for t, f in zip(texts[a:b], filled, strict=True)]
-            yield pd.DataFrame({"doc_id": x["doc_id"], "content": content, "keys": keys})
+                filled += list(np.diff(w.first) > 0)
+            yield x.assign(content=[h if f else None for h, f in zip(x["hash"], filled, strict=True)], keys=keys)
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, content string, keys array<long>")
+    return docs.select("doc_id", text_key().alias("hash"), "text").mapInPandas(run, "doc_id long, hash string, content string, keys array<long>")
 
 
 def vectors_of(docs: DataFrame, idf: Broadcast, p: Params) -> DataFrame:
@@ -181,7 +185,8 @@ def vectors_of(docs: DataFrame, idf: Broadcast, p: Params) -> DataFrame:
                     packed.append(one.tobytes() + np.bincount(back, weight[part], len(one)).astype(np.float32).tobytes())
             yield pd.DataFrame({"doc_id": x["doc_id"], "packed": packed})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, packed binary")
+    rows = docs.select("doc_id", "text")
+    return rows.mapInPandas(run, f"doc_id {rows.dtypes[0][1]}, packed binary")
 
 
 @F.pandas_udf(T.DoubleType())
@@ -202,14 +207,17 @@ def weight(packed: pd.Series) -> pd.Series:
 
 
 def links(spark: SparkSession, docs: DataFrame, unique: DataFrame, idf: Broadcast, p: Params, scratch: Scratch) -> DataFrame:
-    """Verified links (a, b) between different texts, ``unique`` holding doc_id and band keys."""
+    """Verified links (a, b) between different texts, ``unique`` holding doc_id and band keys.
+
+    Here a doc_id is any key of one text; ``docs`` has its text.
+    """
     spread = unique.select("doc_id", F.posexplode("keys").alias("band", "key"))
     shared = spread.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     member = scratch.keep(spread.join(shared, "key"), "member")
     centre = member.groupBy("doc_id").agg(F.sum("n").alias("near"))
     state = scratch.keep(member.join(centre, "doc_id").select("key", "doc_id", "near"), "state")
     vectors = scratch.keep(vectors_of(docs.join(centre.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), idf, p), "vectors")
-    tested = spark.createDataFrame([], "a long, b long, linked boolean")
+    tested = unique.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b"), F.lit(True).alias("linked")).limit(0)
 
     def compare(pairs: DataFrame) -> DataFrame:
         one = vectors.select(F.col("doc_id").alias("a"), F.col("packed").alias("va"))
@@ -217,9 +225,9 @@ def links(spark: SparkSession, docs: DataFrame, unique: DataFrame, idf: Broadcas
         return scratch.keep(pairs.join(two, "b").join(one, "a").select("a", "b", (similarity("va", "vb") >= p.threshold).alias("linked")), "tested")
 
     for _ in range(p.turns):
-        # The pivot of a bucket: the open member with the most neighbours, the least id of several.
-        pivot = state.groupBy("key").agg(F.max(F.struct("near", (-F.col("doc_id")).alias("least"))).alias("top"), F.count("*").alias("n"))
-        pivot = pivot.where("n > 1").select("key", (-F.col("top.least")).alias("pivot"))
+        # The pivot of a bucket: the open member with the most neighbours, the greatest id of several.
+        pivot = state.groupBy("key").agg(F.max(F.struct("near", "doc_id")).alias("top"), F.count("*").alias("n"))
+        pivot = pivot.where("n > 1").select("key", F.col("top.doc_id").alias("pivot"))
         met = state.join(pivot, "key").where("doc_id <> pivot").withColumns({"a": F.least("doc_id", "pivot"), "b": F.greatest("doc_id", "pivot")})
         met = scratch.keep(met, "met")
         tested = tested.union(compare(met.select("a", "b").distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")))
@@ -275,25 +283,46 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     return found
 
 
-def classes(spark: SparkSession, docs: DataFrame, params: Params = Params()) -> DataFrame:
-    """doc_id and class_id of every row of ``docs`` (doc_id, text)."""
+def grouped(spark: SparkSession, docs: DataFrame, params: Params) -> DataFrame:
+    """doc_id, hash of the text, root (the class by a text's hash, null if no word) and class_id of every row."""
     scratch = Scratch(spark, "near-dedup")
     idf = spark.sparkContext.broadcast(word_idf(spark, docs, params))  # 2**idf_bits floats
     signed = scratch.keep(sign(docs, idf, params), "signed")
-    copies = signed.where("content is not null and doc_id is not null").groupBy("content").agg(F.min("doc_id").alias("first"))
+    copies = signed.where("content is not null").groupBy("content").agg(F.min("doc_id").alias("first"))
     copies = scratch.keep(copies, "copies")
-    unique = signed.join(copies.select(F.col("first").alias("doc_id"), "content"), ["doc_id", "content"], "left_semi").dropDuplicates(["doc_id"])
-    unique = scratch.keep(unique.select("doc_id", "keys"), "unique")
-    found = components(links(spark, docs, unique, idf, params, scratch), scratch)
-    named = copies.join(found.withColumnRenamed("doc_id", "first"), "first", "left")
-    named = scratch.keep(named.select("content", F.coalesce("class_id", "first").alias("class_id")), "named")
-    result = signed.select("doc_id", "content").join(named, "content", "left")
-    result = scratch.keep(result.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id")), "result")
+    # Of each text one row is read again: a text's keys, shingles and class hang on its hash, not on an id.
+    read = F.expr("doc_id <=> first")
+    unique = signed.join(copies.withColumnRenamed("content", "own"), read & (F.col("content") == F.col("own")), "left_semi").dropDuplicates(["content"])
+    unique = scratch.keep(unique.select(F.col("content").alias("doc_id"), "keys"), "unique")
+    texts = docs.select("doc_id", "text").withColumn("content", text_key())
+    texts = texts.join(copies.withColumnRenamed("content", "own"), read & (F.col("content") == F.col("own")), "left_semi")
+    found = components(links(spark, texts.select(F.col("content").alias("doc_id"), "text"), unique, idf, params, scratch), scratch)
+    named = copies.join(found.select(F.col("doc_id").alias("content"), F.col("class_id").alias("root")), "content", "left")
+    named = scratch.keep(named.withColumn("root", F.coalesce("root", "content")), "named")
+    least = named.groupBy("root").agg(F.min("first").alias("class_id"))
+    named = scratch.keep(named.join(least, "root").select("content", "root", "class_id"), "named")
+    result = signed.select("doc_id", "hash", "content").join(named, "content", "left")
+    own = F.when(F.col("content").isNull(), F.col("doc_id")).otherwise(F.col("class_id"))
+    result = scratch.keep(result.select("doc_id", "hash", "root", own.alias("class_id")), "result")
     scratch.close("result")
     return result
 
 
+def classes(spark: SparkSession, docs: DataFrame, params: Params = Params()) -> DataFrame:
+    """doc_id and class_id of every row of ``docs`` (doc_id, text)."""
+    return grouped(spark, docs, params).select("doc_id", "class_id")
+
+
 def keep_one(spark: SparkSession, docs: DataFrame, params: Params = Params()) -> DataFrame:
-    """One document of each class, the one with the least doc_id, with all its columns."""
-    kept = classes(spark, docs, params).where("doc_id = class_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    """One document of each class, the one with the least doc_id, with all its columns.
+
+    A class without any doc_id keeps one of its rows; texts that share a doc_id are told apart.
+    """
+    found = grouped(spark, docs, params)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")).alias("kept")
+    kept = found.where("root is not null").groupBy("root").agg(first).select("kept.doc_id", "kept.hash")
+    kept = kept.union(found.where("root is null").select("doc_id", "hash").distinct())
+    kept = kept.select(F.col("doc_id").alias("_kept_id"), F.col("hash").alias("_kept_hash"))
+    rows = docs.withColumn("_hash", text_key())
+    rows = rows.join(kept, rows["doc_id"].eqNullSafe(kept["_kept_id"]) & (rows["_hash"] == kept["_kept_hash"]), "left_semi")
+    return rows.dropDuplicates(["doc_id", "_hash"]).select(docs.columns)

@@ -66,3 +66,12 @@ def test_a_pair_that_shares_one_band_with_a_pivot_unlike_both(spark):
     for part in (256, 1):
         got = N.links(spark, docs, unique, idf, N.Params(part=part, turns=1), N.Scratch(spark, "test")).collect()
         assert [tuple(r) for r in got] == [(0, 1)]
+
+
+def test_null_and_shared_ids_lose_no_text(spark):
+    rows = [(None, "one text of its own here"), (None, ""), (1, "alpha beta gamma delta epsilon zeta"), (1, "north east south west up down"), (2, "north east south west up down"), (1, None), (1, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = N.classes(spark, docs).collect()
+    assert sorted(tuple(r) for r in found if r["doc_id"] == 2) == [(2, 1)] and len(found) == len(rows)
+    kept = {tuple(r) for r in N.keep_one(spark, docs).collect()}
+    assert kept == {rows[0], rows[1], rows[2], rows[3], rows[5]}
