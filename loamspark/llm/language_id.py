@@ -3,7 +3,8 @@
 Texts become normalised TF-IDF vectors of hashed character n-grams. Each language has several
 centroids, found by spherical k-means over a bounded sample of its labelled texts; a text takes
 the language of the centroid with the highest cosine. A text is rejected when that cosine is
-further from the centroid than the language's own labelled texts ever were.
+clearly below those of the language's own labelled texts of about its length: below ``slack``
+times their ``quantile``. Document frequencies and cosines are counted over all training rows.
 
 Defined results: a null text or one without any letter is ``und``, rejected, score 0. Texts of
 any length are read whole. Repeated rows are predicted alike; equal cosines take the first
@@ -14,17 +15,21 @@ Only ``doc_id``, ``text`` and (for training) ``lang`` are read, other columns ar
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from .common import fold, pieces
 from .kernels import code_points, mix
 
 
+CLASSES, BINS = 40, 1000  #: of length and of cosines, in the counts over all training rows
+
+
 @dataclass(frozen=True)
 class Params:
     grams: tuple[int, ...] = (1, 2, 3)
@@ -32,7 +37,9 @@ class Params:
     sample: int = 1500  #: labelled texts of a language that the centroids are fitted on, at most
     centroids: int = 3  #: per language
     rounds: int = 8  #: of k-means
-    slack: float = 0.5  #: a text is rejected below this part of the lowest cosine seen in training
+    quantile: float = 0.002  #: a text is rejected below this quantile of the cosines seen in training,
+    slack: float = 0.7  #: times this, for texts of a kind that training has not seen
+    rows: int = 30  #: training rows that a quantile needs; a rarer length is taken with the next shorter ones
     seed: int = 7
 
 
@@ -42,7 +49,7 @@ class Model:
     idf: np.ndarray
     langs: list[str]  #: of each centroid
     centroids: np.ndarray
-    least: np.ndarray  #: cosine below which a text is rejected, of each centroid
+    least: np.ndarray  #: cosine below which a text is rejected, of each centroid and class of length
 
 
 def gram_counts(texts: list[str], p: Params) -> np.ndarray:
@@ -75,6 +82,11 @@ def vectors(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
 
 
+def lengths(counts: np.ndarray) -> np.ndarray:
+    """The class of length of each row of counts: half powers of two of its number of n-grams."""
+    return np.minimum(2 * np.log2(1 + counts.sum(1)), CLASSES - 1).astype(np.int64)
+
+
 def has_letter(text: str) -> bool:
     return any(map(str.isalpha, text))
 
@@ -92,37 +104,94 @@ def _kmeans(v: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.
     return centre
 
 
+def _frequencies(rows: DataFrame, p: Params) -> tuple[np.ndarray, int]:
+    """In how many rows each hashed n-gram occurs, and the number of rows; tasks add up before the shuffle."""
+    size = 1 << p.bits
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(size + 1, np.int64)
+        for x in batches:
+            for a in range(0, len(x), 256):
+                counts = gram_counts(list(x["text"][a : a + 256]), p)
+                total += np.append((counts > 0).sum(0), len(counts))
+        yield pd.DataFrame({"slot": np.arange(size + 1), "n": total})
+
+    total = np.zeros(size + 1, np.int64)
+    for r in rows.select("text").mapInPandas(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect():
+        total[r["slot"]] = r["n"]
+    return total[:size], int(total[size])
+
+
+def _bounds(rows: DataFrame, m: Model) -> dict[str, np.ndarray]:
+    """The least accepted cosine of each language and class of length, from all training rows."""
+    shared = rows.sparkSession.sparkContext.broadcast(m)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m = shared.value
+        own = {lang: m.centroids[[x == lang for x in m.langs]].T for lang in set(m.langs)}
+        total: dict[str, np.ndarray] = {lang: np.zeros(CLASSES * BINS, np.int64) for lang in own}
+        for x in batches:
+            for lang, texts in x.groupby("lang")["text"]:
+                for a in range(0, len(texts), 256) if lang in own else ():
+                    counts = gram_counts(list(texts[a : a + 256]), m.params)
+                    cosine = (vectors(counts, m.idf) @ own[lang]).max(1)
+                    bins = np.clip(cosine * BINS, 0, BINS - 1).astype(np.int64)
+                    total[lang] += np.bincount(lengths(counts) * BINS + bins, minlength=CLASSES * BINS)
+        for lang, n in total.items():
+            at = np.flatnonzero(n)
+            yield pd.DataFrame({"lang": lang, "at": at, "n": n[at]})
+
+    seen = {lang: np.zeros((CLASSES, BINS)) for lang in m.langs}
+    counted = rows.mapInPandas(run, "lang string, at int, n long").groupBy("lang", "at").agg(F.sum("n").alias("n"))
+    for r in counted.collect():  # at most CLASSES * BINS rows a language
+        seen[r["lang"]][r["at"] // BINS, r["at"] % BINS] = r["n"]
+    out = {}
+    for lang, n in seen.items():
+        low = np.zeros(CLASSES)
+        for k in range(CLASSES):
+            first = k
+            while first and n[first : k + 1].sum() < m.params.rows:
+                first -= 1
+            part = n[first : k + 1].sum(0).cumsum()
+            # Lengths without enough rows of their own or shorter keep the lowest cosine seen at all.
+            part = part if part[-1] >= m.params.rows else n.sum(0).cumsum()
+            low[k] = np.searchsorted(part, max(1, m.params.quantile * part[-1])) / BINS
+        out[lang] = m.params.slack * low
+    return out
+
+
 def fit(docs: DataFrame, params: Params = Params()) -> Model:
     """Learn from the rows of ``docs`` (text, lang), all of which are taken as training rows.
 
-    The sample is ``params.sample`` different texts of each language, drawn by a hash of the text,
-    so its size is bounded by languages times sample, whatever the input.
+    The centroids' sample is the ``params.sample`` different texts of each language that come first
+    by a hash of the text, so its size is bounded by languages times sample, whatever the input.
     """
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
+    rows = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", "text")
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     share = F.lit(1.0)
     for lang, n in sizes.items():
         share = F.when(F.col("lang") == lang, min(1.0, 1.5 * params.sample / n)).otherwise(share)
-    drawn = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < share * 1_000_003).dropDuplicates()
+    place = F.pmod(F.xxhash64("text"), F.lit(1_000_003))
+    drawn = rows.where(place < share * 1_000_003).dropDuplicates()
+    drawn = drawn.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(place, "text"))).where(F.col("rank") <= params.sample)
     got: dict[str, list[str]] = {lang: [] for lang in sorted(sizes)}
     for r in drawn.toLocalIterator():
-        if len(got[r["lang"]]) < params.sample and has_letter(r["text"]):
+        if has_letter(r["text"]):
             got[r["lang"]].append(r["text"])
     got = {lang: sorted(texts) for lang, texts in got.items() if texts}
     size = 1 << params.bits
     if not got:
-        return Model(params, np.ones(size, np.float32), [], np.zeros((0, size), np.float32), np.zeros(0))
-    counts = {lang: gram_counts(texts, params) for lang, texts in got.items()}
-    df, n = sum((c > 0).sum(0) for c in counts.values()), sum(map(len, counts.values()))
+        return Model(params, np.ones(size, np.float32), [], np.zeros((0, size), np.float32), np.zeros((0, CLASSES)))
+    df, n = _frequencies(rows, params)
     idf = (1 + np.log((1 + n) / (1 + df))).astype(np.float32)
-    rng, langs, centroids, least = np.random.default_rng(params.seed), [], [], []
-    for lang, c in counts.items():
-        v = vectors(c, idf)
-        centre = _kmeans(v, params.centroids, params.rounds, rng)
+    rng, langs, centroids = np.random.default_rng(params.seed), [], []
+    for lang, texts in got.items():
+        centre = _kmeans(vectors(gram_counts(texts, params), idf), params.centroids, params.rounds, rng)
         langs += [lang] * len(centre)
         centroids.append(centre)
-        least += [params.slack * float((v @ centre.T).max(1).min())] * len(centre)
-    return Model(params, idf, langs, np.vstack(centroids).astype(np.float32), np.array(least))
+    model = Model(params, idf, langs, np.vstack(centroids).astype(np.float32), np.zeros((len(langs), CLASSES)))
+    least = _bounds(rows, model)
+    return replace(model, least=np.array([least[lang] for lang in langs]))
 
 
 def score_texts(texts: list[str | None], m: Model) -> tuple[list[str], list[float], list[bool]]:
@@ -130,10 +199,11 @@ def score_texts(texts: list[str | None], m: Model) -> tuple[list[str], list[floa
     at = [i for i, t in enumerate(texts) if t is not None and has_letter(t)] if m.langs else []
     for a in range(0, len(at), 256):
         part = at[a : a + 256]
-        cosine = vectors(gram_counts([texts[i] for i in part], m.params), m.idf) @ m.centroids.T
+        counts = gram_counts([texts[i] for i in part], m.params)
+        cosine = vectors(counts, m.idf) @ m.centroids.T
         best = cosine.argmax(1)
-        for row, i, b in zip(cosine, part, best, strict=True):
-            names[i], scores[i], rejected[i] = m.langs[b], float(min(1, max(0, row[b]))), bool(row[b] < m.least[b])
+        for row, i, b, k in zip(cosine, part, best, lengths(counts), strict=True):
+            names[i], scores[i], rejected[i] = m.langs[b], float(min(1, max(0, row[b]))), bool(row[b] < m.least[b, k])
     return names, scores, rejected
 
 

@@ -61,3 +61,12 @@ def test_isotonic_is_the_least_squares_fit():
     mean = lambda a, b: np.average(y[a:b], weights=w[a:b])
     want = [max(min(mean(a, b) for b in range(i + 1, 41)) for a in range(i + 1)) for i in range(40)]
     assert got == pytest.approx(want)
+
+
+def test_unlearned_languages_of_latin_script_are_rejected(spark):
+    docs = read_table(spark, DATA, "documents").select("text", "lang")
+    foreign = [
+        "Tänään on kaunis päivä ja menemme yhdessä metsään kävelemään, koska aurinko paistaa ja linnut laulavat puissa.",
+        "Dzisiaj jest piękny dzień i idziemy razem do lasu na spacer, ponieważ świeci słońce, a ptaki śpiewają na drzewach.",
+    ]
+    assert language_id.score_texts(foreign, language_id.fit(docs))[2] == [True, True]
