@@ -2,25 +2,35 @@
 
 Every page is a sequence of tokens: tags with the path of the elements around them, and whole
 text nodes. Over the pages of one host a token has an occurrence vector, its count on each page.
-Tokens with equal vectors form an equivalence class; classes that occur on enough of the host's
-pages and hold enough tokens are valid, and those that lie inside one gap of another are nested
-in it; a class that fits in no such way is dropped. Together they are the host's template: its
-tags bound the slots, its text nodes are boilerplate. Slots in menus, headers, footers, sidebars,
-notices, adverts, forms, scripts, styles and comments are not extracted. Of the others the main
-slots are the template's ``article`` and ``main`` elements (its leads), or else its innermost
-element that holds most of the host's remaining text, without the blocks that are the template's.
+Tokens with equal vectors form an equivalence class; classes that occur on enough pages and hold
+enough tokens are valid, and those that lie inside one gap of another are nested in it; a class
+that fits in no such way is dropped. Together they are the host's template. A text node counts
+as supported by the pages that hold the element around it, and a tag by a small share of the
+host, so that several layouts of one host each have their part of the template.
+
+The template decides what is extracted, in two ways. Its text nodes are constant: blocks that are
+wholly made of them are boilerplate, wherever they stand. Its tags bound the slots: the main slot
+is the innermost template element that holds most of the free text of the pages that have it; on
+each page the innermost such element is taken, and its varying blocks are the result.
+
+Names only settle what vectors cannot. Slots of menus, headers, footers, sidebars, notices,
+adverts, forms, scripts, styles and comments vary from page to page like the article does, so
+elements so named are not free text; but a class counts only if every word of it is such a name
+or a neutral word (``comment-list``, not ``has-sidebar``), never on headings, articles or main
+elements, and no element that holds the article, or without one most of the page, is dropped for
+its name. Where an ``article`` or ``main`` element stands around the main slot it is taken whole.
+A page without a main slot of the template, or whose host has too few pages for a template, is
+its own template: its article and main elements count, or else all its free text.
 
 Vectors are never gathered: a token's vector is told by a sum over its pages of count times a
 64-bit hash of the page, which tasks add up before the shuffle and Spark after it. So a host with
 any number of pages costs a row for each different token, and nothing is grouped by host alone
 but the tokens of valid classes, which are few for each page.
 
-A page that lacks its template's main slots, or whose host has too few pages for a template, is
-its own template: its ``article`` or ``main`` elements count, or else all that is left.
-
 Defined results: null, empty and blank html gives an empty text. A null url is the host with the
-empty name. Repeated rows count as pages of their own and give equal texts. Pages are read whole.
-An empty table gives an empty result. Extra columns are ignored.
+empty name. Repeated rows count as pages of their own and give equal texts; a page that is wholly
+template (its text stands on most pages of the host) keeps its text. Pages are read whole. An
+empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,17 +50,19 @@ from pyspark.sql import types as T
 
 from .common import Scratch
 
-#: Element names and the words in class, id and role that mark boilerplate.
+#: Element names, and the words in class, id and role that mark boilerplate.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math".split())
-BOILERPLATE = frozenset("nav header footer aside form button select dialog menu head object canvas audio video figure-ad".split())
+RAW = frozenset("script style noscript template textarea title iframe svg".split())
+NAMED = frozenset("nav header footer aside form button select dialog menu head object canvas audio video".split())
 CONTAINER = frozenset("html body div section article main table tbody thead tfoot tr ul ol dl center details blockquote figure fieldset".split())
-BLOCK = CONTAINER | BOILERPLATE | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th pre hr br address figcaption caption option summary legend".split())
+BLOCK = CONTAINER | NAMED | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th pre hr br address figcaption caption option summary legend".split())
 HINTS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert "
     "sidebar menu nav navbar navigation breadcrumb breadcrumbs footer header masthead share sharing social related recommended newsletter "
     "subscribe signup popup modal comment comments disqus reply replies complementary contentinfo search hidden".split()
 )
+NEUTRAL = frozenset("area bar bottom box block buttons container form inner item left links list main outer page right section site thread top widget wrap wrapper".split())
+PLAIN = frozenset("html body article main h1 h2 h3 h4 h5 h6".split())  #: a class says nothing about these
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<![^>]*+>|<\?[^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""", re.S)
 MARK = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
@@ -61,20 +73,23 @@ BIG = (1 << 64) - 1
 @dataclass(frozen=True)
 class Params:
     pages: int = 3  #: a valid class occurs on so many pages of the host at least,
-    share: float = 0.5  #: on this share of them,
+    layout: float = 0.1  #: its tags on this share of the host's pages,
+    share: float = 0.5  #: its text nodes on this share of the pages that hold the element around them,
     tokens: int = 2  #: and has so many tokens
-    main: float = 0.6  #: share of the host's remaining text that the main slot holds
-    article: float = 0.3  #: the same for article and main elements
+    main: float = 0.6  #: share of the free text of its pages that the main slot holds
     broadcast: int = 500_000  #: template rows that are broadcast at most, else joined by host
+    part: int = 1000  #: pages of a host in one part of that join, about
 
 
-def _boilerplate(name: str, attrs: str) -> bool:
-    if name in BOILERPLATE:
-        return True
-    if not attrs or name in ("html", "body"):
+def _marked(name: str, attrs: str) -> bool:
+    """Whether the class, id or role of an element says that it is boilerplate."""
+    if not attrs or name in PLAIN:
         return False
-    marks = re.split(r"[^a-z0-9]+", " ".join(x for m in MARK.findall(attrs) for x in m).lower())
-    return not HINTS.isdisjoint(marks) or bool(HIDDEN.search(attrs))
+    for mark in " ".join(x for m in MARK.findall(attrs) for x in m).lower().split():
+        parts = [x for x in re.split(r"[^a-z]+", mark) if x]
+        if not HINTS.isdisjoint(parts) and all(x in HINTS or x in NEUTRAL for x in parts):
+            return True
+    return bool(HIDDEN.search(attrs))
 
 
 def tokens(html: str) -> Iterator[tuple[str, str, str]]:
@@ -97,86 +112,112 @@ def tokens(html: str) -> Iterator[tuple[str, str, str]]:
             at = close.start() if close else end
 
 
-class Piece:
-    """A text node: its words, the elements around it, whether it is boilerplate or in an article."""
+class Element:
+    """An element around text: the one above it, its key, and what its name says."""
+
+    __slots__ = ("above", "depth", "key", "lead", "marked", "name", "out")
+
+    def __init__(self, name: str, above: int, depth: int, key: int, marked: bool, lead: bool):
+        self.name, self.above, self.depth, self.key, self.marked, self.lead, self.out = name, above, depth, key, marked, lead, False
+
 
-    __slots__ = ("article", "breaks", "key", "out", "text", "within")
+class Node:
+    """A text node: its text, the element around it, whether a block begins with it or a link holds it."""
 
-    def __init__(self, text: str, within: tuple[int, ...], key: int, out: bool, article: bool, breaks: bool):
-        self.text, self.within, self.key, self.out, self.article, self.breaks = text, within, key, out, article, breaks
+    __slots__ = ("at", "breaks", "key", "link", "text")
 
+    def __init__(self, text: str, at: int, key: int, breaks: bool, link: bool):
+        self.text, self.at, self.key, self.breaks, self.link = text, at, key, breaks, link
 
-def page(html: str) -> tuple[list[int], list[Piece], set[int]]:
-    """Keys of a page's tags in order, its text nodes, and the keys of its article and main tags."""
-    stack: list[tuple[str, int, bool, bool]] = []  # name, key, boilerplate, article
-    tags: list[int] = []
-    leads: set[int] = set()
-    out: list[Piece] = []
-    breaks = True
+
+def page(html: str) -> tuple[list[Element], list[Node], list[tuple[int, int]]]:
+    """The elements of a page (the first is the page itself), its text nodes, and its tags, each with the element around it, by keys."""
+    elements = [Element("", 0, 0, 0, False, False)]
+    stack, nodes, tags = [0], [], []
+    breaks, link = True, False
 
     def key(*parts: str) -> int:
-        return xxhash.xxh3_64_intdigest("\x00".join([*(s[0] for s in stack), *parts]))
+        return xxhash.xxh3_64_intdigest("\x00".join([str(elements[stack[-1]].key), *parts]))
 
     for kind, name, attrs in tokens(html):
         if kind == "text":
             if name and not name.isspace():
-                own = " ".join(name.split())
-                last = stack[-1] if stack else ("", 0, False, False)
-                out.append(Piece(entities.unescape(name), tuple(s[1] for s in stack), key("text", own), last[2], last[3], breaks))
+                nodes.append(Node(entities.unescape(name), stack[-1], key("text", " ".join(name.split())), breaks, link))
                 breaks = False
-            elif name and out:
-                out[-1].text += " "
+            elif name and nodes:
+                nodes[-1].text += " "
             continue
-        block = name in BLOCK
-        if block:
+        if name == "a":
+            link = kind == "open"
+        if name in BLOCK:
             breaks = True
-            while stack and stack[-1][0] == "p":  # any block ends an open paragraph
+            while elements[stack[-1]].name == "p":  # any block ends an open paragraph
                 stack.pop()
         if kind == "close":
-            if any(s[0] == name for s in stack):
-                while stack.pop()[0] != name:
+            if any(elements[i].name == name for i in stack):
+                while elements[stack.pop()].name != name:
                     pass
-            if name in CONTAINER or name in BOILERPLATE:
-                tags.append(key("/" + name))
+            if name in CONTAINER or name in NAMED:
+                tags.append((key("/" + name), elements[stack[-1]].key))
             continue
-        hint = name in RAW or _boilerplate(name, attrs)
-        held = (name in CONTAINER or hint) and name not in VOID and not (attrs.endswith("/") and name not in CONTAINER)
-        if not held:
+        in_article = any(elements[i].name == "article" for i in stack)
+        marked = name in RAW or (name in NAMED and not (name == "header" and in_article)) or _marked(name, attrs)
+        if name in VOID or not (marked or name in CONTAINER or name in NAMED) or (attrs.endswith("/") and name not in CONTAINER):
             continue
-        own = key(name, " ".join(x for m in MARK.findall(attrs) for x in m).lower() if attrs else "")
-        tags.append(own)
-        above = stack[-1] if stack else ("", 0, False, False)
-        if name in ("article", "main") and not (hint or above[2]):
-            leads.add(own)
-        stack.append((name, own, above[2] or hint, (above[3] or name in ("article", "main")) and not hint))
-    return tags, out, leads
-
-
-def _varied(nodes: list[Piece], template: dict[int, str]) -> list[Piece]:
-    """The nodes of all blocks but those that are wholly the template's."""
-    blocks: list[list[Piece]] = []
+        marks = re.sub(r"\d+", "0", " ".join(x for m in MARK.findall(attrs) for x in m).lower()) if attrs else ""
+        own, above = key(name, marks), stack[-1]
+        tags.append((own, elements[above].key))
+        lead = name in ("article", "main") and not (attrs and _marked("div", attrs))
+        elements.append(Element(name, above, elements[above].depth + 1, own, marked, lead))
+        stack.append(len(elements) - 1)
+
+    # What is marked goes out, but for what holds most of the leads or, without one, of the page's text.
+    size, led = [0] * len(elements), [0] * len(elements)
     for x in nodes:
-        if x.breaks or not blocks:
-            blocks.append([])
-        blocks[-1].append(x)
-    return [x for b in blocks if any(y.key not in template for y in b) for x in b]
+        size[x.at] += 0 if x.link else len(x.text)
+    inside = [False] * len(elements)
+    for i, e in enumerate(elements[1:], 1):
+        raw = e.name in RAW or e.name == "head"
+        size[i] = 0 if raw else size[i]
+        inside[i] = not raw and (e.lead or (inside[e.above] and not e.marked))
+        led[i] = size[i] if inside[i] else 0
+    for i in range(len(elements) - 1, 0, -1):
+        above = elements[i].above
+        size[above] += size[i]
+        led[above] += led[i]
+    for i, e in enumerate(elements[1:], 1):
+        most = 2 * led[i] > led[0] if led[0] else (2 * size[i] > size[0] and e.name not in ("nav", "header", "footer", "aside", "menu"))
+        e.out = elements[e.above].out or (e.marked and not most)
+    return elements, nodes, tags
+
+
+def around(elements: list[Element], at: int) -> Iterator[int]:
+    """The numbers of an element and of all around it."""
+    while at:
+        yield at
+        at = elements[at].above
 
 
 def extract(html: str, template: dict[int, str] | None = None) -> str:
-    """The main text of a page; ``template`` has the keys of the host's template with their roles."""
-    _, nodes, _ = page(html)
-    free = [x for x in nodes if not x.out]
-    lead, main = ({k for k, role in (template or {}).items() if role == name} for name in ("lead", "main"))
-    if any(lead.intersection(x.within) for x in free):
-        free = [x for x in free if lead.intersection(x.within)]
-    elif any(x.article for x in free):
-        free = [x for x in free if x.article]
-    elif any(main.intersection(x.within) for x in free):
-        free = [x for x in free if main.intersection(x.within)]
-        free = _varied(free, template) or free
-    elif template:
-        free = _varied(free, template)
-    return " ".join("".join((" " if x.breaks else "") + x.text for x in free).split())
+    """The main text of a page; ``template`` has the keys of the host's constant texts ("text") and main slots ("main")."""
+    elements, nodes, _ = page(html)
+    template = template or {}
+    free = [x for x in nodes if not elements[x.at].out]
+    slots = [i for i, e in enumerate(elements) if i and not e.out and template.get(e.key) == "main"]
+    if slots:
+        inner = max(slots, key=lambda i: (elements[i].depth, i))
+        slots = [i for i in slots if elements[i].key == elements[inner].key]
+        slots = {next((k for k in around(elements, i) if elements[k].lead), i) for i in slots}
+    else:
+        slots = {i for i, e in enumerate(elements) if e.lead and not e.out}
+    held = [x for x in free if not slots.isdisjoint(around(elements, x.at))] if slots else free
+    blocks: list[list[Node]] = []
+    for x in held:
+        if x.breaks or not blocks:
+            blocks.append([])
+        blocks[-1].append(x)
+    varied = [x for b in blocks if any(template.get(y.key) != "text" for y in b) for x in b] or held
+    return " ".join("".join((" " if x.breaks else "") + x.text for x in varied).split())
 
 
 def host_column(url: str = "url"):
@@ -184,81 +225,90 @@ def host_column(url: str = "url"):
 
 
 def occurrences(pages: DataFrame) -> DataFrame:
-    """host, token, kind, vector (low and high part), pages, and sums of place and of text inside.
+    """host, token, the token of the element around it, kind, vector (low and high part), pages, and sums
+    of free text inside and of free text of the page.
 
-    Kinds: 0 a tag, 1 a text node, 2 the page itself, 3 the tag of an article or main element.
+    Kinds: 0 a tag, 1 a text node, 2 the page itself (token 0).
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict[tuple[str, int, int], list[int]] = {}
 
         def flush() -> pd.DataFrame:
-            rows = [(h, np.uint64(t).astype(np.int64), k, *v[1:], np.uint64(v[0] & BIG).astype(np.int64)) for (h, t, k), v in total.items()]
+            signed = lambda x: np.uint64(x).astype(np.int64)
+            rows = [(h, signed(t), k, signed(v[4]), *v[1:4], signed(v[0])) for (h, t, k), v in total.items()]
             total.clear()
-            return pd.DataFrame(rows, columns=["host", "token", "kind", "pages", "place", "chars", "vector"])
+            return pd.DataFrame(rows, columns=["host", "token", "kind", "around", "pages", "chars", "whole", "vector"])
 
         for b in batches:
             for number, host, html in zip(b["number"], b["host"], b["html"], strict=True):
-                tags, nodes, leads = page(html or "")
+                elements, nodes, tags = page(html or "")
                 seen = xxhash.xxh3_64_intdigest(number)
-                count, place = Counter(tags), {}
-                for i, t in enumerate(tags):
-                    place.setdefault(t, i)
                 chars: Counter[int] = Counter()
-                free = 0
+                whole = 0
                 for x in nodes:
-                    if not x.out:
-                        free += len(x.text)
-                        for t in set(x.within):
-                            chars[t] += len(x.text)
-                found = [(t, 3 if t in leads else 0, n, place[t], chars[t]) for t, n in count.items()]
-                found += [(t, 1, n, 0, 0) for t, n in Counter(x.key for x in nodes).items()]
-                found.append((0, 2, 1, 0, free))
-                for t, kind, n, at, size in found:
-                    own = total.setdefault((host, t, kind), [0, 0, 0, 0])
+                    if not elements[x.at].out and not x.link:
+                        whole += len(x.text)
+                        for k in {elements[i].key for i in around(elements, x.at)}:
+                            chars[k] += len(x.text)
+                outer = dict(tags)
+                found = [(t, 0, n, chars[t], outer[t]) for t, n in Counter(t for t, _ in tags).items()]
+                texts = {x.key: elements[x.at].key for x in nodes}
+                found += [(t, 1, n, 0, texts[t]) for t, n in Counter(x.key for x in nodes).items()]
+                found.append((0, 2, 1, whole, 0))
+                for t, kind, n, size, above in found:
+                    own = total.setdefault((host, t, kind), [0, 0, 0, 0, above])
                     own[0] = (own[0] + n * seen) & BIG
-                    own[1], own[2], own[3] = own[1] + 1, own[2] + at, own[3] + size
+                    own[1], own[2], own[3] = own[1] + 1, own[2] + size, own[3] + whole
             if len(total) > 200_000:
                 yield flush()
         yield flush()
 
     rows = pages.select(F.concat_ws("\x00", F.col("page_id").cast("string"), "url", F.xxhash64("html").cast("string")).alias("number"), host_column().alias("host"), "html")
-    parts = rows.mapInPandas(run, "host string, token long, kind int, pages long, place long, chars long, vector long")
+    parts = rows.mapInPandas(run, "host string, token long, kind int, around long, pages long, chars long, whole long, vector long")
     # Sums of vectors wrap around; ANSI sums would not, so the two halves are added apart.
     half = [F.sum(F.col("vector").bitwiseAND(0xFFFFFFFF)).alias("low"), F.sum(F.shiftrightunsigned("vector", 32)).alias("high")]
-    return parts.groupBy("host", "token", "kind").agg(*half, *(F.sum(c).alias(c) for c in ("pages", "place", "chars")))
+    return parts.groupBy("host", "token", "kind").agg(F.min("around").alias("around"), *half, *(F.sum(c).alias(c) for c in ("pages", "chars", "whole")))
 
 
 def templates(spark: SparkSession, pages: DataFrame, params: Params, scratch: Scratch) -> DataFrame:
-    """host, token and role ("lead", "main", "tag" or "text") of the tokens of valid classes."""
-    found = scratch.keep(occurrences(pages), "occurrences")
-    hosts = found.where("kind = 2").select("host", F.col("pages").alias("host_pages"), F.col("chars").alias("host_chars"))
-    often = found.where(f"kind <> 2 and pages >= {params.pages}").join(hosts, "host")
-    often = often.where(F.col("pages") >= params.share * F.col("host_pages"))
-    token = F.struct((F.col("place") / F.col("pages")).alias("at"), "token", "kind", "chars")
-    # Tokens on half of a host's pages are at most twice as many as those of a page: a bounded list.
-    classes = often.groupBy("host", "high", "low").agg(F.sort_array(F.collect_list(token)).alias("tokens"), F.max("pages").alias("pages"), F.max("host_chars").alias("host_chars"))
+    """host, token and role ("main" or "text") of the constant texts and main slots of valid classes."""
+    often = scratch.keep(occurrences(pages).where(f"pages >= {params.pages}"), "occurrences")
+    hosts = often.where("kind = 2").select("host", F.col("pages").alias("host_pages"))
+    tags = often.where("kind = 0").join(hosts, "host").where(F.col("pages") >= params.layout * F.col("host_pages")).drop("host_pages")
+    outer = often.where("kind <> 1").select("host", F.col("token").alias("around"), F.col("pages").alias("around_pages"))
+    texts = often.where("kind = 1").join(outer, ["host", "around"]).where(F.col("pages") >= params.share * F.col("around_pages"))
+    token = F.struct("token", "kind", "around", (F.col("chars") >= params.main * F.greatest("whole", F.lit(1))).alias("main"))
+    # Supported tokens are a bounded multiple of those of one page, so a host's classes are few.
+    classes = tags.unionByName(texts.drop("around_pages")).groupBy("host", "high", "low").agg(F.sort_array(F.collect_list(token)).alias("tokens"), F.max("pages").alias("pages"))
     classes = classes.where(F.size("tokens") >= params.tokens)
 
-    def one_gap(inner: list[float], outer: list[float]) -> bool:
-        return len(set(np.searchsorted(outer, inner))) == 1
+    def one_gap(inner: set[int], outer: set[int], up: dict[int, int]) -> bool:
+        """Whether all tags of one class lie directly in the same element of the other, or all in none."""
+
+        def gap(t: int) -> int:
+            t = up.get(t, 0)
+            while t and t not in outer:
+                t = up.get(t, 0)
+            return t
+
+        return len({gap(t) for t in inner}) == 1
 
     def nest(b: pd.DataFrame) -> pd.DataFrame:
         """The template of one host, from its classes by number of pages."""
-        taken: list[list[float]] = []  # places of the tags of each class
-        rows, leads, elements = [], [], []
-        for own, most in zip(b["tokens"], b["host_chars"], strict=True) if len(b) else ():
-            at = sorted(t["at"] for t in own if t["kind"] != 1)
-            if at and not all(one_gap(at, x) or one_gap(x, at) for x in taken):
+        up = {t["token"]: t["around"] for own in b["tokens"] for t in own if t["kind"] == 0}
+        taken: list[set[int]] = []  # tags of each class
+        rows = []
+        for own in b["tokens"]:
+            tags = {t["token"] for t in own if t["kind"] == 0}
+            if tags and not all(one_gap(tags, x, up) or one_gap(x, tags, up) for x in taken):
                 continue
-            taken += [at] if at else []
-            rows += [(t["token"], "text" if t["kind"] == 1 else "tag") for t in own]
-            leads += [t["token"] for t in own if t["kind"] == 3 and t["chars"] >= params.article * most > 0]
-            elements += [(t["at"], t["token"]) for t in own if t["kind"] == 0 and t["chars"] >= params.main * most > 0]
-        main = {} if leads else {t for _, t in sorted(elements)[-1:]}
-        return pd.DataFrame([(b["host"].iloc[0], t, "lead" if t in leads else "main" if t in main else role) for t, role in rows], columns=["host", "token", "role"])
+            taken += [tags] if tags else []
+            rows += [(b["host"].iloc[0], t["token"], "text" if t["kind"] == 1 else "main") for t in own if t["kind"] == 1 or t["main"]]
+        return pd.DataFrame(rows, columns=["host", "token", "role"])
 
-    return scratch.keep(classes.groupBy("host").applyInPandas(lambda b: nest(b.sort_values("pages", ascending=False)), "host string, token long, role string"), "templates")
+    ordered = lambda b: nest(b.sort_values(["pages", "high", "low"], ascending=False))
+    return scratch.keep(classes.groupBy("host").applyInPandas(ordered, "host string, token long, role string"), "templates")
 
 
 def main_texts(spark: SparkSession, pages: DataFrame, params: Params = Params()) -> DataFrame:
@@ -266,8 +316,7 @@ def main_texts(spark: SparkSession, pages: DataFrame, params: Params = Params())
     scratch = Scratch(spark, "html")
     found = templates(spark, pages, params, scratch)
     rows = pages.select("page_id", "url", "html", host_column().alias("host"))
-    n = found.count()
-    if n <= params.broadcast:
+    if found.count() <= params.broadcast:
         by_host: dict[str, dict[int, str]] = {}
         for r in found.toLocalIterator():
             by_host.setdefault(r["host"], {})[r["token"] & BIG] = r["role"]
@@ -279,11 +328,17 @@ def main_texts(spark: SparkSession, pages: DataFrame, params: Params = Params())
 
         rows = rows.withColumn("text", text("host", "html"))
     else:
-        lists = found.groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct("token", "role"))).alias("template"))
 
         @F.pandas_udf(T.StringType())
         def text_of(html: pd.Series, template: pd.Series) -> pd.Series:
-            return pd.Series([extract(x or "", {k & BIG: v for k, v in dict(t).items()} if t is not None else None) for x, t in zip(html, template, strict=True)], dtype=object)
-
-        rows = rows.join(scratch.keep(lists, "lists"), "host", "left").withColumn("text", text_of("html", "template"))
+            return pd.Series([extract(x or "", {t["token"] & BIG: t["role"] for t in own} if own is not None else None) for x, own in zip(html, template, strict=True)], dtype=object)
+
+        # A host's pages are dealt over parts, each with its copy of the host's template.
+        lists = found.groupBy("host").agg(F.collect_list(F.struct("token", "role")).alias("template"))
+        size = max(params.part, rows.count() // 10_000)
+        parts = rows.groupBy("host").agg(F.ceil(F.count("*") / size).cast("int").alias("parts"))
+        lists = scratch.keep(lists.join(parts, "host").select("host", "template", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")), "lists")
+        most = F.broadcast(parts.where("parts > 1"))  # 10,000 rows at most, by the choice of size
+        rows = rows.join(most, "host", "left").withColumn("part", F.pmod(F.xxhash64("page_id", "url", "html"), F.coalesce("parts", F.lit(1))).cast("int"))
+        rows = rows.join(lists, ["host", "part"], "left").withColumn("text", text_of("html", "template"))
     return rows.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

@@ -48,6 +48,57 @@ def test_template_is_found_without_article_elements(spark):
     assert html_extraction.main_texts(spark, pages.limit(0)).count() == 0
 
 
+def test_names_never_remove_the_article():
+    text = html_extraction.extract
+    own = "<h1>Title</h1><p>A long enough paragraph of the article.</p>"
+    want = "Title A long enough paragraph of the article."
+    assert text(f"<body><div class='content has-sidebar'><article>{own}</article></div></body>") == want
+    assert text(f"<body><form><nav>menu</nav><article>{own}</article><input></form></body>") == want
+    assert text(f"<body><main class='search-results related'>{own}</main><footer>f</footer></body>") == want
+    assert text(f"<body><div class=sidebar><div>{own}</div></div></body>") == want
+    assert text("<article><h2 class='section-header'>Head</h2><p class='alert-level'>Level</p><math>x</math></article>") == "Head Level x"
+    assert text(f"<body><article><header><h1>Title</h1></header><p>A long enough paragraph of the article.</p></article><section id='comment-list'><article class='comment'>me too</article><article>and me</article></section></body>") == want
+    assert text(f"<article>{own}<div class='ad-banner'>Buy</div><aside>Also</aside></article>") == want
+
+
+def test_constant_blocks_go_and_layouts_have_their_own(spark):
+    """Unmarked notices inside articles and two layouts on one host: only the template tells them."""
+    story = lambda i: f"<h1>Story {i}</h1><p>Only page {i} says this, at some length, number {i}.</p>"
+    one = lambda i: f"<body><div class=x><article>{story(i)}<div>Sign up to hear from us.</div></article></div></body>"
+    two = lambda i: f"<body><div class=top>All our pages</div><div class=y><div class=z>{story(i)}</div><div class=w>Seen on every page of this kind.</div></div></body>"
+    rows = [(i, f"http://h.org/{i}", one(i) if i < 5 else two(i)) for i in range(15)] + [(50 + i, "http://same.org/", one(0)) for i in range(4)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = {i: f"Story {i} Only page {i} says this, at some length, number {i}." for i in range(15)}
+    for params in (html_extraction.Params(), html_extraction.Params(broadcast=0, part=2)):
+        got = {r["page_id"]: r["text"] for r in html_extraction.main_texts(spark, pages, params).collect()}
+        assert {i: got[i] for i in range(15)} == want
+        assert {got[50 + i] for i in range(4)} == {want[0] + " Sign up to hear from us."}  # wholly constant pages keep their text
+    assert all(html_extraction.extract(h) != want[i] for i, _, h in rows[:15])  # without the template
+
+
+def test_vectors_equal_plain_counting(spark):
+    from loamspark.llm.common import Scratch
+
+    rows = [(i, f"http://h.org/{i}", f"<body><div>a</div>{'<ul><li>b</ul>' if i % 2 else ''}<p>c{i}</p><div>d</div></body>") for i in range(8)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = html_extraction.occurrences(pages).collect()
+    vector = {}
+    for i, _, h in rows:
+        _, nodes, tags = html_extraction.page(h)
+        for k, n in (Counter(t for t, _ in tags) + Counter(x.key for x in nodes)).items():
+            vector.setdefault(k, {})[i] = n
+    classes = {}
+    for r in found:
+        if r["kind"] < 2:
+            classes.setdefault((r["low"], r["high"]), set()).add(r["token"] & html_extraction.BIG)
+    plain = {}
+    for k, v in vector.items():
+        plain.setdefault(tuple(sorted(v.items())), set()).add(k)
+    assert sorted(map(sorted, classes.values())) == sorted(map(sorted, plain.values()))
+    roles = html_extraction.templates(spark, pages, html_extraction.Params(), Scratch(spark, "test")).collect()
+    assert sum(r["role"] == "text" for r in roles) == 3
+
+
 def test_articles_of_the_pages(spark):
     import html
 
