@@ -17,10 +17,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: the session's spark.checkpoint.dir.
 
-    Where the session names none (unit tests on one machine) a temporary folder is set.
+    Where the session names none a temporary folder is set, but only if all runs on one machine.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="loamspark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -54,6 +56,20 @@ class Scratch:
         self.drop(*{name for name, _ in self.paths} - {*but})
 
 
+def attach(rows: DataFrame, groups: DataFrame, key: str, count: str) -> DataFrame:
+    """``rows`` joined to ``groups``, which has a row for each key with the number of rows that have it.
+
+    Keys that hold more than a ten-thousandth of what ``groups`` counts, at most 10,000, are
+    broadcast, so their rows stay where they are; the others meet by a shuffle in which no key
+    is large. Rows without a group are dropped.
+    """
+    total = groups.agg(F.sum(count)).first()[0] or 0
+    hot = groups.where(F.col(count) > total / 10_000)
+    cold = groups.where(F.col(count) <= total / 10_000)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(hot), key).unionByName(rest.join(cold, key))
+
+
 def pieces(texts: list[str], most: int = 400_000) -> Iterator[tuple[int, int]]:
     """Ranges of rows whose texts hold about ``most`` characters; a longer text stands alone."""
     first = size = 0

@@ -10,11 +10,13 @@ Each document gets ``bands * rows`` consistent weighted samples (r and c from Ga
 uniform; the least ln a of each sample identifies its shingle and quantised weight). Documents
 whose samples agree in a whole band share a bucket. In each bucket one pivot, the member with
 the most neighbours over all bands, is compared with the others by exact weighted Jaccard
-similarity; members that fail get a pivot of their own, ``turns`` times. Then all pairs of a
-bucket that are not yet in one class are compared, but those whose total weights alone rule a
-link out. So two documents that share a bucket and are similar are always in one class. Large
-buckets are cut into parts whose pairs are cells of their own. Links of at least ``threshold``
-give the classes, found by repeated contraction to the least neighbour.
+similarity; members that fail get a pivot of their own under the same key, ``turns`` times. Of
+what is left, buckets whose members are not all in one class are joined exactly by prefixes: in
+one order of all shingles, the rare ones first, two documents of similarity s or more share a
+shingle among the first ones that make up more than 1 - s of the weight of each. So documents
+that share a bucket and are similar are always in one class, and unlike members of a bucket are
+not paired. Hot keys are dealt over parts in every join. Links of at least ``threshold`` give
+the classes, found by repeated contraction to the least neighbour.
 
 Exact copies are one text with many ids; only one of them is sampled and compared.
 
@@ -38,7 +40,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, pieces
+from .common import Scratch, attach, pieces
 from .kernels import BASE, Words, mix, windows, words
 
 
@@ -49,8 +51,9 @@ class Params:
     bands: int = 12
     rows: int = 4
     idf_bits: int = 16
-    turns: int = 3  #: of pivots, before the remaining pairs of a bucket are compared
-    part: int = 256  #: members of a part of a large bucket, about
+    turns: int = 3  #: of pivots, before the rest of a bucket is joined by prefixes
+    part: int = 256  #: members of a part of a large bucket or prefix group, about
+    order_bits: int = 18  #: slots in which shingles are counted to put the rare ones first
     seed: int = 11
 
 
@@ -206,16 +209,52 @@ def weight(packed: pd.Series) -> pd.Series:
 # --- links and classes -------------------------------------------------------------------
 
 
+def shingle_counts(spark: SparkSession, packed: DataFrame, p: Params) -> np.ndarray:
+    """How often each slot of shingles occurs in ``packed``; 2**order_bits counters reach the driver."""
+    size = 1 << p.order_bits
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(size, np.int64)
+        for x in batches:
+            for v in x["packed"]:
+                total += np.bincount(np.frombuffer(v, np.uint32, len(v) // 8) & np.uint32(size - 1), minlength=size)
+        at = np.flatnonzero(total)
+        yield pd.DataFrame({"slot": at, "n": total[at]})
+
+    counted = packed.select("packed").mapInPandas(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(size, np.int64)
+    out[counted.slot.to_numpy()] = counted.n
+    return out
+
+
+def prefixes(counts: Broadcast, p: Params):
+    """A column function: the shingles of a packed document that one similar to it must share one of."""
+
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def prefix(packed: pd.Series) -> pd.Series:
+        out = []
+        for v in packed:
+            h, w = np.frombuffer(v, np.uint32, len(v) // 8), np.frombuffer(v, np.float32, len(v) // 8, len(v) // 2).astype(np.float64)
+            order = np.lexsort((h, counts.value[h & np.uint32(len(counts.value) - 1)]))
+            before = np.concatenate(([0.0], np.cumsum(w[order])[:-1]))
+            # What follows a shingle outside, itself included, weighs less than the threshold asks for.
+            out.append(h[order[before <= (1 - p.threshold + 1e-3) * w.sum()]].astype(np.int64))
+        return pd.Series(out, dtype=object)
+
+    return prefix
+
+
 def links(spark: SparkSession, docs: DataFrame, unique: DataFrame, idf: Broadcast, p: Params, scratch: Scratch) -> DataFrame:
     """Verified links (a, b) between different texts, ``unique`` holding doc_id and band keys.
 
     Here a doc_id is any key of one text; ``docs`` has its text.
     """
-    spread = unique.select("doc_id", F.posexplode("keys").alias("band", "key"))
-    shared = spread.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    member = scratch.keep(spread.join(shared, "key"), "member")
+    spread = unique.select("doc_id", F.explode("keys").alias("key"))
+    shared = scratch.keep(spread.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared")
+    member = attach(spread, shared, "key", "n").withColumn("parts", F.ceil(F.col("n") / p.part).cast("int"))
+    member = scratch.keep(member.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")), "member")
     centre = member.groupBy("doc_id").agg(F.sum("n").alias("near"))
-    state = scratch.keep(member.join(centre, "doc_id").select("key", "doc_id", "near"), "state")
+    state = scratch.keep(member.join(centre, "doc_id").select("key", "part", "parts", "doc_id", "near"), "state")
     vectors = scratch.keep(vectors_of(docs.join(centre.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), idf, p), "vectors")
     tested = unique.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b"), F.lit(True).alias("linked")).limit(0)
 
@@ -224,37 +263,46 @@ def links(spark: SparkSession, docs: DataFrame, unique: DataFrame, idf: Broadcas
         two = vectors.select(F.col("doc_id").alias("b"), F.col("packed").alias("vb"))
         return scratch.keep(pairs.join(two, "b").join(one, "a").select("a", "b", (similarity("va", "vb") >= p.threshold).alias("linked")), "tested")
 
+    def dealt(groups: DataFrame) -> DataFrame:
+        """A copy of each group for each of its parts."""
+        return groups.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+
     for _ in range(p.turns):
         # The pivot of a bucket: the open member with the most neighbours, the greatest id of several.
-        pivot = state.groupBy("key").agg(F.max(F.struct("near", "doc_id")).alias("top"), F.count("*").alias("n"))
-        pivot = pivot.where("n > 1").select("key", F.col("top.doc_id").alias("pivot"))
-        met = state.join(pivot, "key").where("doc_id <> pivot").withColumns({"a": F.least("doc_id", "pivot"), "b": F.greatest("doc_id", "pivot")})
+        pivot = state.groupBy("key").agg(F.max(F.struct("near", "doc_id")).alias("top"), F.count("*").alias("n"), F.max("parts").alias("parts"))
+        pivot = dealt(pivot.where("n > 1").select("key", "parts", F.col("top.doc_id").alias("pivot"))).drop("parts")
+        met = state.join(pivot, ["key", "part"]).where("doc_id <> pivot").withColumns({"a": F.least("doc_id", "pivot"), "b": F.greatest("doc_id", "pivot")})
         met = scratch.keep(met, "met")
         tested = tested.union(compare(met.select("a", "b").distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")))
         # What failed stays open and gets another pivot under its own key.
-        state = scratch.keep(met.join(tested.where("not linked"), ["a", "b"]).select("key", "doc_id", "near"), "state")
+        state = scratch.keep(met.join(tested.where("not linked"), ["a", "b"]).select("key", "part", "parts", "doc_id", "near"), "state")
         if state.isEmpty():
             break
-    # Pivots only join what is easily joined; all other pairs of a bucket follow, but those of one class.
+    # Pivots join what is easily joined; of buckets in more than one class the rest follows by prefixes.
     joined = components(tested.where("linked").select("a", "b"), scratch).withColumnRenamed("class_id", "own")
     placed = member.join(joined, "doc_id", "left").withColumn("own", F.coalesce("own", "doc_id"))
     placed = scratch.keep(placed, "placed")
-    mixed = placed.groupBy("key").agg(F.min("own").alias("low"), F.max("own").alias("high")).where("low <> high").select("key")
-    size = vectors.select("doc_id", weight("packed").alias("weight"))
-    rest = placed.join(mixed, "key").join(size, "doc_id").join(unique, "doc_id")
-    rest = scratch.keep(rest.withColumn("parts", F.ceil(F.col("n") / p.part).cast("int")), "rest")
-    # A large bucket is cut into parts; each pair of parts is a cell of its own.
+    mixed = placed.groupBy("key").agg(F.min("own").alias("low"), F.max("own").alias("high"), F.max("parts").alias("parts")).where("low <> high")
+    open_ = scratch.keep(placed.join(dealt(mixed.select("key", "parts")).drop("parts"), ["key", "part"]).select("key", "doc_id", "own"), "open")
+    if open_.isEmpty():
+        return tested.where("linked").select("a", "b")
+    wanted = scratch.keep(vectors.join(open_.select("doc_id").distinct(), "doc_id", "left_semi"), "wanted")
+    counts = spark.sparkContext.broadcast(shingle_counts(spark, wanted, p))  # 2**order_bits integers
+    size = wanted.select("doc_id", weight("packed").alias("weight"), prefixes(counts, p)("packed").alias("prefix"))
+    rest = open_.join(size, "doc_id").select("key", "doc_id", "own", "weight", F.explode("prefix").alias("shingle"))
+    rest = scratch.keep(rest.withColumn("group", F.xxhash64("key", "shingle")).drop("key", "shingle"), "rest")
+    groups = rest.groupBy("group").agg(F.count("*").alias("n"), F.min("own").alias("low"), F.max("own").alias("high"))
+    groups = scratch.keep(groups.where("low <> high").select("group", "n"), "groups")
+    # A large group is cut into parts; each pair of parts is a cell of its own.
+    rest = attach(rest, groups, "group", "n").withColumn("parts", F.ceil(F.col("n") / p.part).cast("int"))
     rest = rest.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
-    cell = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
-    rest = rest.select("key", "band", "doc_id", "own", "weight", "keys", "part", cell)
-    rest = rest.withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")})
-    x, y = (rest.select("key", "i", "j", *(F.col(c).alias(c + side) for c in ("doc_id", "own", "weight", "keys", "part", "band"))) for side in "xy")
-    pairs = x.join(y, ["key", "i", "j"]).where("ownx <> owny and ((partx = party and doc_idx < doc_idy) or partx < party)")
+    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rest = scratch.keep(rest.withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")}), "cells")
+    x, y = (rest.select("group", "i", "j", *(F.col(c).alias(c + side) for c in ("doc_id", "own", "weight", "part"))) for side in "xy")
+    pairs = x.join(y, ["group", "i", "j"]).where("ownx <> owny and ((partx = party and doc_idx < doc_idy) or partx < party)")
     # No pair of such weights can be similar enough (with a margin for rounding).
     pairs = pairs.where(F.least("weightx", "weighty") >= (p.threshold - 1e-3) * F.greatest("weightx", "weighty"))
-    # A pair that shares several bands is made in the first of them.
-    pairs = pairs.where("array_position(transform(arrays_zip(keysx, keysy), k -> k.keysx = k.keysy), true) = bandx + 1")
-    pairs = pairs.select(F.least("doc_idx", "doc_idy").alias("a"), F.greatest("doc_idx", "doc_idy").alias("b"))
+    pairs = pairs.select(F.least("doc_idx", "doc_idy").alias("a"), F.greatest("doc_idx", "doc_idy").alias("b")).distinct()
     pairs = scratch.keep(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
     return tested.union(compare(pairs)).where("linked").select("a", "b")
 
@@ -288,7 +336,7 @@ def grouped(spark: SparkSession, docs: DataFrame, params: Params) -> DataFrame:
     scratch = Scratch(spark, "near-dedup")
     idf = spark.sparkContext.broadcast(word_idf(spark, docs, params))  # 2**idf_bits floats
     signed = scratch.keep(sign(docs, idf, params), "signed")
-    copies = signed.where("content is not null").groupBy("content").agg(F.min("doc_id").alias("first"))
+    copies = signed.where("content is not null").groupBy("content").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
     copies = scratch.keep(copies, "copies")
     # Of each text one row is read again: a text's keys, shingles and class hang on its hash, not on an id.
     read = F.expr("doc_id <=> first")
@@ -300,10 +348,11 @@ def grouped(spark: SparkSession, docs: DataFrame, params: Params) -> DataFrame:
     named = copies.join(found.select(F.col("doc_id").alias("content"), F.col("class_id").alias("root")), "content", "left")
     named = scratch.keep(named.withColumn("root", F.coalesce("root", "content")), "named")
     least = named.groupBy("root").agg(F.min("first").alias("class_id"))
-    named = scratch.keep(named.join(least, "root").select("content", "root", "class_id"), "named")
-    result = signed.select("doc_id", "hash", "content").join(named, "content", "left")
-    own = F.when(F.col("content").isNull(), F.col("doc_id")).otherwise(F.col("class_id"))
-    result = scratch.keep(result.select("doc_id", "hash", "root", own.alias("class_id")), "result")
+    named = scratch.keep(named.join(least, "root").select("content", "n", "root", "class_id"), "named")
+    rows = signed.select("doc_id", "hash", "content")
+    result = attach(rows.where("content is not null"), named, "content", "n").select("doc_id", "hash", "root", "class_id")
+    empty = rows.where("content is null").select("doc_id", "hash", F.lit(None).cast("string").alias("root"), F.col("doc_id").alias("class_id"))
+    result = scratch.keep(result.union(empty), "result")
     scratch.close("result")
     return result
 

@@ -75,3 +75,33 @@ def test_null_and_shared_ids_lose_no_text(spark):
     assert sorted(tuple(r) for r in found if r["doc_id"] == 2) == [(2, 1)] and len(found) == len(rows)
     kept = {tuple(r) for r in N.keep_one(spark, docs).collect()}
     assert kept == {rows[0], rows[1], rows[2], rows[3], rows[5]}
+
+
+def test_a_bucket_of_unlike_texts_loses_no_link(spark):
+    """A family of mutual similarity about 0.7 with near copies in it, all in one hot bucket, against all pairs by the same measure."""
+    import random
+
+    import numpy as np
+    from loamspark.llm.kernels import words
+
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(150)]
+    family = [[f"x{i}.{j}" if rng.random() < 0.035 else t for j, t in enumerate(base)] for i in range(60)]
+    family += [[*t[:at], "new", *t[at + 1 :]] for t in rng.sample(family, 20) for at in (rng.randrange(150),)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(family)], "doc_id long, text string")
+    unique = spark.createDataFrame([(i, [7] + [100 * i + k for k in range(11)]) for i in range(len(family))], "doc_id long, keys array<long>")
+    p = N.Params(part=16, turns=2)
+    idf = spark.sparkContext.broadcast(N.word_idf(spark, docs, p))
+    found = {tuple(r) for r in N.links(spark, docs, unique, idf, p, N.Scratch(spark, "test")).collect()}
+    doc, h, weight = N.shingles(words([" ".join(t) for t in family]), idf.value, p.shingle)
+    own = [(h[doc == i] >> np.uint64(32), weight[doc == i]) for i in range(len(family))]
+    want = {(a, b) for a, b in combinations(range(len(family)), 2) if N.weighted_jaccard(*own[a], *own[b]) >= p.threshold}
+
+    def component(links):
+        least = list(range(len(family)))
+        for _ in family:
+            for a, b in links:
+                least[a] = least[b] = min(least[a], least[b])
+        return least
+
+    assert 20 <= len(want) < 500 and found <= want and component(found) == component(want)
