@@ -16,8 +16,12 @@ Defined results: a null text is the empty text, a null role is ``unknown``, a me
 such an object is plain. Repeated rows (equal in all four columns) are one message. A call
 without id has no result; of several calls with one id in a conversation the first is linked, the
 others are ``duplicate``. Arguments that are no JSON object, and tools without schema, are
-invalid. Results without call are ``orphan``. Extra columns are ignored; an empty table gives an
-empty result. Conversations are never gathered into one row or task.
+invalid. Results without call are ``orphan``. Messages with a null conv_id are one conversation;
+a null turn comes before all others. Text that is no JSON that can be written again as UTF-8 (NaN,
+numbers out of range, lone surrogates, nested too deeply) stays text. Extra columns are ignored; an
+empty table gives an empty result. Conversations are never gathered into one row or task: only the
+calls of one message are, and identifiers that very many results share are joined by broadcast of
+their one call.
 """
 
 from __future__ import annotations
@@ -31,11 +35,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from .common import Scratch
+from .common import Scratch, attach
 
 CALLS = "tool_calls array<struct<id:string,name:string,arguments:string,after:array<string>>>"
 RESULT = "tool_call_id string, content string"
-KEY = ("conv_id", "turn", "part")  #: part tells apart different messages of one turn
+KEY = ("conv", "at", "part")  #: conversation and turn without nulls; part tells apart different messages of one turn
 
 #: The tools of the default catalogue, with type and need of each argument.
 SCHEMAS: dict[str, dict[str, tuple[str, bool]]] = {
@@ -64,17 +68,33 @@ def fits(arguments: object, schema: Mapping[str, tuple[str, bool]] | None) -> bo
     )
 
 
+def _finite(text: str) -> float:
+    value = float(text)
+    if value in (float("inf"), float("-inf")):
+        raise ValueError(text)
+    return value
+
+
+def _refuse(text: str) -> None:
+    raise ValueError(text)
+
+
 def _loads(text: str | None) -> object:
+    """The JSON value of a text, or the text where it is none that can be written again."""
+    if text is None:
+        return None
     try:
-        return json.loads(text) if text is not None else None
-    except ValueError:
+        value = json.loads(text, parse_constant=_refuse, parse_float=_finite)
+        canonical([[[[[[[[value]]]]]]]]).encode()  # with room for the record around it
+    except (ValueError, RecursionError):
         return text
+    return value
 
 
 def parse(messages: DataFrame) -> DataFrame:
-    """Messages with part, calls (array or null) and result (struct or null)."""
+    """Messages with their key, calls (array or null) and result (struct or null)."""
     rows = messages.select("conv_id", "turn", F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).distinct()
-    rows = rows.withColumn("part", F.xxhash64("role", "text"))
+    rows = rows.withColumns({"conv": F.coalesce(F.col("conv_id").cast("string"), F.lit("")), "at": F.coalesce(F.col("turn").cast("long"), F.lit(-(1 << 63))), "part": F.xxhash64("role", "text")})
     is_object = F.col("text").rlike(r"^\s*\{")
     calls = F.when((F.col("role") == "assistant") & is_object & F.col("text").contains("tool_calls"), F.from_json("text", CALLS)["tool_calls"])
     result = F.when((F.col("role") == "tool") & is_object, F.from_json("text", RESULT))
@@ -82,33 +102,34 @@ def parse(messages: DataFrame) -> DataFrame:
 
 
 def link(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Calls with their results (content) and status, and results with whether a call took them."""
+    """Calls with their results (content) and status, and the keys of results that a call took."""
     calls = parsed.where("calls is not null").select(*KEY, F.posexplode("calls").alias("place", "call")).select(*KEY, "place", "call.*")
-    first = F.row_number().over(W.partitionBy("conv_id", "id").orderBy("turn", "part", "place"))
-    calls = calls.withColumn("nth", F.when(F.col("id").isNotNull(), first))
-    results = parsed.where("result is not null").select(*(F.col(k).alias(f"r_{k}") for k in KEY), F.col("result.tool_call_id").alias("r_id"), F.col("result.content").alias("content"))
-    asks = calls.where("nth = 1").select(*KEY, "place", "id")
-    met = asks.join(results, (F.col("conv_id").eqNullSafe(F.col("r_conv_id"))) & (F.col("id") == F.col("r_id")) & (F.col("r_turn") >= F.col("turn")))
-    taken = met.groupBy(*KEY, "place").agg(F.min(F.struct("r_turn", "r_part", "content")).alias("took"))
-    linked = calls.join(taken, [*KEY, "place"], "left")
-    status = F.when(F.col("nth") > 1, "duplicate").when(F.col("took").isNull(), "open").otherwise("linked")
-    linked = linked.select(*KEY, "place", "id", "name", "arguments", "after", "nth", F.col("took.content").alias("content"), status.alias("status"))
-    used = linked.where("status = 'linked'").join(taken, [*KEY, "place"]).select("conv_id", F.col("took.r_turn").alias("turn"), F.col("took.r_part").alias("part")).distinct().withColumn("used", F.lit(True))
+    first = calls.where("id is not null").groupBy("conv", "id").agg(F.min(F.struct("at", "part", "place")).alias("first"))
+    first = first.select("conv", "id", "first.*")
+    results = parsed.where("result is not null").select("conv", F.col("at").alias("r_at"), F.col("part").alias("r_part"), F.col("result.tool_call_id").alias("id"), F.col("result.content").alias("content"))
+    asked = results.groupBy("conv", "id").agg(F.count("*").alias("n")).join(first, ["conv", "id"])
+    pair = F.concat_ws("\x00", "conv", "id")
+    met = attach(results.withColumn("pair", pair).drop("conv", "id"), asked.withColumn("pair", pair), "pair", "n").where("r_at >= at")
+    taken = met.groupBy(*KEY, "place").agg(F.min(F.struct("r_at", "r_part", "content")).alias("took"))
+    linked = calls.join(first.select(*KEY, "place", F.lit(True).alias("first")), [*KEY, "place"], "left").join(taken, [*KEY, "place"], "left")
+    status = F.when(F.col("id").isNotNull() & F.col("first").isNull(), "duplicate").when(F.col("took").isNull(), "open").otherwise("linked")
+    linked = linked.select(*KEY, "place", "id", "name", "arguments", "after", F.coalesce("first", F.lit(False)).alias("first"), F.col("took.content").alias("content"), status.alias("status"))
+    used = taken.select("conv", F.col("took.r_at").alias("at"), F.col("took.r_part").alias("part")).distinct().withColumn("used", F.lit(True))
     return linked, used
 
 
 def levels(spark: SparkSession, linked: DataFrame, scratch: Scratch) -> DataFrame:
-    """conv_id, id and level of the first call of each id; calls in or behind a cycle are left out."""
-    nodes = linked.where("nth = 1").select("conv_id", "id")
-    waits = linked.where("nth = 1").select("conv_id", "id", F.explode("after").alias("need")).distinct()
-    needed = nodes.select("conv_id", F.col("id").alias("need"))
-    waits = scratch.keep(waits.join(needed, ["conv_id", "need"], "left_semi"), "waits")
-    done = scratch.keep(nodes.join(waits, ["conv_id", "id"], "left_anti").withColumn("level", F.lit(0)), "levels")
+    """conv, id and level of the first call of each id; calls in or behind a cycle are left out."""
+    nodes = linked.where("first").select("conv", "id")
+    waits = linked.where("first").select("conv", "id", F.explode("after").alias("need")).distinct()
+    needed = nodes.select("conv", F.col("id").alias("need"))
+    waits = scratch.keep(waits.join(needed, ["conv", "need"], "left_semi"), "waits")
+    done = scratch.keep(nodes.join(waits, ["conv", "id"], "left_anti").withColumn("level", F.lit(0)), "levels")
     level = 0
     while not waits.isEmpty():
         level += 1
-        waits = scratch.keep(waits.join(done.select("conv_id", F.col("id").alias("need")), ["conv_id", "need"], "left_anti"), "waits")
-        ready = nodes.join(waits, ["conv_id", "id"], "left_anti").join(done, ["conv_id", "id"], "left_anti")
+        waits = scratch.keep(waits.join(done.select("conv", F.col("id").alias("need")), ["conv", "need"], "left_anti"), "waits")
+        ready = nodes.join(waits, ["conv", "id"], "left_anti").join(done, ["conv", "id"], "left_anti")
         ready = scratch.keep(ready.withColumn("level", F.lit(level)), "levels")
         if ready.isEmpty():
             break
@@ -131,7 +152,7 @@ def format_chats(spark: SparkSession, messages: DataFrame, schemas: Mapping[str,
     linked = scratch.keep(linked.withColumn("valid", valid("name", "arguments")), "linked")
     level = levels(spark, linked, scratch)
     one = F.struct(F.coalesce("level", F.lit(1 << 30)).alias("level"), "place", "id", "name", "arguments", "status", "content", "valid")
-    own = linked.join(level, ["conv_id", "id"], "left").groupBy(*KEY).agg(F.sort_array(F.collect_list(one)).alias("linked"))
+    own = linked.join(level, ["conv", "id"], "left").groupBy(*KEY).agg(F.sort_array(F.collect_list(one)).alias("linked"))
     rows = special.join(own, list(KEY), "left").join(used, list(KEY), "left")
     status = F.when(F.col("calls").isNotNull(), "calls").when(F.col("used"), "result").otherwise("orphan")
     count = lambda f: F.coalesce(F.size(F.filter("linked", f)), F.lit(0)).cast("long")

@@ -49,3 +49,63 @@ def test_a_call_takes_the_first_later_result(spark):
     got = {r["turn"]: r for r in run(spark, rows)}
     assert json.loads(got[1]["record"])["tool_calls"][0]["result"] == "first" and got[3]["status"] == "orphan"
     assert json.loads(got[4]["record"])["tool_calls"][0]["status"] == "duplicate"
+
+
+def plain(rows):
+    """The records by plain loops."""
+    seen = sorted({(c, t, r if r is not None else "unknown", x or "") for c, t, r, x in rows}, key=str)
+    turn = lambda m: -(1 << 63) if m[1] is None else m[1]
+    made = lambda m: json.loads(m[3])["tool_calls"] if m[2] == "assistant" and m[3].startswith("{") else None
+    answer = lambda m: json.loads(m[3]) if m[2] == "tool" and m[3].startswith("{") else None
+    calls = [(m, i, c) for m in seen for i, c in enumerate(made(m) or [])]
+    first, took, used = {}, {}, set()
+    for m, i, c in sorted(calls, key=lambda x: (turn(x[0]), x[1])):
+        if c["id"] is not None:
+            first.setdefault((m[0], c["id"]), (m, i))
+    for (conv, ident), (m, i) in first.items():
+        fit = [r for r in seen if answer(r) and r[0] == conv and answer(r)["tool_call_id"] == ident and turn(r) >= turn(m)]
+        if fit:
+            took[m, i] = min(fit, key=turn)
+            used.add(took[m, i])
+    level, waits = {}, {(m[0], c["id"]): {(m[0], a) for a in c["after"] or () if (m[0], a) in first} for m, i, c in calls if first.get((m[0], c["id"])) == (m, i)}
+    while ready := [k for k in waits if k not in level and all(a in level for a in waits[k])]:
+        level |= {k: 1 + max((level[a] for a in waits[k]), default=-1) for k in ready}
+    out = []
+    for m in seen:
+        line = {"role": m[2], "turn": m[1]}
+        if made(m) is not None:
+            own = sorted(((level.get((m[0], c["id"]), 1 << 30), i, c) for i, c in enumerate(made(m))), key=lambda x: x[:2])
+            line["tool_calls"] = [{"id": c["id"], "name": c["name"], "arguments": C._loads(c["arguments"]), "level": None if n == 1 << 30 else n, "valid": C.fits(C._loads(c["arguments"]), C.SCHEMAS.get(c["name"])), "result": C._loads(answer(took[m, i])["content"]) if (m, i) in took else None, "status": "duplicate" if c["id"] is not None and first[m[0], c["id"]] != (m, i) else "linked" if (m, i) in took else "open"} for n, i, c in own]
+        elif answer(m):
+            line |= {"tool_call_id": answer(m)["tool_call_id"], "content": C._loads(answer(m)["content"])}
+        else:
+            line["content"] = m[3]
+        out.append((m[0], "calls" if made(m) is not None else ("result" if m in used else "orphan") if answer(m) else "plain", C.canonical(line)))
+    return out
+
+
+def test_equals_plain_loops(spark):
+    import random
+
+    rng, rows = random.Random(2), []
+    for conv in (1, 2, 3, None):
+        for turn in (None, *range(40)):
+            if rng.random() < 0.4:
+                own = [(rng.choice("abcdefghij") if rng.random() < 0.9 else None, rng.choice(["search", "fetch", "none"]), rng.choice([{"query": "q"}, {"url": "u", "x": 1}, "no json", {"query": True}]), rng.choice([None, [], [rng.choice("abcdefghij")], ["a", "b"]])) for _ in range(rng.randrange(1, 4))]
+                rows.append((conv, turn, "assistant", call(*own)))
+            elif rng.random() < 0.7:
+                rows.append((conv, turn, "tool", result(rng.choice("abcdefghijkl"), rng.choice(["1", "text", '{"b":1,"a":[NaN]}', '{"b":1,"a":[2]}']))))
+            else:
+                rows.append((conv, turn, rng.choice(["user", None]), rng.choice(["hi", None])))
+    got = run(spark, rows + rows[:20])
+    assert sorted(((r["conv_id"], r["status"], r["record"]) for r in got), key=str) == sorted(plain(rows), key=str)
+    assert sum(r["n_linked"] for r in got) > 5 and any(c["level"] for r in got if r["n_calls"] for c in json.loads(r["record"])["tool_calls"])
+
+
+def test_what_cannot_be_written_as_json_stays_text(spark):
+    odd = ["[" * 200_000, "NaN", '{"a":1e999}', '"\\ud800"', "9" * 5000, "[" * 500 + "]" * 500]
+    rows = [(1, i, "tool", result(str(i), x)) for i, x in enumerate(odd)] + [(1, 99, "assistant", call(*((str(i), "search", x, []) for i, x in enumerate(odd))))]
+    got = {r["turn"]: r for r in run(spark, rows)}
+    assert len(got) == len(rows) and got[99]["n_invalid"] == len(odd)
+    for i, x in enumerate(odd[:5]):
+        assert json.loads(got[i]["record"])["content"] == x
