@@ -10,13 +10,21 @@ Each document gets ``bands * rows`` consistent weighted samples (r and c from Ga
 uniform; the least ln a of each sample identifies its shingle and quantised weight). Documents
 whose samples agree in a whole band share a bucket. In each bucket one pivot, the member with
 the most neighbours over all bands, is compared with the others by exact weighted Jaccard
-similarity; members that fail get a pivot of their own under the same key, ``turns`` times. Of
-what is left, buckets whose members are not all in one class are joined exactly by prefixes: in
-one order of all shingles, the rare ones first, two documents of similarity s or more share a
-shingle among the first ones that make up more than 1 - s of the weight of each. So documents
-that share a bucket and are similar are always in one class, and unlike members of a bucket are
-not paired. Hot keys are dealt over parts in every join. Links of at least ``threshold`` give
-the classes, found by repeated contraction to the least neighbour.
+similarity. Buckets of ``small`` members or less that are not in one class by then are compared
+pair by pair. In larger ones the rest is joined exactly, without pairing unlike members:
+
+With D(x, y) the sum of |x - y| over all shingles and W the sum of weights, similarity s or more
+means D(x, y) <= c (W(x) + W(y)), c = (1 - s) / (1 + s). Let a(x) = x - pivot, signed shingles, so
+that D(x, y) is the distance of a(x) and a(y), and |a| the sum of its sizes. If y is not similar
+to the pivot then D(y, pivot) > c (W(y) + W(pivot)), so x and y can only be similar if they share
+at least (|a(x)| + c (W(pivot) - W(x))) / 2 of their differences from the pivot. Two documents
+that do share a difference among the first of each, up to that much being left, in any one order
+of all differences; those that many members have stand last. Members similar to the pivot are
+met only with those that are not, whose list then goes on until (|a(y)| - c (W(pivot) + W(y))) / 2
+is left. So documents that share a bucket and are similar are always in one class.
+
+Hot keys are dealt over parts in every join. Links of at least ``threshold`` give the classes,
+found by repeated contraction to the least neighbour.
 
 Exact copies are one text with many ids; only one of them is sampled and compared.
 
@@ -51,9 +59,9 @@ class Params:
     bands: int = 12
     rows: int = 4
     idf_bits: int = 16
-    turns: int = 3  #: of pivots, before the rest of a bucket is joined by prefixes
-    part: int = 256  #: members of a part of a large bucket or prefix group, about
-    order_bits: int = 18  #: slots in which shingles are counted to put the rare ones first
+    small: int = 16  #: members of a bucket that is compared pair by pair
+    often: float = 1 / 16  #: share of a pivot's members that makes a difference a frequent one
+    part: int = 256  #: members of a part of a large group, about
     seed: int = 11
 
 
@@ -209,39 +217,68 @@ def weight(packed: pd.Series) -> pd.Series:
 # --- links and classes -------------------------------------------------------------------
 
 
-def shingle_counts(spark: SparkSession, packed: DataFrame, p: Params) -> np.ndarray:
-    """How often each slot of shingles occurs in ``packed``; 2**order_bits counters reach the driver."""
-    size = 1 << p.order_bits
+def _unpacked(v: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(v, np.uint32, len(v) // 8), np.frombuffer(v, np.float32, len(v) // 8, len(v) // 2).astype(np.float64)
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(size, np.int64)
-        for x in batches:
-            for v in x["packed"]:
-                total += np.bincount(np.frombuffer(v, np.uint32, len(v) // 8) & np.uint32(size - 1), minlength=size)
-        at = np.flatnonzero(total)
-        yield pd.DataFrame({"slot": at, "n": total[at]})
 
-    counted = packed.select("packed").mapInPandas(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(size, np.int64)
-    out[counted.slot.to_numpy()] = counted.n
-    return out
+def against_pivots(p: Params):
+    """A column function of (document, pivot, whether its bucket is large): whether they are linked, and how they differ.
+
+    The differences are signed shingles (twice the hash, plus one where the pivot has more) and
+    their sizes, packed; ``short`` and ``long`` say how much of them is not needed in a prefix.
+    """
+
+    @F.pandas_udf("linked boolean, differences binary, short double, long double")
+    def compare(x: pd.Series, pivot: pd.Series, large: pd.Series) -> pd.DataFrame:
+        c, out = (1 - p.threshold) / (1 + p.threshold), []
+        for vx, vp, big in zip(x, pivot, large, strict=True):
+            (hx, wx), (hp, wp) = _unpacked(vx), _unpacked(vp)
+            linked = weighted_jaccard(hx, wx, hp, wp) >= p.threshold
+            if not big:
+                out.append((linked, None, None, None))
+                continue
+            every, back = np.unique(np.concatenate((hx, hp)), return_inverse=True)
+            gap = np.bincount(back, np.concatenate((wx, -wp)), len(every))
+            at = np.flatnonzero(gap)
+            token, size = every[at].astype(np.int64) * 2 + (gap[at] < 0), np.abs(gap[at])
+            spare = 1e-3 * (wx.sum() + wp.sum())  # for rounding
+            short = (size.sum() + c * (wp.sum() - wx.sum())) / 2 - spare
+            long = (size.sum() - c * (wp.sum() + wx.sum())) / 2 - spare
+            out.append((linked, token.tobytes() + size.tobytes(), short, short if linked else min(short, long)))
+        return pd.DataFrame(out, columns=["linked", "differences", "short", "long"])
 
+    return compare
 
-def prefixes(counts: Broadcast, p: Params):
-    """A column function: the shingles of a packed document that one similar to it must share one of."""
 
-    @F.pandas_udf(T.ArrayType(T.LongType()))
-    def prefix(packed: pd.Series) -> pd.Series:
-        out = []
-        for v in packed:
-            h, w = np.frombuffer(v, np.uint32, len(v) // 8), np.frombuffer(v, np.float32, len(v) // 8, len(v) // 2).astype(np.float64)
-            order = np.lexsort((h, counts.value[h & np.uint32(len(counts.value) - 1)]))
-            before = np.concatenate(([0.0], np.cumsum(w[order])[:-1]))
-            # What follows a shingle outside, itself included, weighs less than the threshold asks for.
-            out.append(h[order[before <= (1 - p.threshold + 1e-3) * w.sum()]].astype(np.int64))
-        return pd.Series(out, dtype=object)
+def _differences(v: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(v, np.int64, len(v) // 16), np.frombuffer(v, np.float64, len(v) // 16, len(v) // 2)
+
+
+def difference_counts(rows: DataFrame) -> DataFrame:
+    """pivot, token and n, the number of members of the pivot that have this difference."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            own = [_differences(v)[0] for v in x["differences"]]
+            pairs = pd.DataFrame({"pivot": np.repeat(x["pivot"].to_numpy(), [len(t) for t in own]), "token": np.concatenate(own) if own else np.zeros(0, np.int64)})
+            yield pairs.groupby(["pivot", "token"], as_index=False).size().rename(columns={"size": "n"})
+
+    kind = dict(rows.dtypes)["pivot"]
+    counted = rows.select("pivot", "differences").mapInPandas(count, f"pivot {kind}, token long, n long")
+    return counted.groupBy("pivot", "token").agg(F.sum("n").alias("n"))
 
-    return prefix
+
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("token", T.LongType()), T.StructField("short", T.BooleanType())])))
+def prefix(differences: pd.Series, short: pd.Series, long: pd.Series, frequent: pd.Series) -> pd.Series:
+    """The first differences, frequent ones last, until ``long`` is left; and whether ``short`` is left before."""
+    out = []
+    for v, a, b, last in zip(differences, short, long, frequent, strict=True):
+        token, size = _differences(v)
+        times = dict((t["token"], t["n"]) for t in last) if last is not None else {}
+        order = np.lexsort((token, [times.get(t, 0) for t in token.tolist()]))
+        left = size.sum() - np.concatenate(([0.0], np.cumsum(size[order])[:-1]))
+        out.append([{"token": int(t), "short": bool(n >= a)} for t, n in zip(token[order].tolist(), left, strict=True) if n >= b])
+    return pd.Series(out, dtype=object)
 
 
 def links(spark: SparkSession, docs: DataFrame, unique: DataFrame, idf: Broadcast, p: Params, scratch: Scratch) -> DataFrame:
@@ -249,62 +286,83 @@ def links(spark: SparkSession, docs: DataFrame, unique: DataFrame, idf: Broadcas
 
     Here a doc_id is any key of one text; ``docs`` has its text.
     """
-    spread = unique.select("doc_id", F.explode("keys").alias("key"))
-    shared = scratch.keep(spread.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared")
-    member = attach(spread, shared, "key", "n").withColumn("parts", F.ceil(F.col("n") / p.part).cast("int"))
-    member = scratch.keep(member.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")), "member")
-    centre = member.groupBy("doc_id").agg(F.sum("n").alias("near"))
-    state = scratch.keep(member.join(centre, "doc_id").select("key", "part", "parts", "doc_id", "near"), "state")
-    vectors = scratch.keep(vectors_of(docs.join(centre.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), idf, p), "vectors")
-    tested = unique.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b"), F.lit(True).alias("linked")).limit(0)
+
+    def dealt(rows: DataFrame, key: str) -> DataFrame:
+        """Rows with parts, the number of parts of their key, and part."""
+        n = scratch.keep(rows.groupBy(key).agg(F.count("*").alias("n")).where("n > 1"), "counted")
+        rows = attach(rows, n, key, "n").withColumn("parts", F.ceil(F.col("n") / p.part).cast("int"))
+        return rows.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
+
+    def copied(groups: DataFrame) -> DataFrame:
+        """A copy of each group for each of its parts."""
+        return groups.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
 
     def compare(pairs: DataFrame) -> DataFrame:
+        pairs = scratch.keep(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
         one = vectors.select(F.col("doc_id").alias("a"), F.col("packed").alias("va"))
         two = vectors.select(F.col("doc_id").alias("b"), F.col("packed").alias("vb"))
         return scratch.keep(pairs.join(two, "b").join(one, "a").select("a", "b", (similarity("va", "vb") >= p.threshold).alias("linked")), "tested")
 
-    def dealt(groups: DataFrame) -> DataFrame:
-        """A copy of each group for each of its parts."""
-        return groups.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    def ends(a: str, b: str) -> list[Column]:
+        return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+    member = scratch.keep(dealt(unique.select("doc_id", F.explode("keys").alias("key")), "key"), "member")
+    centre = member.groupBy("doc_id").agg(F.sum("n").alias("near"))
+    vectors = scratch.keep(vectors_of(docs.join(centre.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), idf, p), "vectors")
+    # The pivot of a bucket: the member with the most neighbours, the greatest id of several.
+    top = member.join(centre, "doc_id").groupBy("key").agg(F.max(F.struct("near", "doc_id")).alias("top"), F.max("parts").alias("parts"))
+    member = member.join(copied(top.select("key", "parts", F.col("top.doc_id").alias("pivot"))).drop("parts"), ["key", "part"])
+    member = scratch.keep(member.select("key", "pivot", "doc_id", "n", "parts", "part"), "pivots")
+    pairs = member.where("doc_id <> pivot").groupBy("pivot", "doc_id").agg(F.max(F.col("n") > p.small).alias("large"))
+    # A pivot of one document only needs no parts, so it is added to those that dealt keeps.
+    pairs = scratch.keep(pairs, "pairs")
+    times = scratch.keep(pairs.groupBy("pivot").agg(F.count("*").alias("n")), "times")
+    pairs = attach(pairs, times, "pivot", "n").withColumn("parts", F.ceil(F.col("n") / p.part).cast("int"))
+    pairs = pairs.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")).drop("n")
+    centres = times.join(vectors.withColumnsRenamed({"doc_id": "pivot", "packed": "centre"}), "pivot")
+    centres = copied(centres.select("pivot", "centre", F.ceil(F.col("n") / p.part).cast("int").alias("parts"))).drop("parts")
+    met = pairs.join(vectors, "doc_id").join(centres, ["pivot", "part"])
+    met = met.withColumn("found", against_pivots(p)("packed", "centre", "large")).select("pivot", "doc_id", "large", "parts", "part", "found.*")
+    met = scratch.keep(met, "met")
+    tested = met.select(*ends("pivot", "doc_id"), "linked").distinct()
 
-    for _ in range(p.turns):
-        # The pivot of a bucket: the open member with the most neighbours, the greatest id of several.
-        pivot = state.groupBy("key").agg(F.max(F.struct("near", "doc_id")).alias("top"), F.count("*").alias("n"), F.max("parts").alias("parts"))
-        pivot = dealt(pivot.where("n > 1").select("key", "parts", F.col("top.doc_id").alias("pivot"))).drop("parts")
-        met = state.join(pivot, ["key", "part"]).where("doc_id <> pivot").withColumns({"a": F.least("doc_id", "pivot"), "b": F.greatest("doc_id", "pivot")})
-        met = scratch.keep(met, "met")
-        tested = tested.union(compare(met.select("a", "b").distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")))
-        # What failed stays open and gets another pivot under its own key.
-        state = scratch.keep(met.join(tested.where("not linked"), ["a", "b"]).select("key", "part", "parts", "doc_id", "near"), "state")
-        if state.isEmpty():
-            break
-    # Pivots join what is easily joined; of buckets in more than one class the rest follows by prefixes.
     joined = components(tested.where("linked").select("a", "b"), scratch).withColumnRenamed("class_id", "own")
-    placed = member.join(joined, "doc_id", "left").withColumn("own", F.coalesce("own", "doc_id"))
-    placed = scratch.keep(placed, "placed")
-    mixed = placed.groupBy("key").agg(F.min("own").alias("low"), F.max("own").alias("high"), F.max("parts").alias("parts")).where("low <> high")
-    open_ = scratch.keep(placed.join(dealt(mixed.select("key", "parts")).drop("parts"), ["key", "part"]).select("key", "doc_id", "own"), "open")
-    if open_.isEmpty():
-        return tested.where("linked").select("a", "b")
-    wanted = scratch.keep(vectors.join(open_.select("doc_id").distinct(), "doc_id", "left_semi"), "wanted")
-    counts = spark.sparkContext.broadcast(shingle_counts(spark, wanted, p))  # 2**order_bits integers
-    size = wanted.select("doc_id", weight("packed").alias("weight"), prefixes(counts, p)("packed").alias("prefix"))
-    rest = open_.join(size, "doc_id").select("key", "doc_id", "own", "weight", F.explode("prefix").alias("shingle"))
-    rest = scratch.keep(rest.withColumn("group", F.xxhash64("key", "shingle")).drop("key", "shingle"), "rest")
-    groups = rest.groupBy("group").agg(F.count("*").alias("n"), F.min("own").alias("low"), F.max("own").alias("high"))
-    groups = scratch.keep(groups.where("low <> high").select("group", "n"), "groups")
+    size = vectors.select("doc_id", weight("packed").alias("weight"))
+    sized = scratch.keep(size.join(joined, "doc_id", "left").withColumn("own", F.coalesce("own", "doc_id")), "sized")
+
+    def sides(rows: DataFrame, on: list[str], more: list[str]) -> DataFrame:
+        """Pairs of rows in different classes whose weights alone do not rule a link out (with a margin for rounding)."""
+        x, y = (rows.select(*on, *(F.col(c).alias(c + side) for c in ("doc_id", "own", "weight", *more))) for side in "xy")
+        return x.join(y, on).where("ownx <> owny").where(F.least("weightx", "weighty") >= (p.threshold - 1e-3) * F.greatest("weightx", "weighty"))
+
+    # Small buckets: the pairs of those that are in more than one class.
+    few = member.where(F.col("n") <= p.small).select("key", "doc_id").join(sized, "doc_id")
+    mixed = few.groupBy("key").agg(F.min("own").alias("low"), F.max("own").alias("high")).where("low <> high").select("key")
+    few = scratch.keep(few.join(mixed, "key"), "few")
+    near = compare(sides(few, ["key"], []).where("doc_idx < doc_idy").select(*ends("doc_idx", "doc_idy")))
+
+    # Large ones: those that share differences from a pivot that not all are linked with.
+    large = met.where("large")
+    mixed = large.groupBy("pivot").agg(F.min("linked").alias("all"), F.count("*").alias("n"), F.max("parts").alias("parts")).where("not all and n > 1")
+    mixed = scratch.keep(mixed.drop("all"), "mixed")
+    if mixed.isEmpty():
+        return tested.union(near).where("linked").select("a", "b")
+    large = scratch.keep(large.join(copied(mixed).drop("parts", "n"), ["pivot", "part"]), "large")
+    frequent = difference_counts(large).join(mixed.select("pivot", F.col("n").alias("members"), "parts"), "pivot").where(F.col("n") > p.often * F.col("members"))
+    # At most 1 / often times as many as a member has on average.
+    frequent = frequent.groupBy("pivot").agg(F.collect_list(F.struct("token", "n")).alias("frequent"), F.max("parts").alias("parts"))
+    rows = large.join(copied(frequent).drop("parts"), ["pivot", "part"], "left")
+    rows = rows.select("pivot", "doc_id", "linked", F.explode(prefix("differences", "short", "long", "frequent")).alias("at"))
+    rows = scratch.keep(rows.select(F.xxhash64("pivot", "at.token").alias("group"), "doc_id", "linked", "at.short"), "prefixes")
+    groups = scratch.keep(rows.groupBy("group").agg(F.count("*").alias("n"), F.min("linked").alias("all")).where("n > 1 and not all").drop("all"), "groups")
+    rows = attach(rows, groups, "group", "n").withColumn("parts", F.ceil(F.col("n") / p.part).cast("int")).join(sized, "doc_id")
     # A large group is cut into parts; each pair of parts is a cell of its own.
-    rest = attach(rest, groups, "group", "n").withColumn("parts", F.ceil(F.col("n") / p.part).cast("int"))
-    rest = rest.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
-    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rest = scratch.keep(rest.withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")}), "cells")
-    x, y = (rest.select("group", "i", "j", *(F.col(c).alias(c + side) for c in ("doc_id", "own", "weight", "part"))) for side in "xy")
-    pairs = x.join(y, ["group", "i", "j"]).where("ownx <> owny and ((partx = party and doc_idx < doc_idy) or partx < party)")
-    # No pair of such weights can be similar enough (with a margin for rounding).
-    pairs = pairs.where(F.least("weightx", "weighty") >= (p.threshold - 1e-3) * F.greatest("weightx", "weighty"))
-    pairs = pairs.select(F.least("doc_idx", "doc_idy").alias("a"), F.greatest("doc_idx", "doc_idy").alias("b")).distinct()
-    pairs = scratch.keep(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
-    return tested.union(compare(pairs)).where("linked").select("a", "b")
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = scratch.keep(rows.withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")}), "cells")
+    pairs = sides(rows, ["group", "i", "j"], ["part", "linked", "short"]).where("(partx = party and doc_idx < doc_idy) or partx < party")
+    pairs = pairs.where("(not linkedx or not linkedy) and (linkedx or linkedy or (shortx and shorty))")
+    more = compare(pairs.select(*ends("doc_idx", "doc_idy")))
+    return tested.union(near).union(more).where("linked").select("a", "b")
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:

@@ -64,7 +64,7 @@ def test_a_pair_that_shares_one_band_with_a_pivot_unlike_both(spark):
     unique = spark.createDataFrame(list(enumerate(keys)), "doc_id long, keys array<long>")
     idf = spark.sparkContext.broadcast(N.word_idf(spark, docs, p))
     for part in (256, 1):
-        got = N.links(spark, docs, unique, idf, N.Params(part=part, turns=1), N.Scratch(spark, "test")).collect()
+        got = N.links(spark, docs, unique, idf, N.Params(part=part, small=16 if part > 1 else 2), N.Scratch(spark, "test")).collect()
         assert [tuple(r) for r in got] == [(0, 1)]
 
 
@@ -90,7 +90,7 @@ def test_a_bucket_of_unlike_texts_loses_no_link(spark):
     family += [[*t[:at], "new", *t[at + 1 :]] for t in rng.sample(family, 20) for at in (rng.randrange(150),)]
     docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(family)], "doc_id long, text string")
     unique = spark.createDataFrame([(i, [7] + [100 * i + k for k in range(11)]) for i in range(len(family))], "doc_id long, keys array<long>")
-    p = N.Params(part=16, turns=2)
+    p = N.Params(part=16)
     idf = spark.sparkContext.broadcast(N.word_idf(spark, docs, p))
     found = {tuple(r) for r in N.links(spark, docs, unique, idf, p, N.Scratch(spark, "test")).collect()}
     doc, h, weight = N.shingles(words([" ".join(t) for t in family]), idf.value, p.shingle)
