@@ -85,7 +85,7 @@ def changes(states: DataFrame, key: str, order: list[str], signature: str) -> Da
 def review_issues(correction: Column) -> Column:
     """Codes of what speaks against a review command, joined by commas in the order of the checks.
 
-    Columns: actor, owner, archived, project_status, client_revision, revision, processed, item_state
+    Columns: project, command_project, item_project, actor, owner, archived, project_status, client_revision, revision, processed, item_state
     (null: no such item), item_kind, command_item_kind, expected, from_state, to_state, kind;
     ``correction`` says whether a correction is well formed.
     """
@@ -94,12 +94,13 @@ def review_issues(correction: Column) -> Column:
     for kind, moves in TRANSITIONS.items():
         allowed = F.when(c("kind") == kind, F.concat_ws(":", "from_state", "to_state").isin(*moves)).otherwise(allowed)
     checks = (
-        (c("actor") != c("owner"), "project_not_owned"),
+        ((c("actor") != c("owner")) | (c("project") != c("command_project")), "project_not_owned"),
         (c("archived"), "project_archived"),
         (~c("archived") & ~c("project_status").isin(*REVIEWABLE), "project_not_reviewable"),
         (c("client_revision") != c("revision"), "stale_revision"),
         (c("processed"), "duplicate_command"),
         (c("item_state").isNull(), "item_not_found"),
+        (c("item_state").isNotNull() & ((c("item_project") != c("project")) | (c("item_project") != c("command_project"))), "item_project_mismatch"),
         (c("item_state").isNotNull() & (c("item_kind") != c("command_item_kind")), "item_kind_mismatch"),
         (c("item_state").isNotNull() & (c("item_state") != c("expected")), "stale_review_state"),
         ((c("from_state") != c("expected")) | ~allowed, "invalid_transition"),

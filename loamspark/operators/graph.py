@@ -97,15 +97,36 @@ def repair_plan(found: DataFrame) -> DataFrame:
     return found.select("model", "key", "drift", F.element_at(rank, F.col("drift")).alias("rank"), F.element_at(verb, F.col("drift")).alias("repair"))
 
 
-def integrity(revisions: DataFrame) -> DataFrame:
-    """X34h, W13: broken revision chains: wrong start, gaps, doubles and wrong predecessors."""
+def integrity(revisions: DataFrame, project: Column) -> DataFrame:
+    """X34h, W13: what is wrong with the rows of each item's history, in the order (revision, id).
+
+    Columns: kind, item, id (unique), revision, project, review, review_project, review_claim, claim,
+    action, lifecycle, predecessor.
+    """
     w = W.partitionBy("kind", "item").orderBy("revision", "id")
-    own = revisions.withColumns({"before": F.lag("revision").over(w), "before_id": F.lag("id").over(w)})
-    reasons = F.array_compact(F.array(
-        F.when(F.col("before").isNull() & (F.col("revision") != 1), "bad_first_revision"),
-        F.when(F.col("before") == F.col("revision"), "duplicate_revision"),
-        F.when(F.col("revision") > F.col("before") + 1, "revision_gap"),
-        F.when(~F.col("predecessor").eqNullSafe(F.col("before_id")), "broken_predecessor"),
-    ))
+    c = F.col
+    own = revisions.withColumns({"before": F.lag("id").over(w), "before_revision": F.lag("revision").over(w), "before_project": F.lag("project").over(w)})
+    named = revisions.select("kind", "item", c("id").alias("predecessor"), c("lifecycle").alias("predecessor_lifecycle"))
+    own = own.join(named, ["kind", "item", "predecessor"], "left")
+    later, follows = c("before").isNotNull(), c("predecessor").eqNullSafe(c("before"))
+    archives = c("action").eqNullSafe(F.lit("archive"))
+    archived = c("lifecycle") == "archived"
+    checks = (
+        (c("revision").isNull() | (c("revision") < 1), "invalid_revision"),
+        (later & (c("revision") <= c("before_revision")), "duplicate_or_unordered_revision"),
+        (~c("project").eqNullSafe(project), "cross_project_trusted_knowledge"),
+        (c("review").isNull() | ~c("review_project").eqNullSafe(project) | ~c("review_claim").eqNullSafe(c("claim")), "cross_project_or_claim_review"),
+        (~F.coalesce(c("action").isin(*ACTIONS), F.lit(False)), "unsupported_or_missing_review_action"),
+        (archived != archives, "lifecycle_review_action_mismatch"),
+        (~archived & ~F.coalesce(c("action").isin("approve", "correction", "restore"), F.lit(False)), "missing_compatible_review"),
+        (later & ~follows, "broken_predecessor_chain"),
+        (later & follows & ~c("before_project").eqNullSafe(project), "cross_project_or_logical_predecessor"),
+        (~later & c("predecessor").isNotNull(), "unexpected_first_predecessor"),
+        ((c("action") == "restore") & ~c("predecessor_lifecycle").eqNullSafe(F.lit("archived")), "restore_predecessor_invalid"),
+    )
+    reasons = F.array_compact(F.array(*(F.when(test, reason) for test, reason in checks)))
     return own.select("kind", "item", "id", F.explode(reasons).alias("reason"))
 
+
+#: The review actions of a history.
+ACTIONS = ("approve", "correction", "archive", "restore")

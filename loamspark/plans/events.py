@@ -68,10 +68,10 @@ KINDS, STATES = list(O.TRANSITIONS), ["proposed", "approved", "corrected", "arch
 
 
 @query(f"""WITH c AS (SELECT o_orderkey AS command_id, {KINDS!r}[o_orderkey % 6 + 1] AS kind, {STATES!r}[o_custkey % 4 + 1] AS expected, {STATES!r}[o_custkey % 4 + 1] AS from_state, {STATES!r}[(o_custkey + o_orderkey) % 4 + 1] AS to_state,
-                 CASE WHEN o_custkey % 11 = 0 THEN NULL ELSE {STATES!r}[(o_custkey + (o_orderkey % 9 = 0)::INT) % 4 + 1] END AS item_state, o_orderkey % 13 <> 0 AS owned, c_acctbal < 0 AS archived, o_orderstatus <> 'P' AS reviewable,
+                 CASE WHEN o_custkey % 11 = 0 THEN NULL ELSE {STATES!r}[(o_custkey + (o_orderkey % 9 = 0)::INT) % 4 + 1] END AS item_state, o_orderkey % 13 <> 0 AND o_custkey % 21 <> 0 AS owned, o_orderkey % 23 = 0 OR o_custkey % 21 = 0 AS elsewhere, c_acctbal < 0 AS archived, o_orderstatus <> 'P' AS reviewable,
                  o_orderkey % 8 = 0 AS stale, o_orderkey % 17 = 0 AS processed, o_orderkey % 10 <> 0 AS formed, o_orderkey % 19 = 0 AS other_kind FROM orders JOIN customer ON o_custkey = c_custkey)
            SELECT command_id, concat_ws(',', CASE WHEN NOT owned THEN 'project_not_owned' END, CASE WHEN archived THEN 'project_archived' END, CASE WHEN NOT archived AND NOT reviewable THEN 'project_not_reviewable' END,
-                  CASE WHEN stale THEN 'stale_revision' END, CASE WHEN processed THEN 'duplicate_command' END, CASE WHEN item_state IS NULL THEN 'item_not_found' END, CASE WHEN item_state IS NOT NULL AND other_kind THEN 'item_kind_mismatch' END,
+                  CASE WHEN stale THEN 'stale_revision' END, CASE WHEN processed THEN 'duplicate_command' END, CASE WHEN item_state IS NULL THEN 'item_not_found' END, CASE WHEN item_state IS NOT NULL AND elsewhere THEN 'item_project_mismatch' END, CASE WHEN item_state IS NOT NULL AND other_kind THEN 'item_kind_mismatch' END,
                   CASE WHEN item_state <> expected THEN 'stale_review_state' END, CASE WHEN NOT ({MOVES}) THEN 'invalid_transition' END, CASE WHEN kind = 'correct' AND NOT formed THEN 'invalid_correction' END) AS issues FROM c""")
 def x34_review_validation(t: Tables) -> DataFrame:
     k, u = F.col("o_orderkey"), F.col("o_custkey")
@@ -79,6 +79,7 @@ def x34_review_validation(t: Tables) -> DataFrame:
     c = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).select(
         k.alias("command_id"), pick(KINDS, k).alias("kind"), pick(STATES, u).alias("expected"), pick(STATES, u).alias("from_state"), pick(STATES, u + k).alias("to_state"),
         F.when(u % 11 != 0, pick(STATES, u + (k % 9 == 0).cast("int"))).alias("item_state"), F.when(k % 13 == 0, "someone").otherwise("owner").alias("actor"), F.lit("owner").alias("owner"),
+        F.lit("p").alias("project"), F.when(u % 21 == 0, "q").otherwise("p").alias("command_project"), F.when(k % 23 == 0, "r").otherwise("p").alias("item_project"),
         (F.col("c_acctbal") < 0).alias("archived"), F.when(F.col("o_orderstatus") == "P", "draft").otherwise("ready").alias("project_status"), F.lit(1).alias("revision"),
         F.when(k % 8 == 0, 0).otherwise(1).alias("client_revision"), (k % 17 == 0).alias("processed"), F.lit("faq").alias("item_kind"), F.when(k % 19 == 0, "entry").otherwise("faq").alias("command_item_kind"),
     )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as Win
 
 from ..operators import graph as O
 from ..operators import windows as W
@@ -89,13 +90,34 @@ def x45_repair_plan(t: Tables) -> DataFrame:
     return O.repair_plan(_drift(t))
 
 
-@query("""WITH v AS (SELECT l_returnflag AS kind, l_orderkey AS item, l_partkey AS id, l_linenumber AS revision, CASE WHEN l_suppkey % 4 = 0 THEN l_partkey - 1 END AS predecessor FROM lineitem),
-          w AS (SELECT *, lag(revision) OVER x AS b, lag(id) OVER x AS bid FROM v WINDOW x AS (PARTITION BY kind, item ORDER BY revision, id))
-          SELECT kind, item, id, unnest(list_filter([CASE WHEN b IS NULL AND revision <> 1 THEN 'bad_first_revision' END, CASE WHEN b = revision THEN 'duplicate_revision' END,
-                 CASE WHEN revision > b + 1 THEN 'revision_gap' END, CASE WHEN predecessor IS DISTINCT FROM bid THEN 'broken_predecessor' END], lambda r: r IS NOT NULL)) AS reason FROM w""")
+ACTIONS = [*O.ACTIONS, "publish"]
+
+
+@query(f"""WITH v AS (SELECT l_linestatus AS kind, l_orderkey AS item, l_orderkey * 10 + l_linenumber AS id, CASE WHEN l_suppkey % 23 = 0 THEN l_linenumber - 2 ELSE l_linenumber END AS revision,
+                 CASE WHEN l_partkey % 29 = 0 THEN 'other' ELSE 'own' END AS project, CASE WHEN l_partkey % 31 <> 0 THEN l_partkey END AS review, CASE WHEN l_partkey % 37 = 0 THEN 'other' ELSE 'own' END AS review_project,
+                 l_partkey % 41 AS claim, CASE WHEN l_suppkey % 19 = 0 THEN 0 ELSE l_partkey % 41 END AS review_claim, CASE WHEN l_partkey % 43 <> 0 THEN {ACTIONS!r}[l_partkey % 5 + 1] END AS action,
+                 CASE WHEN (l_partkey % 5 = 2) <> (l_suppkey % 17 = 0) THEN 'archived' ELSE 'active' END AS lifecycle,
+                 CASE WHEN l_partkey % 13 = 0 THEN l_orderkey * 10 ELSE lag(l_orderkey * 10 + l_linenumber) OVER (PARTITION BY l_linestatus, l_orderkey ORDER BY l_linenumber) END AS predecessor FROM (SELECT l_orderkey, l_linenumber, min(l_linestatus) AS l_linestatus, min(l_partkey) AS l_partkey, min(l_suppkey) AS l_suppkey FROM lineitem GROUP BY 1, 2)),
+          w AS (SELECT *, lag(id) OVER x AS b, lag(revision) OVER x AS br, lag(project) OVER x AS bp FROM v WINDOW x AS (PARTITION BY kind, item ORDER BY revision, id)),
+          j AS (SELECT w.*, p.lifecycle AS pl FROM w LEFT JOIN v p ON p.kind = w.kind AND p.item = w.item AND p.id = w.predecessor)
+          SELECT kind, item, id, unnest(list_filter([CASE WHEN revision < 1 THEN 'invalid_revision' END, CASE WHEN revision <= br THEN 'duplicate_or_unordered_revision' END,
+                 CASE WHEN project <> 'own' THEN 'cross_project_trusted_knowledge' END, CASE WHEN review IS NULL OR review_project <> 'own' OR review_claim <> claim THEN 'cross_project_or_claim_review' END,
+                 CASE WHEN coalesce(action, 'publish') = 'publish' THEN 'unsupported_or_missing_review_action' END, CASE WHEN (lifecycle = 'archived') <> (coalesce(action, '') = 'archive') THEN 'lifecycle_review_action_mismatch' END,
+                 CASE WHEN lifecycle <> 'archived' AND coalesce(action, '') NOT IN ('approve', 'correction', 'restore') THEN 'missing_compatible_review' END,
+                 CASE WHEN b IS NOT NULL AND predecessor IS DISTINCT FROM b THEN 'broken_predecessor_chain' END, CASE WHEN b IS NOT NULL AND predecessor = b AND bp <> 'own' THEN 'cross_project_or_logical_predecessor' END,
+                 CASE WHEN b IS NULL AND predecessor IS NOT NULL THEN 'unexpected_first_predecessor' END, CASE WHEN action = 'restore' AND pl IS DISTINCT FROM 'archived' THEN 'restore_predecessor_invalid' END], lambda r: r IS NOT NULL)) AS reason FROM j""")
 def x34h_history_integrity(t: Tables) -> DataFrame:
-    p = F.when(F.col("l_suppkey") % 4 == 0, F.col("l_partkey") - 1)
-    return O.integrity(t.lineitem.select(F.col("l_returnflag").alias("kind"), F.col("l_orderkey").alias("item"), F.col("l_partkey").alias("id"), F.col("l_linenumber").alias("revision"), p.alias("predecessor")))
+    part, supp, id_ = F.col("l_partkey"), F.col("l_suppkey"), F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    before = F.lag(id_).over(Win.partitionBy("l_linestatus", "l_orderkey").orderBy("l_linenumber"))
+    lines = t.lineitem.groupBy("l_orderkey", "l_linenumber").agg(*(F.min(c).alias(c) for c in ("l_linestatus", "l_partkey", "l_suppkey")))
+    rows = lines.select(
+        F.col("l_linestatus").alias("kind"), F.col("l_orderkey").alias("item"), id_.alias("id"), F.when(supp % 23 == 0, F.col("l_linenumber") - 2).otherwise(F.col("l_linenumber")).alias("revision"),
+        F.when(part % 29 == 0, "other").otherwise("own").alias("project"), F.when(part % 31 != 0, part).alias("review"), F.when(part % 37 == 0, "other").otherwise("own").alias("review_project"),
+        (part % 41).alias("claim"), F.when(supp % 19 == 0, 0).otherwise(part % 41).alias("review_claim"),
+        F.when(part % 43 != 0, F.element_at(F.array(*map(F.lit, ACTIONS)), (part % 5 + 1).cast("int"))).alias("action"),
+        F.when((part % 5 == 2) != (supp % 17 == 0), "archived").otherwise("active").alias("lifecycle"), F.when(part % 13 == 0, F.col("l_orderkey") * 10).otherwise(before).alias("predecessor"),
+    )
+    return O.integrity(rows, F.lit("own"))
 
 
 @query("""SELECT DISTINCT ON (o_custkey, o_orderpriority) o_custkey, o_orderpriority, o_orderkey AS revision, o_orderstatus <> 'F' AS live FROM orders ORDER BY o_custkey, o_orderpriority, o_orderdate DESC, o_orderkey DESC""")
