@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import changes, chat, concepts, events, facts, graph, relational, texts, web  # noqa: F401  (they register)
+from . import changes, chat, concepts, events, facts, graph, knowledge, relational, texts, web  # noqa: F401  (they register)
 from .registry import QUERIES, SQL
 
 
