@@ -21,7 +21,8 @@ at least (|a(x)| + c (W(pivot) - W(x))) / 2 of their differences from the pivot.
 that do share a difference among the first of each, up to that much being left, in any one order
 of all differences; those that many members have stand last. Members similar to the pivot are
 met only with those that are not, whose list then goes on until (|a(y)| - c (W(pivot) + W(y))) / 2
-is left. So documents that share a bucket and are similar are always in one class.
+is left. A pair is only made where what is left of both, from the shared difference on, is enough
+for these two: (|a(x)| + |a(y)| - c (W(x) + W(y))) / 2, as it is at the first one they share. So documents that share a bucket and are similar are always in one class.
 
 Hot keys are dealt over parts in every join. Links of at least ``threshold`` give the classes,
 found by repeated contraction to the least neighbour.
@@ -268,16 +269,16 @@ def difference_counts(rows: DataFrame) -> DataFrame:
     return counted.groupBy("pivot", "token").agg(F.sum("n").alias("n"))
 
 
-@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("token", T.LongType()), T.StructField("short", T.BooleanType())])))
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("token", T.LongType()), T.StructField("short", T.BooleanType()), T.StructField("left", T.DoubleType()), T.StructField("size", T.DoubleType())])))
 def prefix(differences: pd.Series, short: pd.Series, long: pd.Series, frequent: pd.Series) -> pd.Series:
-    """The first differences, frequent ones last, until ``long`` is left; and whether ``short`` is left before."""
+    """The first differences, frequent ones last, until ``long`` is left; whether ``short`` is left; what is left; and of how much."""
     out = []
     for v, a, b, last in zip(differences, short, long, frequent, strict=True):
         token, size = _differences(v)
         times = dict((t["token"], t["n"]) for t in last) if last is not None else {}
         order = np.lexsort((token, [times.get(t, 0) for t in token.tolist()]))
         left = size.sum() - np.concatenate(([0.0], np.cumsum(size[order])[:-1]))
-        out.append([{"token": int(t), "short": bool(n >= a)} for t, n in zip(token[order].tolist(), left, strict=True) if n >= b])
+        out.append([{"token": int(t), "short": bool(n >= a), "left": float(n), "size": float(size.sum())} for t, n in zip(token[order].tolist(), left, strict=True) if n >= b])
     return pd.Series(out, dtype=object)
 
 
@@ -353,14 +354,16 @@ def links(spark: SparkSession, docs: DataFrame, unique: DataFrame, idf: Broadcas
     frequent = frequent.groupBy("pivot").agg(F.collect_list(F.struct("token", "n")).alias("frequent"), F.max("parts").alias("parts"))
     rows = large.join(copied(frequent).drop("parts"), ["pivot", "part"], "left")
     rows = rows.select("pivot", "doc_id", "linked", F.explode(prefix("differences", "short", "long", "frequent")).alias("at"))
-    rows = scratch.keep(rows.select(F.xxhash64("pivot", "at.token").alias("group"), "doc_id", "linked", "at.short"), "prefixes")
+    rows = scratch.keep(rows.select(F.xxhash64("pivot", "at.token").alias("group"), "doc_id", "linked", "at.short", "at.left", "at.size"), "prefixes")
     groups = scratch.keep(rows.groupBy("group").agg(F.count("*").alias("n"), F.min("linked").alias("all")).where("n > 1 and not all").drop("all"), "groups")
     rows = attach(rows, groups, "group", "n").withColumn("parts", F.ceil(F.col("n") / p.part).cast("int")).join(sized, "doc_id")
     # A large group is cut into parts; each pair of parts is a cell of its own.
     rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     rows = scratch.keep(rows.withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")}), "cells")
-    pairs = sides(rows, ["group", "i", "j"], ["part", "linked", "short"]).where("(partx = party and doc_idx < doc_idy) or partx < party")
+    pairs = sides(rows, ["group", "i", "j"], ["part", "linked", "short", "left", "size"]).where("(partx = party and doc_idx < doc_idy) or partx < party")
     pairs = pairs.where("(not linkedx or not linkedy) and (linkedx or linkedy or (shortx and shorty))")
+    c, both = (1 - p.threshold) / (1 + p.threshold), F.col("weightx") + F.col("weighty")
+    pairs = pairs.where(F.least("leftx", "lefty") >= (F.col("sizex") + F.col("sizey") - c * both) / 2 - 1e-3 * both)
     more = compare(pairs.select(*ends("doc_idx", "doc_idy")))
     return tested.union(near).union(more).where("linked").select("a", "b")
 
