@@ -13,27 +13,27 @@ from loamspark.llm.common import Scratch, read_table
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents whose language is rejected."""
+    """Drop documents whose language is rejected, and those without a letter (null, empty, digits only)."""
     return language_id.keep_known(spark, docs)
 
 
 def one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each class of near duplicates."""
+    """Keep one document of each class of near duplicates; documents without a word are copies of each other only with equal id and text."""
     return near_dedup.keep_one(spark, docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold a benchmark item."""
+    """Drop documents that hold a benchmark item; a null text holds none."""
     return decontamination.keep_clean(spark, docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replace secrets in the texts by a mark; every document stays."""
+    """Replace secrets in the texts by a mark; every document stays, null texts as they are."""
     return secret_scan.redact(spark, docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Put the documents in the order of the mixture, with slot and place."""
+    """Put the documents in the order of the mixture, with slot and place; every row stays, whatever its id and source."""
     return mixing.mixed(spark, docs)
 
 

@@ -26,9 +26,10 @@ def create(master: str = "local[8]", partitions: int = 8, **more: str) -> SparkS
 
 
 def ship(spark: SparkSession, root: str) -> None:
-    """Let Python workers import the library, where their path does not hold it already."""
+    """Let Python workers import the library: it is shipped once for each session, unless all runs on this machine and its path holds it."""
     seen = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
-    if any(p and os.path.isdir(os.path.join(p, "loamspark")) for p in seen) or getattr(spark.sparkContext, "_loamspark", False):
+    here = spark.sparkContext.master.startswith("local") and any(p and os.path.isdir(os.path.join(p, "loamspark")) for p in seen)
+    if here or getattr(spark.sparkContext, "_loamspark", False):
         return
     path = Path(tempfile.mkdtemp()) / "loamspark.zip"
     with zipfile.ZipFile(path, "w") as z:
@@ -41,10 +42,13 @@ def ship(spark: SparkSession, root: str) -> None:
 def cut(df: DataFrame) -> DataFrame:
     """``df`` with its lineage cut by a checkpoint in the folder that all executors share.
 
-    The session's spark.checkpoint.dir names it; where it is unset (tests on one machine) a
-    temporary folder is used.
+    The session's spark.checkpoint.dir names it; where it is unset a temporary folder is used, but
+    only if all runs on one machine.
     """
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="loamspark-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="loamspark-"))
     return df.checkpoint()
