@@ -14,6 +14,7 @@ from pyspark.sql.window import Window as W
 from ..functions import rules as K
 from ..functions import text as T
 from ..functions import urls as U
+from ..session import stored
 
 
 def text_blocks(docs: DataFrame, url: Column, declared: Column) -> DataFrame:
@@ -36,12 +37,15 @@ def page_type(declared: Column, url: Column, context: Column) -> Column:
 
 
 def normalise(blocks: DataFrame) -> DataFrame:
-    """Heading, page type and neighbours of each block that is kept."""
+    """Heading, page type and neighbours of each block that is kept.
+
+    Three branches read the headed blocks, so these are written once: their pages are parsed and normalised once.
+    """
     order = W.partitionBy("page_id").orderBy("ordinal")
     before = order.rowsBetween(W.unboundedPreceding, W.currentRow)
     own = blocks.withColumn("heading", F.last(F.when(F.col("type") == "heading", F.col("text")), ignorenulls=True).over(before))
     own = own.withColumn("page_type", page_type(F.col("declared"), F.col("url"), F.col("heading")))
-    own = own.withColumn("key", F.xxhash64(T.key_text(F.col("text"))))
+    own = stored(own.withColumn("key", F.xxhash64(T.key_text(F.col("text")))), "headed-blocks")
     urls = own.groupBy("site", "key").agg(F.countDistinct("url").alias("urls")).where("urls > 1").select("site", "key", F.lit(True).alias("repeated"))
     # Only texts that the filter can drop meet the counts, so a line on every page costs no skewed join.
     risky = T.matches(F.col("text"), K.REPEATED_DROPPED) & ~T.matches(F.col("text"), K.REPEATED_KEPT)
@@ -81,7 +85,7 @@ def routed(blocks: DataFrame) -> DataFrame:
 def rule_hits(sentence: Column, page: Column, context: Column) -> Column:
     """(category, title) of each rule that fires, one for a category, by priority."""
     tracking, standard = T.matches(sentence, K.TRACKING), T.matches(sentence, K.STANDARD)
-    hits, seen = [], {}
+    hits = []
     for rule in K.ORDERED:
         fires = T.matches(sentence, rule.evidence, rule.ignore_case)
         if rule.pages:
@@ -92,11 +96,14 @@ def rule_hits(sentence: Column, page: Column, context: Column) -> Column:
             fires &= ~standard
         if rule.category in K.COMMERCIAL:
             fires &= ~tracking
-        if rule.category in seen:
-            fires &= ~seen[rule.category]
-        seen[rule.category] = seen.get(rule.category, F.lit(False)) | fires
         hits.append(F.when(fires, F.struct(F.lit(rule.category).alias("category"), F.lit(rule.title).alias("rule_title"))))
-    return F.when(~T.matches(sentence, K.CONTRACT), F.array_compact(F.array(*hits))).otherwise(F.array().cast("array<struct<category:string,rule_title:string>>"))
+    none = F.array().cast("array<struct<category:string,rule_title:string>>")
+
+    def first(acc: Column, hit: Column) -> Column:
+        return F.when(F.exists(acc, lambda h: h["category"] == hit["category"]), acc).otherwise(F.concat(acc, F.array(hit)))
+
+    # The fold reads the array of hits once, so each rule meets a sentence once.
+    return F.when(~T.matches(sentence, K.CONTRACT), F.aggregate(F.array_compact(F.array(*hits)), none, first)).otherwise(none)
 
 
 def _name(value: Column) -> Column:
@@ -262,6 +269,12 @@ def scored(facts: DataFrame, found: DataFrame) -> DataFrame:
     return own.withColumn("confidence", T.level(F.col("score")))
 
 
+def assessed(facts: DataFrame) -> DataFrame:
+    """Facts to scored facts; the merged ones are written once, since conflicts and scores both read them."""
+    merged = stored(deduplicate(facts), "merged-facts")
+    return scored(merged, conflicts(merged))
+
+
 def coverage(facts: DataFrame) -> DataFrame:
     """The 30 coverage fields of each site from scored facts."""
     fields = F.create_map(*(x for c in sorted({c for cs in K.COVERAGE.values() for c in cs}) for x in (F.lit(c), F.array(*(F.lit(f) for f, cs in K.COVERAGE.items() if c in cs)))))

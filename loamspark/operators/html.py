@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterator, Mapping
+from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -13,16 +15,25 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import urls as U
 
-#: What is skipped, the kinds of blocks, and the caps of a page.
+#: What is skipped, and the kinds of blocks.
 SKIPPED = frozenset("script style noscript template svg iframe head".split())
 KINDS = {**{f"h{i}": "heading" for i in range(1, 7)}, "p": "paragraph", "li": "list_item", "tr": "table_row", "dd": "definition", "blockquote": "paragraph"}
-CAPS = {"heading": 80, "paragraph": 300, "list_item": 180}
-BLOCKS, CHARS, NODES = 500, 50_000, 12_000
+
+
+@dataclass(frozen=True)
+class Budget:
+    """What may be read of one page, for those who want a crawler's budgets: without one pages are read whole."""
+
+    nodes: int = 12_000
+    chars: int = 50_000
+    blocks: int = 500
+    kinds: Mapping[str, int] = field(default_factory=lambda: {"heading": 80, "paragraph": 300, "list_item": 180})
 
 
 class _Blocks(HTMLParser):
-    def __init__(self) -> None:
+    def __init__(self, budget: Budget | None = None) -> None:
         super().__init__(convert_charrefs=True)
+        self.limit, self.cut = budget.nodes if budget else None, False
         self.out: list[tuple[str, str]] = []
         self.skip = self.nodes = 0
         self.kind, self.parts, self.term = "", [], ""
@@ -76,7 +87,10 @@ class _Blocks(HTMLParser):
             self.link = max(0, self.link - 1)
 
     def handle_data(self, data: str) -> None:
-        if self.skip or self.nodes > NODES:
+        if self.skip:
+            return
+        if self.limit is not None and self.nodes > self.limit:
+            self.cut |= bool(data.strip())
             return
         if self.kind or data.strip():
             self.kind = self.kind or "paragraph"
@@ -86,34 +100,43 @@ class _Blocks(HTMLParser):
                 self.nav[-1] = (start, linked + len(data.strip()))
 
 
-def blocks_of(html: str) -> list[tuple[str, str]]:
-    """(kind, text) of the blocks of a page in order: no repeated text, no navigation lists, capped."""
-    parser = _Blocks()
+def blocks_of(html: str, budget: Budget | None = None) -> tuple[list[tuple[str, str]], bool]:
+    """(kind, text) of the blocks of a page in order, without repeated texts and navigation lists; and whether ``budget`` left some out."""
+    parser = _Blocks(budget)
     parser.feed(html)
     parser.close()
     parser._flush()
-    out, seen, count, size = [], set(), {}, 0
+    out, seen, count, size, cut = [], set(), Counter(), 0, parser.cut
     for kind, text in parser.out:
         key = re.sub(r"[\W_]+", " ", text.lower()).strip()
-        count[kind] = count.get(kind, 0) + 1
-        if not key or key in seen or count[kind] > CAPS.get(kind, BLOCKS) or len(out) >= BLOCKS or size > CHARS:
+        if not key or key in seen:
+            continue
+        count[kind] += 1
+        if budget and (count[kind] > budget.kinds.get(kind, budget.blocks) or len(out) >= budget.blocks or size > budget.chars):
+            cut = True
             continue
         seen.add(key)
         size += len(text)
         out.append((kind, text))
-    return out
+    return out, cut
+
 
+def semantic_blocks(pages: DataFrame, budget: Budget | None = None) -> DataFrame:
+    """Blocks of pages (page_id, url, html), ready for the fact engine.
 
-def semantic_blocks(pages: DataFrame) -> DataFrame:
-    """Blocks of pages (page_id, url, html), ready for the fact engine."""
+    Pages are read whole. With a ``budget`` the blocks of a page that it cuts have ``truncated``.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(p, u, i, k, t) for p, u, h in zip(b["page_id"], b["url"], b["html"], strict=True) for i, (k, t) in enumerate(blocks_of(h or ""))]
-            yield pd.DataFrame(rows, columns=["page_id", "url", "ordinal", "type", "text"])
-
-    out = pages.select("page_id", "url", "html").mapInPandas(run, "page_id long, url string, ordinal int, type string, text string")
-    return out.select(U.bare_host(F.col("url")).alias("site"), U.canonical(F.col("url")).alias("url"), "page_id", F.lit(None).cast("string").alias("declared"), "ordinal", T.clean(F.col("text")).alias("text"), "type", F.lit(False).alias("structured")).where("text <> ''")
+            rows = []
+            for p, u, h in zip(b["page_id"], b["url"], b["html"], strict=True):
+                found, cut = blocks_of(h or "", budget)
+                rows += [(p, u, i, k, t, cut) for i, (k, t) in enumerate(found)]
+            yield pd.DataFrame(rows, columns=["page_id", "url", "ordinal", "type", "text", "truncated"])
+
+    out = pages.select("page_id", "url", "html").mapInPandas(run, "page_id long, url string, ordinal int, type string, text string, truncated boolean")
+    return out.select(U.bare_host(F.col("url")).alias("site"), U.canonical(F.col("url")).alias("url"), "page_id", F.lit(None).cast("string").alias("declared"), "ordinal", T.clean(F.col("text")).alias("text"), "type", F.lit(False).alias("structured"), "truncated").where("text <> ''")
 
 
 def title(html: Column, url: Column) -> Column:

@@ -34,8 +34,7 @@ def _facts(t: Tables) -> DataFrame:
 
 
 def _scored(t: Tables) -> DataFrame:
-    merged = O.deduplicate(_facts(t))
-    return O.scored(merged, O.conflicts(merged))
+    return O.assessed(_facts(t))
 
 
 def _is(x: str, pattern: str) -> str:
@@ -255,8 +254,7 @@ def top_facts_per_category(t: Tables) -> DataFrame:
     """Web pages to blocks, facts, confidence: for each host and category the numbers behind the flagship."""
     blocks = H.semantic_blocks(t.pages)
     norm = O.normalise(blocks)
-    merged = O.deduplicate(O.extract(norm))
-    facts = O.scored(merged, O.conflicts(merged))
+    facts = O.assessed(O.extract(norm))
     by_lane = O.routed(norm).groupBy("site").agg(F.count("*").alias("blocks"), F.countDistinct("page_id").alias("pages"), F.countDistinct("lane").alias("lanes"))
     top = facts.groupBy("site", "category").agg(F.count("*").alias("facts"), F.max("score").alias("best_score"), F.max_by("value", F.struct("score", "fact_id")).alias("best_value"))
     return by_lane.join(top, "site", "left")
