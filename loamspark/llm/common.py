@@ -6,6 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,7 +36,7 @@ class Scratch:
 
     ``keep`` writes a table and returns it reread, which cuts the lineage so that a lost
     executor never recomputes earlier work. ``close`` deletes what was written, except the
-    tables named in ``but``.
+    tables named in ``but``; what is left then is deleted when the session's driver ends.
     """
 
     def __init__(self, spark: SparkSession, name: str):
@@ -43,6 +46,9 @@ class Scratch:
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{len(self.paths)}-{name}"
         df.write.parquet(path)
+        if not self.paths:
+            root = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+            root.getFileSystem(self.spark._jsc.hadoopConfiguration()).deleteOnExit(root)
         self.paths.append((name, path))
         return self.spark.read.schema(df.schema).parquet(path)
 
@@ -82,6 +88,17 @@ def pieces(texts: list[str], most: int = 400_000) -> Iterator[tuple[int, int]]:
         yield first, len(texts)
 
 
+def slices(batch: pa.RecordBatch, most: int) -> Iterator[tuple[list, list[str]]]:
+    """The ids and texts (null: empty) of a batch, in runs of about ``most`` characters; a longer text stands alone."""
+    ids, texts = batch.columns
+    total = np.concatenate(([0], np.cumsum(pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)))
+    first = 0
+    while first < batch.num_rows:
+        last = max(first + 1, int(np.searchsorted(total, total[first] + most, "right")) - 1)
+        yield ids[first:last].to_pylist(), [t or "" for t in texts[first:last].to_pylist()]
+        first = last
+
+
 def fold(doc_id: str | Column = "doc_id") -> Column:
     """crc32 of the id as text, mod 3; rows of fold 1 are held out."""
     return F.crc32(F.coalesce(F.col(doc_id) if isinstance(doc_id, str) else doc_id, F.lit(-1)).cast("string").cast("binary")) % 3

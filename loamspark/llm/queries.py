@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontamination, html_extraction, language_id, mixing, near_dedup, quality_classifier, quality_rules, secret_scan, url_filter
+from . import chat_format, decontamination, html_extraction, language_id, mixing, near_dedup, quality_classifier, quality_rules, secret_scan, token_alignment, url_filter
 from .common import read_table
 
 
@@ -62,10 +62,15 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(spark, read_table(spark, sf_dir, "pages"), listed)
 
 
+def op11_align_tokenizers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align(spark, read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     every = (
         op1_minhash_dedup, op2_decontaminate, op3_mix_sources, op4_chat_format, op5_secrets,
         op6_quality_classifier, op7_language_id, op8_quality_rules, op9_html_extract, op10_url_filter,
+        op11_align_tokenizers,
     )
     return {f.__name__: f for f in every}
 
