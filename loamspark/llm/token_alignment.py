@@ -46,7 +46,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 class Params:
     a: str = "/opt/tokenizers/byte_bpe_50k.json"  #: byte-level BPE
     b: str = "/opt/tokenizers/piece_bpe_32k.model"  #: BPE with byte fallback, adds the leading space
-    block: int = 4_000_000  #: characters of a block of texts, about
+    block: int = 2_000_000  #: characters of a block of texts, about
     chunk: int = 16_384  #: characters that are encoded in one call
 
 
@@ -271,7 +271,8 @@ def pair_counts(kept: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            for parts, first, links in zip(*(x.column(k).to_pylist() for k in range(3)), strict=True):
+            for i in range(x.num_rows):
+                parts, first, links = (x.column(k)[i].as_py() for k in range(3))
                 first = _ints(first)
                 times = np.repeat(np.bincount(_ints(parts, np.int32), minlength=len(first) - 1), np.diff(first))
                 pair, at = np.unique(_ints(links), return_inverse=True)
@@ -298,7 +299,7 @@ def align(spark: SparkSession, docs: DataFrame, p: Params = Params()) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair, n, best = shared.value
         for x in batches:
-            for row in x.to_pylist():
+            for row in (x.slice(i, 1).to_pylist()[0] for i in range(x.num_rows)):
                 own = Numbered(None, _ints(row["first"]), _ints(row["parts"], np.int32))
                 first, links = _ints(row["link_first"]), _ints(row["links"])
                 at = np.searchsorted(pair, links)
