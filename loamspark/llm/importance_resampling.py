@@ -23,7 +23,6 @@ from __future__ import annotations
 
 import hashlib
 import math
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import NamedTuple
@@ -37,6 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, slices
 from .kernels import BASE, mix
+from .strings import Words, crc32, places, words_of
 
 
 @dataclass(frozen=True)
@@ -51,30 +51,8 @@ class Params:
     part: int = 16_000_000  #: characters of the texts for each part of the dictionary, about
 
 
-# Words are runs of 0-9, a-z and all bytes of characters from U+0080 on, once A-Z are in lower case.
-_LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-_SPACE = 32
-
-
-class Words(NamedTuple):
-    words: pa.Array  #: binary, all words of a block in order
-    first: np.ndarray  #: number of the first word of each text, and the number of words
-
-
-def words_of(texts: list[str]) -> Words:
-    raw = [t.encode() for t in texts]
-    data = (b" ".join(raw) + b" ").translate(_LETTERS)
-    blank = np.frombuffer(data, np.uint8) == _SPACE
-    edge = np.diff(np.concatenate(([True], blank)).astype(np.int8))
-    start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    first = np.searchsorted(start, np.cumsum([0] + [len(r) + 1 for r in raw]))
-    offsets = np.concatenate(([0], np.cumsum(end - start))).astype(np.int64)
-    words = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.translate(None, b" "))])
-    return Words(words, first)
-
-
 class Features(NamedTuple):
-    """Different features of n words of a chunk, in order of their words."""
+    """Different features of n words of a chunk, in order of their words' numbers."""
 
     word: list[np.ndarray]  #: numbers of the 1st, 2nd ... word of each
     count: np.ndarray
@@ -88,7 +66,7 @@ def chunks(w: Words, p: Params, numbered: bool) -> Iterator[tuple[pa.Array, list
     for a in range(0, len(w.words), p.chunk):
         z = min(a + p.chunk, len(w.words))
         found = w.words.slice(a, z - a + p.longest - 1).dictionary_encode()
-        order = pc.sort_indices(found.dictionary).to_numpy()
+        order = np.argsort(-np.bincount(found.indices.to_numpy(), minlength=len(found.dictionary)), kind="stable")  # the most frequent first: small numbers
         moved = np.empty(len(order), np.int64)
         moved[order] = np.arange(len(order))
         ids = moved[found.indices.to_numpy()]
@@ -117,42 +95,6 @@ def strings(dictionary: pa.Array, word: list[np.ndarray]) -> pa.Array:
     return own[0] if len(own) == 1 else pc.binary_join_element_wise(*own, pa.scalar(b" ", own[0].type))
 
 
-def _bytes_of(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the strings of an array (and the end) in its bytes."""
-    offsets = np.frombuffer(values.buffers()[1], np.int64)[values.offset : values.offset + len(values) + 1]
-    return offsets, np.frombuffer(values.buffers()[2], np.uint8) if values.buffers()[2] else np.zeros(0, np.uint8)
-
-
-def _crc_table() -> np.ndarray:
-    table = np.arange(256, dtype=np.uint32)
-    for _ in range(8):
-        table = table >> 1 ^ np.where(table & 1, np.uint32(0xEDB88320), np.uint32(0))
-    return table
-
-
-_CRC = _crc_table()
-
-
-def crc32(values: pa.Array) -> np.ndarray:
-    """crc32 of each string, byte by byte over all strings at once; the last few long ones singly."""
-    offsets, data = _bytes_of(values)
-    size = np.diff(offsets)
-    order = np.argsort(-size, kind="stable")
-    start, state, longer = offsets[:-1][order], np.full(len(size), 0xFFFFFFFF, np.uint32), np.cumsum(np.bincount(size)[::-1])[::-1]
-    done = 0
-    for k in range(int(size.max(initial=0))):
-        m = int(longer[k + 1])
-        if m < 32:
-            done = m
-            break
-        state[:m] = _CRC[(state[:m] ^ data[start[:m] + k]) & 0xFF] ^ state[:m] >> 8
-    out = np.empty(len(size), np.uint32)
-    out[order] = ~state
-    for i in order[:done].tolist():
-        out[i] = zlib.crc32(data[offsets[i] : offsets[i + 1]])
-    return out
-
-
 def buckets(features: pa.Array, p: Params) -> np.ndarray:
     return (crc32(features) % np.uint32(p.buckets)).astype(np.int64)
 
@@ -169,7 +111,7 @@ def _packed(dictionary: pa.Array, own: list[tuple[list[np.ndarray], np.ndarray]]
     """Features of each length, as numbers of the words that occur here, and their counts, compressed."""
     used, number = np.unique(np.concatenate([x for word, _ in own for x in word]), return_inverse=True)
     words = dictionary.take(pa.array(used))
-    offsets, data = _bytes_of(words)
+    offsets, data = places(words)
     arrays, at = [_least(np.diff(offsets)), data[offsets[0] : offsets[-1]]], 0
     for word, count in own:
         arrays.append(_least(count))
@@ -178,7 +120,7 @@ def _packed(dictionary: pa.Array, own: list[tuple[list[np.ndarray], np.ndarray]]
             at += len(x)
             arrays.append(_least(back if k else np.diff(back, prepend=0)))  # in order of the first word
     codec = pa.Codec("zstd", 3)
-    packed = [bytes(codec.compress(x.tobytes())) for x in arrays]
+    packed = [bytes(codec.compress(x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes())) for x in arrays]  # bytes of one place together
     head = np.array([len(arrays), *(v for x, y in zip(arrays, packed, strict=True) for v in (x.itemsize, x.nbytes, len(y)))], np.int64)
     return head.tobytes() + b"".join(packed)
 
@@ -188,7 +130,8 @@ def _unpacked(value: bytes) -> tuple[list[pa.Array], list[np.ndarray]]:
     n = int(np.frombuffer(value, np.int64, 1)[0])
     head, at, arrays, codec = np.frombuffer(value, np.int64, 3 * n, 8).reshape(n, 3).tolist(), 8 + 24 * n, [], pa.Codec("zstd")
     for item, size, packed in head:
-        arrays.append(np.frombuffer(bytes(codec.decompress(value[at : at + packed], size)), f"u{item}"))
+        planes = np.frombuffer(bytes(codec.decompress(value[at : at + packed], size)), np.uint8).reshape(item, -1)
+        arrays.append(np.ascontiguousarray(planes.T).view(f"u{item}").ravel())
         at += packed
     offsets = np.concatenate(([0], np.cumsum(arrays[0], dtype=np.int64)))
     words = pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(arrays[1].tobytes())])
@@ -234,10 +177,16 @@ def bucket_counts(texts: DataFrame, p: Params = Params()) -> np.ndarray:
     def merge(rows: pa.Table) -> pa.Table:
         each = [_unpacked(v) for v in rows["packed"].to_pylist()]
         values = pa.chunked_array([x for features, _ in each for x in features], pa.large_binary())
-        n = pa.array(np.concatenate([x for _, counts in each for x in counts]))
-        known = pa.table({"feature": values, "n": n}).group_by("feature").aggregate([("n", "sum")])
+        n = np.concatenate([x for _, counts in each for x in counts])
+        del each
+        known = values.combine_chunks().dictionary_encode()
+        del values
+        count = np.bincount(known.indices.to_numpy(), n, len(known.dictionary)).astype(np.int64)
         total = np.zeros(p.buckets, np.int64)
-        np.add.at(total, buckets(known["feature"].combine_chunks(), p), known["n_sum"].to_numpy())
+        for a in range(0, len(count), 1 << 18):
+            np.add.at(total, buckets(known.dictionary.slice(a, 1 << 18), p), count[a : a + (1 << 18)])
+        del known
+        pa.default_memory_pool().release_unused()
         at = np.flatnonzero(total)
         return pa.table({"bucket": pa.array(at, pa.int32()), "n": pa.array(total[at])})
 
@@ -282,7 +231,7 @@ def scored(spark: SparkSession, docs: DataFrame, gain: np.ndarray, p: Params) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            for ids, texts in slices(x, p.block):
+            for ids, texts in slices(x, p.block // 4):
                 n, features, weight = weigh(texts, shared.value, p)
                 score = weight + np.array([noise(i, p.seed) for i in ids], np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in (ids, n, features, weight, score)], schema=schema)

@@ -9,6 +9,7 @@ import pyarrow as pa
 import pytest
 
 from loamspark.llm import importance_resampling as R
+from loamspark.llm import strings as S
 from loamspark.llm.common import read_table
 
 SMALL = R.Params(block=300, chunk=64, part=400, least_words=5, percent=30)
@@ -75,11 +76,11 @@ def test_crc32_of_many_strings():
     rng = random.Random(1)
     values = [bytes(rng.randrange(256) for _ in range(rng.choice([0, 1, 5, 30, 400]))) for _ in range(500)]
     array = pa.array([b"ahead", *values], pa.large_binary()).slice(1)
-    assert R.crc32(array).tolist() == [zlib.crc32(v) for v in values]
+    assert S.crc32(array).tolist() == [zlib.crc32(v) for v in values]
 
 
 def test_packed_features_come_back():
-    w = R.words_of(["b a b c", "a b", "", "ä b c a b"])
+    w = S.words_of(["b a b c", "a b", "", "ä b c a b"])
     for dictionary, own in R.chunks(w, R.Params(chunk=5), False):
         features, counts = R._unpacked(R._packed(dictionary, [(f.word, f.count) for f in own]))
         assert [x.to_pylist() for x in features] == [R.strings(dictionary, f.word).to_pylist() for f in own]
