@@ -9,8 +9,8 @@ end at one byte: as no token is empty, each cut has one link, between the last t
 Neither tokenizer joins anything across a space that follows a character other than white space:
 the pattern of A starts a new piece there, and no piece of B has a space after another character.
 So a text falls into parts at such spaces, the parts of a block of texts are numbered, and each
-different part is encoded and cut once. What is kept of a block is the numbers of its texts' parts
-and each part's links, which is less than the texts; counts of id pairs are summed over all blocks.
+different part is encoded and cut once. The links of each text are kept, in four bytes each (so ids
+must be below 65,536), until the counts of id pairs are summed over all texts.
 
 Two ends at one byte mean that the bytes of one token end with those of the other. So there are at
 most as many id pairs as the tokens of both vocabularies have non-empty endings (under a million),
@@ -46,7 +46,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 class Params:
     a: str = "/opt/tokenizers/byte_bpe_50k.json"  #: byte-level BPE
     b: str = "/opt/tokenizers/piece_bpe_32k.model"  #: BPE with byte fallback, adds the leading space
-    block: int = 2_000_000  #: characters of a block of texts, about
+    block: int = 1_000_000  #: characters of a block of texts, about
     chunk: int = 16_384  #: characters that are encoded in one call
 
 
@@ -74,6 +74,8 @@ def byte_bpe(path: str) -> Tokenizer:
     for text, i in found["model"]["vocab"].items():
         if text not in special:
             token[i] = bytes(letter[c] for c in text)
+    if len(token) > 1 << 16:
+        raise ValueError("a vocabulary of more than 65,536 tokens")
     ranks = {t: i for i, t in enumerate(token) if t}
     own = tiktoken.Encoding("a", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
     return Tokenizer(lambda text: own.encode_ordinary(" " + text), token, np.array([len(t) for t in token]))
@@ -91,6 +93,8 @@ def piece_bpe(path: str) -> Tokenizer:
             token.append(bytes([int(piece[3:-1], 16)]))
         else:
             token.append(piece.replace("▁", " ").encode())
+    if n > 1 << 16:
+        raise ValueError("a vocabulary of more than 65,536 tokens")
     if any(re.search("[^▁]▁", own.id_to_piece(i)) for i in range(n)):
         raise ValueError("a piece of the model goes on after a space: texts can't be cut there")
     return Tokenizer(lambda text: own.encode(text, num_threads=1), token, np.array([len(t) for t in token]))
@@ -199,11 +203,7 @@ def as_text(cut: Cut) -> tuple[np.ndarray, np.ndarray]:
 
 # --- blocks of texts ---------------------------------------------------------------------
 
-BLOCK = pa.schema([
-    ("doc_ids", pa.list_(pa.int64())), ("n_a", pa.list_(pa.int64())), ("n_b", pa.list_(pa.int64())), ("n_groups", pa.list_(pa.int64())),
-    ("digests", pa.list_(pa.string())), ("first", pa.binary()), ("parts", pa.binary()), ("link_first", pa.binary()), ("links", pa.binary()),
-])
-BLOCK_TYPE = "doc_ids array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, digests array<string>, first binary, parts binary, link_first binary, links binary"
+KEPT = pa.schema([("doc_id", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()), ("digest", pa.string()), ("links", pa.binary())])
 
 
 class Numbered(NamedTuple):
@@ -234,7 +234,7 @@ def _sums(each: np.ndarray, n: Numbered) -> np.ndarray:
     return np.diff(total[n.first])
 
 
-def encode_block(doc_ids: list[int | None], texts: list[str], p: Params) -> dict:
+def encode_block(doc_ids: list[int | None], texts: list[str], p: Params) -> pa.RecordBatch:
     n = number(texts, p)
     cut = n.cut
     text, at = as_text(cut)
@@ -244,73 +244,65 @@ def encode_block(doc_ids: list[int | None], texts: list[str], p: Params) -> dict
     for a, z in zip(n.first[:-1].tolist(), n.first[1:].tolist(), strict=True):
         own = b"".join([strings[i] for i in numbers[a:z]])
         digests.append(hashlib.sha256(own[:-1]).hexdigest() if own else "")
-    each = [cut.first_a[cut.first], cut.first_b[cut.first], cut.first]
-    counts = [_sums(np.diff(x), n).tolist() for x in each]
-    links = cut.a[cut.first_a[1:] - 1] << 32 | cut.b[cut.first_b[1:] - 1]
-    return dict(zip(BLOCK.names, [doc_ids, *counts, digests, n.first.tobytes(), n.parts.astype(np.int32).tobytes(), cut.first.tobytes(), links.tobytes()], strict=True))
+    counts = [_sums(np.diff(x), n) for x in (cut.first_a[cut.first], cut.first_b[cut.first], cut.first)]
+    link = (cut.a[cut.first_a[1:] - 1] << 16 | cut.b[cut.first_b[1:] - 1]).astype(np.uint32)
+    size = np.diff(cut.first)[n.parts]
+    links = link[np.repeat(cut.first[n.parts] - np.cumsum(size) + size, size) + np.arange(size.sum())]
+    edges = np.concatenate(([0], np.cumsum(counts[2]))) * links.itemsize
+    data = pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(edges.astype(np.int32).tobytes()), pa.py_buffer(links.tobytes())])
+    return pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), *map(pa.array, counts), pa.array(digests), data], schema=KEPT)
 
 
-def blocks(docs: DataFrame, p: Params) -> DataFrame:
-    """A row for each block of texts; nothing is shuffled."""
+def encoded(docs: DataFrame, p: Params) -> DataFrame:
+    """doc_id, n_a, n_b, n_groups, digest and links (packed pairs of ids) of every row; nothing is shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             for ids, texts in slices(x, p.block):
-                yield pa.RecordBatch.from_pylist([encode_block(ids, texts, p)], BLOCK)
+                yield encode_block(ids, texts, p)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, BLOCK_TYPE)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_a long, n_b long, n_groups long, digest string, links binary")
 
 
-def _ints(value: bytes, kind: type = np.int64) -> np.ndarray:
-    return np.frombuffer(value, kind).astype(np.int64)
+def _links(x: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The packed pairs of all rows, and the place of each row's first and the end."""
+    offsets = np.frombuffer(x.buffers()[1], np.int32)[x.offset : x.offset + len(x) + 1].astype(np.int64)
+    data = np.frombuffer(x.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if offsets[-1] > offsets[0] else np.zeros(0, np.uint8)
+    return data.view(np.uint32), (offsets - offsets[0]) // 4
 
 
 def pair_counts(kept: DataFrame) -> DataFrame:
-    """a, b and n, the number of links, of every linked pair of ids."""
+    """pair (the ids of a and b in 16 bits each) and n, the number of links, of every linked pair of ids."""
     schema = pa.schema([("pair", pa.int64()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            for i in range(x.num_rows):
-                parts, first, links = (x.column(k)[i].as_py() for k in range(3))
-                first = _ints(first)
-                times = np.repeat(np.bincount(_ints(parts, np.int32), minlength=len(first) - 1), np.diff(first))
-                pair, at = np.unique(_ints(links), return_inverse=True)
-                n = np.bincount(at, times, len(pair)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(pair[n > 0]), pa.array(n[n > 0])], schema=schema)
+            pair, n = np.unique(_links(x.column(0))[0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(pair.astype(np.int64)), pa.array(n.astype(np.int64))], schema=schema)
 
-    counted = kept.select("parts", "link_first", "links").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-    return counted.select(F.shiftright("pair", 32).cast("int").alias("a"), F.col("pair").bitwiseAND(0xFFFFFFFF).cast("int").alias("b"), "n")
+    return kept.select("links").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
 
 
 def align(spark: SparkSession, docs: DataFrame, p: Params = Params()) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum and groups_sha256 of every row of ``docs`` (doc_id, text)."""
     scratch = Scratch(spark, "alignment")
-    kept = scratch.keep(blocks(docs, p), "blocks")
-    counts = pair_counts(kept).toPandas()  # bounded by the two vocabularies
-    pair = counts["a"].to_numpy(np.int64) << 32 | counts["b"].to_numpy(np.int64)
-    order = np.argsort(pair)
-    n, best = counts["n"].to_numpy(np.int64), np.zeros(int(counts["b"].max()) + 1 if len(counts) else 1, np.int64)
-    np.maximum.at(best, counts["b"].to_numpy(np.int64), n)
-    shared = spark.sparkContext.broadcast((pair[order], n[order], (n == best[counts["b"].to_numpy(np.int64)])[order]))
-    names = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
-    schema = pa.schema([(x, pa.int64()) for x in names[:-1]] + [(names[-1], pa.string())])
+    kept = scratch.keep(encoded(docs, p), "encoded")
+    counts = pair_counts(kept).toPandas().sort_values("pair")  # bounded by the two vocabularies
+    pair, n = counts["pair"].to_numpy(np.uint32), counts["n"].to_numpy(np.int64)
+    best = np.zeros(1 << 16, np.int64)
+    np.maximum.at(best, pair & 0xFFFF, n)
+    shared = spark.sparkContext.broadcast((pair, n, n == best[pair & 0xFFFF]))
+    schema = pa.schema([*list(KEPT)[:4], ("n_links", pa.int64()), ("n_best", pa.int64()), ("count_sum", pa.int64()), ("groups_sha256", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair, n, best = shared.value
         for x in batches:
-            for row in (x.slice(i, 1).to_pylist()[0] for i in range(x.num_rows)):
-                own = Numbered(None, _ints(row["first"]), _ints(row["parts"], np.int32))
-                first, links = _ints(row["link_first"]), _ints(row["links"])
-                at = np.searchsorted(pair, links)
-                at[at == len(pair)] = 0
-                known = pair[at] == links if len(pair) else np.zeros(0, bool)  # links of dropped texts only aren't counted
-                each = [known.astype(np.int64), best[at] & known, n[at] * known] if len(pair) else [np.zeros(len(links), np.int64)] * 3
-                sums = [_sums(np.diff(np.concatenate(([0], np.cumsum(v)))[first]), own) for v in each]
-                values = [row["doc_ids"], row["n_a"], row["n_b"], row["n_groups"], *sums, row["digests"]]
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, schema.types, strict=True)], schema=schema)
-
-    return kept.mapInArrow(run, ", ".join(f"{x} long" for x in names[:-1]) + ", groups_sha256 string")
+            links, first = _links(x.column("links"))
+            at = np.searchsorted(pair, links)
+            sums = [np.diff(np.concatenate(([0], np.cumsum(v[at], dtype=np.int64)))[first]) for v in (best, n)]
+            yield pa.RecordBatch.from_arrays([*x.columns[:4], pa.array(np.diff(first)), *map(pa.array, sums), x.column("digest")], schema=schema)
+
+    return kept.mapInArrow(run, ", ".join(f"{x} long" for x in schema.names[:-1]) + ", groups_sha256 string")
 
 
 def groups(docs: DataFrame, p: Params = Params()) -> DataFrame:
