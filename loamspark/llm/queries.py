@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontamination, html_extraction, importance_resampling, language_id, mixing, near_dedup, quality_classifier, quality_rules, secret_scan, token_alignment, url_filter
+from . import chat_format, decontamination, html_extraction, importance_resampling, language_id, mixing, near_dedup, quality_classifier, quality_rules, secret_scan, token_alignment, toxicity, url_filter
 from .common import read_table
 
 
@@ -66,6 +66,10 @@ def op11_align_tokenizers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment.align(spark, read_table(spark, sf_dir, "documents"))
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(spark, read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = importance_resampling.resample(spark, read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_features", "weight", "score", "rank")
@@ -75,7 +79,7 @@ def queries() -> dict:
     every = (
         op1_minhash_dedup, op2_decontaminate, op3_mix_sources, op4_chat_format, op5_secrets,
         op6_quality_classifier, op7_language_id, op8_quality_rules, op9_html_extract, op10_url_filter,
-        op11_align_tokenizers, op13_resample,
+        op11_align_tokenizers, op12_toxicity, op13_resample,
     )
     return {f.__name__: f for f in every}
 
