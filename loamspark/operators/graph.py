@@ -31,6 +31,24 @@ def resolve_redirects(redirects: DataFrame, rounds: int = 64) -> DataFrame:
     raise CycleError("redirect cycle")
 
 
+def chains(redirects: DataFrame) -> DataFrame:
+    """(project, src, dst, cyclic) of redirects (project, src, dst), each followed to its end within its project.
+
+    Every id redirects at most once. Steps are doubled each round; a chain is no longer than the redirects are many, so
+    what moves after that many steps leads into a cycle: it keeps its own row, marked, and fails nothing else.
+    """
+    now = cut(redirects.select("project", "src", "dst").distinct())
+    most = now.count().bit_length() + 1
+    moving = now.limit(0).select("project", "src")
+    for _ in range(most):
+        step = now.select("project", F.col("src").alias("dst"), F.col("dst").alias("next"))
+        after = cut(now.join(step, ["project", "dst"], "left").select("project", "src", F.coalesce("next", "dst").alias("dst"), F.col("next").isNotNull().alias("moved")))
+        now, moving = after.select("project", "src", "dst"), after.where("moved").select("project", "src")
+        if moving.isEmpty():
+            break
+    return now.join(moving.withColumn("cyclic", F.lit(True)), ["project", "src"], "left").withColumn("cyclic", F.coalesce("cyclic", F.lit(False)))
+
+
 def neighbours(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """Nodes one edge away from the seeds (query, node), either way, seeds left out."""
     out = seeds.join(edges.select(F.col("a").alias("node"), F.col("b").alias("next"), "edge"), "node").select("query", F.col("next").alias("node"), "edge")
