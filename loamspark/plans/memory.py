@@ -170,3 +170,92 @@ def x35b_rebuilt_assertions(t: Tables) -> DataFrame:
     """Only changed and new projects are built; the result is that of a full build of all projects that are not dropped."""
     after = O.rebuild(O.build(_inputs(t)), _inputs(t, True), _plan(t))
     return after["assertions"].select("project", "id", "entity_id", "value", "review")
+
+
+# --- X44, X45, X48: drift and repairs ----------------------------------------------------
+
+#: Models whose rows stand in orders, by the remainder of the key.
+BY_ORDER = ("identityKeys", "aliases", "relationships", "conflicts", "conflictAssertionLinks", "sources", "evidence", "assertionSourceLinks", "assertionEvidenceLinks")
+
+
+def _state(t: Tables, persisted: bool) -> dict[str, DataFrame]:
+    """Customers have four entities, three of which redirect to the next; orders stand for the other rows."""
+    p, j, k = c("project"), c("j"), c("id")
+    each = t.customer.select(c("c_custkey").alias("project"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("j")).withColumn("id", p * 10 + j)
+    entities = each.select("project", "id", F.when((p % 19 == 0) & (j < 2) & F.lit(persisted), "u").otherwise("t").alias("type"), ((p + j) % 5 != 0).alias("active"))
+    redirects = each.where("j > 0" + (" or project % 17 = 0" if persisted else "")).where("not (j = 2 and project % 7 = 0)" if persisted else "true")
+    redirects = redirects.select("project", "id", F.when(j > 0, k - 1).otherwise(k + 3).alias("dst"))
+    owner = F.when((p % 3 == 0) & F.lit(persisted), p * 10).when((p % 3 == 1) & F.lit(persisted) & (j == 3), p * 10 + 2).otherwise(k)
+    owned = each.select("project", "id", owner.alias("entity"))
+    out = {"resolvedEntities": entities, "redirects": redirects, "sourceEntityOwnership": owned, "assertionOwnership": owned.where("id % 10 < 2")}
+    rows = t.orders.withColumns({"project": c("o_custkey"), "id": c("o_orderkey")}).where("id % 11 <> 0" if persisted else "id % 7 <> 0")
+    value = (k % 5 + ((k % 6 == 0).cast("int") if persisted else 0)).alias("v")
+    own = {
+        "identityKeys": [F.concat(F.lit("e"), (k % 4).cast("string")).alias("entity"), F.lit("email").alias("type"), c("o_orderpriority").alias("value"), (k % 2 == 0).alias("strong"), F.lit(True).alias("authoritative")],
+        "aliases": [(k % 3 == 0).alias("accepted")],
+        "relationships": [F.when(k % 3 == 0, "supports").otherwise("related").alias("kind"), (k % 2).alias("a"), F.lit(1).alias("b"), F.lit(0).alias("from_assertion"), F.lit(0).alias("to_assertion")],
+    }
+    for i, model in enumerate(BY_ORDER):
+        out[model] = rows.where(k % len(BY_ORDER) == i).select("project", "id", value, *own.get(model, []))
+    return out
+
+
+def _found(t: Tables) -> DataFrame:
+    p = c("c_custkey")
+    heads = t.customer.select(p.alias("project"), F.lit(5).alias("desired_trusted"), F.when(p % 23 == 0, 4).otherwise(5).alias("persisted_trusted"), F.lit("f").alias("desired_fingerprint"), F.when(p % 29 == 0, F.lit(None)).otherwise("f").alias("persisted_fingerprint"))
+    issues = t.customer.where(p % 31 == 0).select(p.alias("project"), F.lit("governance_history_gap").alias("category"), p.alias("id")).union(t.customer.where(p % 37 == 0).select(p, F.lit("governance_history_integrity_failure"), p))
+    return O.drift(_state(t, False), _state(t, True), heads, issues)
+
+
+def _drift_sql() -> str:
+    kinds = lambda at: " ".join(f"WHEN '{m}' THEN '{v[at]}'" for m, v in O.MODELS.items())
+    model = f"{list(BY_ORDER)!r}[o_orderkey % {len(BY_ORDER)} + 1]"
+    reported = ", ".join(f"'{m}'" for m in O.REPORTED)
+    one = lambda category, m, repairable, action, rest, id="id": f"SELECT project, '{category}', '{m}', {id}::VARCHAR, 1, {repairable}, '{action}' FROM {rest}"
+    return f"""cust AS (SELECT c_custkey AS project, j, c_custkey * 10 + j AS id FROM customer, range(4) r(j)),
+        ord AS (SELECT o_custkey AS project, o_orderkey AS id, {model} AS model, o_orderpriority AS prio FROM orders),
+        byorder AS (SELECT project, model, id, id % 11 = 0 AS no_have, id % 7 = 0 AS absent, id % 6 = 0 AS stale, model = 'aliases' AND id % 3 = 0 AS accepted, model IN ({reported}) OR (model = 'relationships' AND id % 3 <> 0) AS held FROM ord),
+        o1 AS (SELECT project, CASE WHEN no_have THEN CASE model {kinds(0)} END WHEN absent THEN 'unexpected_row' ELSE CASE model {kinds(1)} END END AS category, model, id::VARCHAR AS id, 1 AS n, CASE WHEN absent THEN NOT held ELSE true END AS repairable,
+                  CASE WHEN no_have THEN 'insert' WHEN absent THEN CASE WHEN held THEN 'report' ELSE 'deactivate' END ELSE 'update' END AS action FROM byorder
+               WHERE (no_have AND NOT absent) OR (absent AND NOT no_have AND NOT accepted) OR (NOT no_have AND NOT absent AND stale)),
+        kept AS (SELECT project, id, CASE WHEN j > 0 THEN id - 1 ELSE id + 3 END AS dst, j FROM cust WHERE (j > 0 OR project % 17 = 0) AND NOT (j = 2 AND project % 7 = 0)),
+        keys AS (SELECT project, prio, count(DISTINCT id % 4) AS owners, count(*) AS n, min('e' || id % 4) AS id FROM ord WHERE model = 'identityKeys' AND id % 11 <> 0 AND id % 2 = 0 GROUP BY ALL),
+        rel AS (SELECT project, id % 3 = 0 AS s, id % 2 AS a, min(id) AS id, count(*) AS n FROM ord WHERE model = 'relationships' AND id % 11 <> 0 GROUP BY ALL),
+        d(project, category, model, id, n, repairable, action) AS (SELECT * FROM o1
+          UNION ALL {one('stale_field', 'resolvedEntities', 'true', 'update', "cust WHERE j = 0 AND project % 19 = 0")}
+          UNION ALL {one('missing_row', 'redirects', 'true', 'insert', 'cust WHERE j = 2 AND project % 7 = 0')}
+          UNION ALL {one('unexpected_row', 'redirects', 'false', 'report', 'cust WHERE j = 0 AND project % 17 = 0')}
+          UNION ALL {one('wrong_entity_ownership', 'sourceEntityOwnership', 'true', 'update', 'cust WHERE j = 3 AND project % 3 = 1')}
+          UNION ALL {one('broken_redirect', 'redirects', 'true', 'update', 'kept WHERE (project + dst % 10) % 5 = 0')}
+          UNION ALL {one('redirect_cycle', 'redirects', 'false', 'block', 'kept WHERE project % 17 = 0 AND project % 7 <> 0')}
+          UNION ALL SELECT project, 'conflicting_identity_key_ownership', 'identityKeys', id, n, false, 'block' FROM keys WHERE owners > 1
+          UNION ALL SELECT project, 'duplicate_relationship', 'relationships', id::VARCHAR, n, true, 'deactivate' FROM rel WHERE n > 1
+          UNION ALL {one('trusted_knowledge_revision_mismatch', 'business_memory', 'true', 'synchronize_trusted_knowledge_revision', 'cust WHERE j = 0 AND project % 23 = 0', "''").replace(", 1, ", ", 0, ")}
+          UNION ALL {one('revision_fingerprint_mismatch', 'business_memory', 'true', 'synchronize_fingerprint', 'cust WHERE j = 0 AND project % 29 = 0', "''").replace(", 1, ", ", 0, ")}
+          UNION ALL {one('governance_history_gap', 'governance', 'false', 'block', 'cust WHERE j = 0 AND project % 31 = 0', 'project')}
+          UNION ALL {one('governance_history_integrity_failure', 'governance', 'false', 'block', 'cust WHERE j = 0 AND project % 37 = 0', 'project')})"""
+
+
+@query(f"WITH {_drift_sql()} SELECT * FROM d")
+def x44_state_drift(t: Tables) -> DataFrame:
+    return _found(t)
+
+
+def _operation_sql() -> str:
+    operation = f"coalesce({_case('model', O.MODEL_OPERATION, '')[:-len(' ELSE ' + repr('') + ' END')]} END, {_case('category', O.OPERATION, '')})"
+    return f"{operation} AS operation"
+
+
+@query(f"""WITH {_drift_sql()}, bad AS (SELECT DISTINCT project FROM d WHERE NOT repairable), plan AS (SELECT *, {_operation_sql()} FROM d WHERE project NOT IN (SELECT project FROM bad))
+           SELECT project, {_case('operation', {k: str(v) for k, v in O.RANK.items()}, '')}::INT AS rank, operation, category, model, id, action FROM plan""")
+def x45_typed_repairs(t: Tables) -> DataFrame:
+    return O.repair_plan(_found(t))[0]
+
+
+@query(f"""WITH {_drift_sql()}, own AS (SELECT project, count(*) AS n, bool_and(repairable) AS fine FROM d GROUP BY project), x AS (SELECT c_custkey AS project, c_custkey % 4 AS revision, CASE WHEN c_custkey % 41 = 0 THEN 9 ELSE c_custkey % 4 END AS expected FROM customer),
+           y AS (SELECT x.*, coalesce(n, 0) AS n, CASE WHEN revision <> expected THEN 'conflict' WHEN own.n IS NULL THEN 'no_op' WHEN NOT fine THEN 'blocked' ELSE 'repaired' END AS outcome FROM x LEFT JOIN own USING (project))
+           SELECT project, outcome, n, revision + (outcome = 'repaired')::BIGINT AS revision FROM y""")
+def x48_reconcile_outcome(t: Tables) -> DataFrame:
+    p = c("c_custkey")
+    heads = t.customer.select(p.alias("project"), (p % 4).alias("revision"), F.when(p % 41 == 0, 9).otherwise(p % 4).alias("expected"))
+    return O.outcome(_found(t), heads)
