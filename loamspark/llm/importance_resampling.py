@@ -46,7 +46,7 @@ class Params:
     least_words: int = 20
     percent: int = 5  #: of the documents that are long enough
     seed: int = 42
-    block: int = 8_000_000  #: characters of a block of texts, about
+    block: int = 6_000_000  #: characters of a block of texts, about
     chunk: int = 1 << 21  #: words whose features are counted at once
     part: int = 16_000_000  #: characters of the texts for each part of the dictionary, about
 
@@ -125,22 +125,20 @@ def _packed(dictionary: pa.Array, own: list[tuple[list[np.ndarray], np.ndarray]]
     return head.tobytes() + b"".join(packed)
 
 
-def _unpacked(value: bytes) -> tuple[list[pa.Array], list[np.ndarray]]:
-    """The features of each length as strings, and their counts."""
+def _unpacked(value: bytes, k: int) -> tuple[pa.Array, np.ndarray]:
+    """The features of k words as strings, and their counts."""
     n = int(np.frombuffer(value, np.int64, 1)[0])
-    head, at, arrays, codec = np.frombuffer(value, np.int64, 3 * n, 8).reshape(n, 3).tolist(), 8 + 24 * n, [], pa.Codec("zstd")
-    for item, size, packed in head:
-        planes = np.frombuffer(bytes(codec.decompress(value[at : at + packed], size)), np.uint8).reshape(item, -1)
-        arrays.append(np.ascontiguousarray(planes.T).view(f"u{item}").ravel())
-        at += packed
-    offsets = np.concatenate(([0], np.cumsum(arrays[0], dtype=np.int64)))
-    words = pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(arrays[1].tobytes())])
-    features, counts, at, k = [], [], 2, 1
-    while at < n:
-        counts.append(arrays[at].astype(np.int64))
-        features.append(strings(words, [np.cumsum(arrays[at + 1], dtype=np.int64), *(x.astype(np.int64) for x in arrays[at + 2 : at + 1 + k])]))
-        at, k = at + 1 + k, k + 1
-    return features, counts
+    head, codec = np.frombuffer(value, np.int64, 3 * n, 8).reshape(n, 3), pa.Codec("zstd")
+    place = 8 + 24 * n + np.concatenate(([0], np.cumsum(head[:, 2])))
+
+    def array(i: int) -> np.ndarray:
+        planes = np.frombuffer(bytes(codec.decompress(value[place[i] : place[i + 1]], int(head[i, 1]))), np.uint8).reshape(int(head[i, 0]), -1)
+        return np.ascontiguousarray(planes.T).view(f"u{head[i, 0]}").ravel()
+
+    offsets = np.concatenate(([0], np.cumsum(array(0), dtype=np.int64)))
+    words = pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(array(1).tobytes())])
+    at = 2 + sum(range(2, k + 1))  # before: a column of counts and one for each word, of each smaller length
+    return strings(words, [np.cumsum(array(at + 1), dtype=np.int64), *(array(at + 1 + i).astype(np.int64) for i in range(1, k))]), array(at).astype(np.int64)
 
 
 def counted_features(texts: DataFrame, parts: int, p: Params) -> DataFrame:
@@ -175,18 +173,18 @@ def bucket_counts(texts: DataFrame, p: Params = Params()) -> np.ndarray:
     parts = max(1, math.ceil(size / p.part))
 
     def merge(rows: pa.Table) -> pa.Table:
-        each = [_unpacked(v) for v in rows["packed"].to_pylist()]
-        values = pa.chunked_array([x for features, _ in each for x in features], pa.large_binary())
-        n = np.concatenate([x for _, counts in each for x in counts])
-        del each
-        known = values.combine_chunks().dictionary_encode()
-        del values
-        count = np.bincount(known.indices.to_numpy(), n, len(known.dictionary)).astype(np.int64)
-        total = np.zeros(p.buckets, np.int64)
-        for a in range(0, len(count), 1 << 18):
-            np.add.at(total, buckets(known.dictionary.slice(a, 1 << 18), p), count[a : a + (1 << 18)])
-        del known
-        pa.default_memory_pool().release_unused()
+        packed, total = rows["packed"].to_pylist(), np.zeros(p.buckets, np.int64)
+        for k in range(1, p.longest + 1):  # features of different lengths are never equal
+            each = [_unpacked(v, k) for v in packed]
+            n = np.concatenate([x[1] for x in each])
+            known = pa.concat_arrays([x[0] for x in each]).dictionary_encode()
+            del each
+            count = np.bincount(known.indices.to_numpy(), n, len(known.dictionary)).astype(np.int64)
+            known = known.dictionary
+            for a in range(0, len(count), 1 << 18):
+                np.add.at(total, buckets(known.slice(a, 1 << 18), p), count[a : a + (1 << 18)])
+            del known
+            pa.default_memory_pool().release_unused()
         at = np.flatnonzero(total)
         return pa.table({"bucket": pa.array(at, pa.int32()), "n": pa.array(total[at])})
 

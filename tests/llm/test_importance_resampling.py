@@ -82,6 +82,7 @@ def test_crc32_of_many_strings():
 def test_packed_features_come_back():
     w = S.words_of(["b a b c", "a b", "", "ä b c a b"])
     for dictionary, own in R.chunks(w, R.Params(chunk=5), False):
-        features, counts = R._unpacked(R._packed(dictionary, [(f.word, f.count) for f in own]))
-        assert [x.to_pylist() for x in features] == [R.strings(dictionary, f.word).to_pylist() for f in own]
-        assert [x.tolist() for x in counts] == [f.count.tolist() for f in own]
+        packed = R._packed(dictionary, [(f.word, f.count) for f in own])
+        for k, f in enumerate(own, 1):
+            features, count = R._unpacked(packed, k)
+            assert features.to_pylist() == R.strings(dictionary, f.word).to_pylist() and count.tolist() == f.count.tolist()
