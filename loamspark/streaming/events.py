@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import events as O
+from ..operators import threads
 
 
 def read(spark: SparkSession, folder: str, schema: str, format: str = "parquet", files: int = 100) -> DataFrame:
@@ -55,3 +56,24 @@ def changes(events: DataFrame, key: str, signature: str, ts: str = "ts") -> Data
     own = events.select(F.col(key), O.micros(ts).alias("_at"), F.col(signature).cast("string").alias("_sign"))
     kind = "key string, at long, signature string, previous string"
     return own.groupBy(key).applyInPandasWithState(step, kind, "last string, at long", "append", GroupStateTimeout.NoTimeout)
+
+
+def thread_memory(turns: DataFrame) -> DataFrame:
+    """The memory of each thread after each turn; a thread's state is its memory and its last turn.
+
+    Within a trigger turns are taken in order; one that is not after the last one seen is late and changes nothing.
+    """
+
+    def step(of: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        text, last = state.get if state.exists else (None, None)
+        memory = threads._read(text) if text else threads.initial()
+        rows = pd.concat(list(batches)).sort_values("turn", kind="stable")
+        rows = rows[rows["turn"] > last] if last is not None else rows
+        if len(rows):
+            memory, out = threads.replayed(memory, rows)
+            state.update((threads._written(memory), int(rows["turn"].iloc[-1])))
+            yield pd.DataFrame([(of[0], *r) for r in out], columns=["thread", *threads.COLUMNS])
+
+    kind = dict(turns.dtypes)["thread"]
+    own = turns.select("thread", "turn", *threads.TURN)
+    return own.groupBy("thread").applyInPandasWithState(step, f"thread {kind}, {threads.OUT}", "memory string, last long", "append", GroupStateTimeout.NoTimeout)
