@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import changes, chat, concepts, events, facts, graph, intake, knowledge, memory, recrawl, relational, texts, threads, web  # noqa: F401  (they register)
+from . import batching, changes, chat, concepts, events, facts, graph, intake, knowledge, memory, recrawl, relational, texts, threads, web  # noqa: F401  (they register)
 from .registry import QUERIES, SQL
 
 
