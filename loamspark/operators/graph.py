@@ -49,6 +49,25 @@ def chains(redirects: DataFrame) -> DataFrame:
     return now.join(moving.withColumn("cyclic", F.lit(True)), ["project", "src"], "left").withColumn("cyclic", F.coalesce("cyclic", F.lit(False)))
 
 
+def components(edges: DataFrame) -> DataFrame:
+    """(project, id, root) of every end of an edge (project, a, b), the root being the least id connected with it.
+
+    Each round every id with a smaller neighbour goes to its least one; such steps never form a cycle, so each is
+    followed to its end, and the edges between ends are what is left. At least half of the ids are gone each round.
+    """
+    edges = cut(edges.where("a <> b").select("project", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    found = cut(edges.select("project", F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("root", F.col("id")))
+    while not edges.isEmpty():
+        both = edges.union(edges.select("project", "b", "a"))
+        least = both.groupBy("project", "a").agg(F.min("b").alias("dst")).where("dst < a").withColumnRenamed("a", "src")
+        ends = cut(chains(least).select("project", "src", "dst"))
+        to = lambda x: ends.select("project", F.col("src").alias(x), F.col("dst").alias(f"_{x}"))
+        found = cut(found.join(to("root"), ["project", "root"], "left").select("project", "id", F.coalesce("_root", "root").alias("root")))
+        edges = edges.join(to("a"), ["project", "a"], "left").join(to("b"), ["project", "b"], "left").select("project", F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"))
+        edges = cut(edges.where("a <> b").select("project", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    return found
+
+
 def neighbours(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """Nodes one edge away from the seeds (query, node), either way, seeds left out."""
     out = seeds.join(edges.select(F.col("a").alias("node"), F.col("b").alias("next"), "edge"), "node").select("query", F.col("next").alias("node"), "edge")

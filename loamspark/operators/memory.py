@@ -1,4 +1,4 @@
-"""The memory graph: build, incremental rebuild, desired state, drift and typed repairs.
+"""The memory graph: build, incremental rebuild, desired state, drift, typed repairs and merges.
 
 A memory is a set of tables: entities, aliases, assertions, sources, evidence, relationships, conflicts, missing, and
 the links of assertions to sources and evidence and of conflicts to assertions. Links are tables rather than arrays, so
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import text as T
-from .graph import chains
+from .graph import chains, components
 from .knowledge import ENTITY_TYPE, mapped
 
 c = F.col
@@ -309,3 +309,76 @@ def outcome(found: DataFrame, heads: DataFrame) -> DataFrame:
     own = heads.join(own, "project", "left")
     result = F.when(c("revision") != c("expected"), "conflict").when(c("n").isNull(), "no_op").when(~c("fine"), "blocked").otherwise("repaired")
     return own.select("project", result.alias("outcome"), F.coalesce("n", F.lit(0)).alias("n"), (c("revision") + (result == "repaired").cast("long")).alias("revision"))
+
+
+# --- X41: merges -------------------------------------------------------------------------
+
+MERGE = "business_memory_"
+
+
+def merge_refusals(commands: DataFrame, entities: DataFrame, redirects: DataFrame, revisions: DataFrame, ledger: DataFrame) -> DataFrame:
+    """Project, command, code (null if it may run) and ``replayed`` of each merge command.
+
+    ``commands``: project, command, survivor, merged (ids), expected, auto, evidence (rules), actor, reason. ``entities``: project, id, type,
+    active. ``redirects``: project, src, dst. ``revisions``: project, revision. ``ledger``: project, command, digest of commands that ran, where
+    ``digest`` is ``row_digest`` of the command. A command that ran is replayed, unless it has another content now.
+    """
+    ends = chains(redirects).where("not cyclic").select("project", c("src").alias("id"), c("dst").alias("end"))
+    own = commands.withColumn("digest", row_digest(commands, "project")).join(ledger.select("project", "command", c("digest").alias("ran")), ["project", "command"], "left").join(revisions, "project", "left")
+    named = own.select("project", "command", F.explode(F.concat(F.array(F.struct(c("survivor").alias("id"), F.lit(True).alias("keeps"))), F.transform("merged", lambda m: F.struct(m.alias("id"), F.lit(False).alias("keeps"))))).alias("m")).select("project", "command", "m.*")
+    named = named.join(ends, ["project", "id"], "left").withColumn("id", F.coalesce("end", "id")).join(entities.where("active"), ["project", "id"], "left")
+    seen = named.groupBy("project", "command").agg(
+        F.bool_or(c("keeps") & c("type").isNull()).alias("no_survivor"), F.bool_or(~c("keeps") & c("type").isNull()).alias("no_entity"), F.countDistinct("type").alias("types"),
+    )
+    own = own.join(seen, ["project", "command"])
+    none = lambda x: F.trim(F.coalesce(x, F.lit(""))) == ""
+    members = (F.size("merged") == 0) | (F.size(F.array_distinct("merged")) < F.size("merged")) | F.array_contains("merged", c("survivor"))
+    checks = (
+        (c("ran").isNotNull() & (c("ran") != c("digest")), "merge_command_content_conflict"), (c("ran").isNotNull(), None), (~c("expected").eqNullSafe(c("revision")), "stale_revision"), (members, "invalid_merge_members"),
+        (c("no_survivor"), "invalid_merge_survivor"), (c("no_entity"), "invalid_merge_entity"), (c("types") > 1, "incompatible_entity_types"),
+        (c("auto") & ~F.array_contains("evidence", "authoritative_exact_key"), "unqualified_auto_merge"), (~c("auto") & (none(c("actor")) | none(c("reason"))), "manual_merge_requires_actor_and_reason"),
+    )
+    code = F.lit(None).cast("string")
+    for test, name in reversed(checks):
+        code = F.when(test, F.lit(None if name is None else MERGE + name)).otherwise(code)
+    return own.select("project", "command", code.alias("code"), (c("ran").isNotNull() & (c("ran") == c("digest"))).alias("replayed"))
+
+
+def merges(links: DataFrame, entities: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Which entities become one (project, id, survivor), and the groups that are refused (project, survivor, code).
+
+    ``links``: project, a, b of entities to merge; ``entities``: project, id, type, active; ``keys``: project, entity, type, value of active,
+    strong, authoritative identity keys. Active entities that links connect are a group, whose least id survives. A group of several types is
+    refused; so is each group that shares a key with an entity outside it, as that key would have two owners. What is refused changes no other group.
+    """
+    live = entities.where("active").select("project", "id", "type")
+    fit = links.join(live.select("project", c("id").alias("a")), ["project", "a"], "left_semi").join(live.select("project", c("id").alias("b")), ["project", "b"], "left_semi")
+    own = components(fit.select("project", "a", "b"))
+    mixed = own.join(live, ["project", "id"]).groupBy("project", "root").agg(F.countDistinct("type").alias("types")).where("types > 1").select("project", "root", F.lit(MERGE + "incompatible_entity_types").alias("code"))
+    owner = keys.join(own.select("project", c("id").alias("entity"), "root"), ["project", "entity"], "left").select("project", "type", "value", F.coalesce("root", "entity").alias("owner"), c("root").isNotNull().alias("moves")).distinct()
+    shared = owner.groupBy("project", "type", "value").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    torn = owner.where("moves").join(shared, ["project", "type", "value"]).select("project", c("owner").alias("root"), F.lit(MERGE + "conflicting_strong_identity_key").alias("code"))
+    refused = mixed.union(torn).groupBy("project", "root").agg(F.max("code").alias("code"))
+    done = own.join(refused, ["project", "root"], "left_anti")
+    return done.select("project", "id", c("root").alias("survivor")), refused.select("project", c("root").alias("survivor"), "code")
+
+
+def merged_state(state: dict[str, DataFrame], done: DataFrame) -> dict[str, DataFrame]:
+    """Entities, redirects, aliases, keys and ownership after merges (project, id, survivor).
+
+    Redirects are flattened: old and new ones all lead to their end; those that lead into a cycle are kept apart in
+    ``cycles``. Aliases and keys that become equal are one row, with the least id and whatever any of them had.
+    """
+    moved = done.where("id <> survivor")
+    to = lambda name: moved.select("project", c("id").alias(name), "survivor")
+    follow = lambda df, name: df.join(to(name), ["project", name], "left").withColumn(name, F.coalesce("survivor", name)).drop("survivor")
+    old = state["redirects"].select("project", "src", "dst").join(moved.select("project", c("id").alias("src")), ["project", "src"], "left_anti")
+    ends = chains(old.union(moved.select("project", "id", "survivor")))
+    aliases = follow(state["aliases"], "entity").groupBy("project", "entity", "value").agg(F.min("id").alias("id"), F.bool_or("accepted").alias("accepted"), F.count("*").alias("n"))
+    keys = follow(state["keys"], "entity").groupBy("project", "entity", "type", "value", "source").agg(F.min("id").alias("id"), F.bool_or("strong").alias("strong"), F.bool_or("authoritative").alias("authoritative"), F.count("*").alias("n"))
+    gone = moved.select("project", "id", F.lit(True).alias("gone"))
+    entities = state["entities"].join(gone, ["project", "id"], "left").withColumn("active", c("active") & c("gone").isNull()).drop("gone")
+    return {
+        "entities": entities, "redirects": ends.where("not cyclic and src <> dst").drop("cyclic"), "cycles": ends.where("cyclic").select("project", "src"),
+        "aliases": aliases, "keys": keys, "ownership": follow(state["ownership"], "entity"),
+    }

@@ -259,3 +259,83 @@ def x48_reconcile_outcome(t: Tables) -> DataFrame:
     p = c("c_custkey")
     heads = t.customer.select(p.alias("project"), (p % 4).alias("revision"), F.when(p % 41 == 0, 9).otherwise(p % 4).alias("expected"))
     return O.outcome(_found(t), heads)
+
+
+# --- X41: merges -------------------------------------------------------------------------
+
+
+def _merge_state(t: Tables) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """Projects of twenty customers, in chains of five that links connect."""
+    k = c("c_custkey")
+    own = t.customer.select(F.floor(k / 20).alias("project"), k.alias("id"))
+    i = c("id")
+    entities = own.select("project", "id", F.when(i % 37 == 0, "product").otherwise("service").alias("type"), (i % 41 != 0).alias("active"))
+    links = own.where("id % 5 <> 0").select("project", i.alias("a"), (i - 1).alias("b"))
+    keys = own.where("id % 7 = 0").select("project", i.alias("entity"), F.concat(F.lit("k"), i.cast("string")).alias("id"), F.lit("email").alias("type"), (i % 3).cast("string").alias("value"), (i % 2).alias("source"), F.lit(True).alias("strong"), (i % 4 < 3).alias("authoritative"))
+    aliases = own.select("project", i.alias("entity"), F.concat(F.lit("a"), i.cast("string")).alias("id"), (i % 2).cast("string").alias("value"), (i % 3 == 0).alias("accepted"))
+    redirects = own.where("id % 20 in (6, 7, 11, 12)").select("project", i.alias("src"), F.when(i % 20 == 6, i + 1).when(i % 20 == 7, F.when(i % 3 == 0, i - 1).otherwise(i + 1)).otherwise(i - 1).alias("dst"))
+    return links, {"entities": entities, "keys": keys, "aliases": aliases, "redirects": redirects, "ownership": own.select("project", i.alias("entity"), (i * 10).alias("source_entity"))}
+
+
+def _merges(t: Tables) -> tuple[DataFrame, DataFrame, dict[str, DataFrame]]:
+    links, state = _merge_state(t)
+    done, refused = O.merges(links, state["entities"], state["keys"].where("strong and authoritative"))
+    return done, refused, state
+
+
+MERGES = """e AS (SELECT c_custkey // 20 AS project, c_custkey AS id, CASE WHEN c_custkey % 37 = 0 THEN 'product' ELSE 'service' END AS type, c_custkey % 41 <> 0 AS active FROM customer),
+    run AS (SELECT *, sum(starts) OVER (PARTITION BY project ORDER BY id) AS g FROM (SELECT *, (id % 5 = 0 OR lag(id) OVER (PARTITION BY project ORDER BY id) IS DISTINCT FROM id - 1)::INT AS starts FROM e WHERE active)),
+    own AS (SELECT project, id, type, min(id) OVER (PARTITION BY project, g) AS root, count(*) OVER (PARTITION BY project, g) AS size FROM run),
+    own2 AS (SELECT * FROM own WHERE size > 1),
+    o AS (SELECT DISTINCT e.project, e.id % 3 AS value, coalesce(root, e.id) AS owner, root IS NOT NULL AS moves FROM e LEFT JOIN own2 ON own2.id = e.id WHERE e.id % 7 = 0 AND e.id % 4 < 3),
+    bad AS (SELECT project, root AS survivor, 'business_memory_incompatible_entity_types' AS code FROM own2 GROUP BY project, root HAVING count(DISTINCT type) > 1
+            UNION ALL SELECT project, owner, 'business_memory_conflicting_strong_identity_key' FROM o WHERE moves AND (project, value) IN (SELECT (project, value) FROM o GROUP BY project, value HAVING count(*) > 1)),
+    refused AS (SELECT project, survivor, max(code) AS code FROM bad GROUP BY ALL),
+    done AS (SELECT project, id, root AS survivor FROM own2 WHERE root NOT IN (SELECT survivor FROM refused))"""
+
+
+@query(f"WITH {MERGES} SELECT project, id, survivor, NULL AS code FROM done UNION ALL SELECT project, NULL, survivor, code FROM refused")
+def x41_entity_merges(t: Tables) -> DataFrame:
+    done, refused, _ = _merges(t)
+    return done.withColumn("code", F.lit(None).cast("string")).unionByName(refused.withColumn("id", F.lit(None).cast("long")).select("project", "id", "survivor", "code"))
+
+
+@query(f"""WITH RECURSIVE {MERGES}, r0 AS (SELECT project, id AS src, CASE WHEN id % 20 = 6 THEN id + 1 WHEN id % 20 = 7 THEN CASE WHEN id % 3 = 0 THEN id - 1 ELSE id + 1 END ELSE id - 1 END AS dst FROM e WHERE id % 20 IN (6, 7, 11, 12)),
+           r AS (SELECT * FROM r0 WHERE src NOT IN (SELECT id FROM done WHERE id <> survivor) UNION ALL SELECT * FROM done WHERE id <> survivor),
+           walk(project, src, dst, n) AS (SELECT project, src, dst, 1 FROM r UNION ALL SELECT w.project, w.src, r.dst, n + 1 FROM walk w JOIN r ON r.project = w.project AND r.src = w.dst WHERE n < 30)
+           SELECT project, src, CASE WHEN max(n) < 30 THEN arg_max(dst, n) END AS dst FROM walk GROUP BY project, src""")
+def x41_flat_redirects(t: Tables) -> DataFrame:
+    """Old and new redirects followed to their ends; null where they lead into a cycle."""
+    done, _, state = _merges(t)
+    after = O.merged_state(state, done)
+    return after["redirects"].unionByName(after["cycles"].withColumn("dst", F.lit(None).cast("long")))
+
+
+@query(f"""WITH {MERGES}, x AS (SELECT e.project, coalesce(survivor, e.id) AS entity, e.id FROM e LEFT JOIN done ON done.id = e.id)
+           SELECT 'alias' AS kind, project, entity, (id % 2)::VARCHAR AS value, min('a' || id) AS id, bool_or(id % 3 = 0) AS flag, count(*) AS n FROM x GROUP BY ALL
+           UNION ALL SELECT 'key' || id % 2, project, entity, (id % 3)::VARCHAR, min('k' || id), bool_or(id % 4 < 3), count(*) FROM x WHERE id % 7 = 0 GROUP BY ALL""")
+def x41_merged_aliases_and_keys(t: Tables) -> DataFrame:
+    done, _, state = _merges(t)
+    after = O.merged_state(state, done)
+    aliases = after["aliases"].select(F.lit("alias").alias("kind"), "project", "entity", "value", "id", c("accepted").alias("flag"), "n")
+    return aliases.union(after["keys"].select(F.concat(F.lit("key"), c("source").cast("string")), "project", "entity", "value", "id", "authoritative", "n"))
+
+
+@query("""WITH x AS (SELECT o_custkey AS project, o_orderkey AS k FROM orders), y AS (SELECT *, k % 4 AS expected, project % 4 AS revision, k % 11 = 0 AS no_members, k % 13 = 0 AS dead, k % 17 = 0 AS other FROM x)
+          SELECT project, k AS command, CASE WHEN k % 19 = 0 AND k % 2 = 0 THEN 'business_memory_merge_command_content_conflict' WHEN k % 19 = 0 THEN NULL WHEN expected <> revision THEN 'business_memory_stale_revision' WHEN no_members THEN 'business_memory_invalid_merge_members'
+                 WHEN dead THEN 'business_memory_invalid_merge_survivor' WHEN k % 23 = 0 THEN 'business_memory_invalid_merge_entity' WHEN other THEN 'business_memory_incompatible_entity_types'
+                 WHEN k % 2 = 0 AND k % 3 = 0 THEN 'business_memory_unqualified_auto_merge' WHEN k % 2 = 1 AND k % 5 = 0 THEN 'business_memory_manual_merge_requires_actor_and_reason' END AS code, k % 19 = 0 AND k % 2 = 1 AS replayed FROM y""")
+def x41_merge_commands(t: Tables) -> DataFrame:
+    """Each project has entities 1 and 2, a product 3 and an inactive 4; commands of every kind of fault."""
+    k = c("o_orderkey")
+    commands = t.orders.select(
+        c("o_custkey").alias("project"), k.alias("command"), F.when(k % 13 == 0, 4).otherwise(1).alias("survivor"),
+        F.when(k % 11 == 0, F.array(F.lit(2), F.lit(2))).when(k % 23 == 0, F.array(F.lit(2), F.lit(9))).when(k % 17 == 0, F.array(F.lit(3))).otherwise(F.array(F.lit(5))).alias("merged"), (k % 4).alias("expected"), (k % 2 == 0).alias("auto"),
+        F.when(k % 3 == 0, F.array(F.lit("exact_weak_key"))).otherwise(F.array(F.lit("authoritative_exact_key"))).alias("evidence"), F.when(k % 5 == 0, " ").otherwise("someone").alias("actor"), F.lit("reason").alias("reason"),
+    )
+    projects = t.orders.select(c("o_custkey").alias("project")).distinct()
+    row = lambda i, kind, live: F.struct(F.lit(i).alias("id"), F.lit(kind).alias("type"), F.lit(live).alias("active"))
+    entities = projects.select("project", F.explode(F.array(row(1, "service", True), row(2, "service", True), row(3, "product", True), row(4, "service", False))).alias("e")).select("project", "e.*")
+    redirects = projects.select("project", F.lit(5).alias("src"), F.lit(2).alias("dst"))
+    ledger = commands.withColumn("digest", O.row_digest(commands, "project")).where("command % 19 = 0").select("project", "command", F.when(c("command") % 2 == 0, "other").otherwise(c("digest")).alias("digest"))
+    return O.merge_refusals(commands, entities, redirects, projects.withColumn("revision", c("project") % 4), ledger)

@@ -51,16 +51,22 @@ def shared(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut by a checkpoint in the shared folder."""
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(shared(df.sparkSession))
-    return df.checkpoint()
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as a Parquet table in the shared folder and reread: for what several branches of a plan read."""
-    path = f"{shared(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    """``df`` written as a Parquet table in the shared folder and reread: for what several branches of a plan read.
+
+    The table is deleted when the session's driver ends.
+    """
+    spark = df.sparkSession
+    path = f"{shared(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = spark._jvm.org.apache.hadoop.fs.Path(path)
+    table.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(table)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` with its lineage cut by a table in the shared folder.
+
+    A checkpoint would keep what the optimiser knows of the columns, which doubles with each round of a loop.
+    """
+    return stored(df, "cut")
