@@ -8,8 +8,9 @@ that fits in no such way is dropped. Together they are the host's template. A te
 as supported by the pages that hold the element around it, and a tag by a small share of the
 host, so that several layouts of one host each have their part of the template.
 
-The template decides what is extracted, in two ways. Its text nodes are constant: blocks that are
-wholly made of them are boilerplate, wherever they stand. Its tags bound the slots: the main slot
+The template decides what is extracted, in two ways. Its text nodes are constant or frequent: blocks
+that are wholly made of them are boilerplate, but for headings, and unless they hold most of an
+article, as in near copies of one story (``extract`` has the shares). Its tags bound the slots: the main slot
 is the innermost template element that holds most of the free text of the pages that have it; on
 each page the innermost such element is taken, and its varying blocks are the result.
 
@@ -61,10 +62,17 @@ HINTS = frozenset(
     "sidebar menu nav navbar navigation breadcrumb breadcrumbs footer header masthead share sharing social related recommended newsletter "
     "subscribe signup popup modal comment comments disqus reply replies complementary contentinfo search hidden".split()
 )
-NEUTRAL = frozenset("area bar bottom box block buttons container form inner item left links list main outer page right section site thread top widget wrap wrapper".split())
+NEUTRAL = frozenset(
+    "area bar bottom box block buttons container form google holder inner item law left links list main message outer page policy post posts reader readers right section site slot strip thread top unit user users "
+    "view visitor widget wrap wrapper zone".split()
+)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 PLAIN = frozenset("html body article main h1 h2 h3 h4 h5 h6".split())  #: a class says nothing about these
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<![^>]*+>|<\?[^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""", re.S)
+START = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*+)|[!?]|/(?=[^a-zA-Z]))")
+ATTRIBUTES = re.compile(r"""(?:[^>=]++|=(?!\s*["']))*+(=\s*(?=["']))?""")
+PLAIN_VALUE = re.compile(r"[^\s>]*")
+EMPTY_COMMENT = re.compile(r"<!---?>")
 MARK = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$|/)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 BIG = (1 << 64) - 1
@@ -75,6 +83,7 @@ class Params:
     pages: int = 3  #: a valid class occurs on so many pages of the host at least,
     layout: float = 0.1  #: its tags on this share of the host's pages,
     share: float = 0.5  #: its text nodes on this share of the pages that hold the element around them,
+    always: float = 0.95  #: (those on this share are constant, the others frequent)
     tokens: int = 2  #: and has so many tokens
     main: float = 0.6  #: share of the free text of its pages that the main slot holds
     broadcast: int = 500_000  #: template rows that are broadcast at most, else joined by host
@@ -92,24 +101,52 @@ def _marked(name: str, attrs: str) -> bool:
     return bool(HIDDEN.search(attrs))
 
 
+def _tag_end(html: str, at: int, missing: set[str]) -> int:
+    """The place of the > that ends a tag whose attributes begin at ``at``, or -1. A quote counts as one only after =; one that is
+    never closed is part of a plain value. ``missing`` remembers quotes that don't come any more, so a page is read once."""
+    while m := ATTRIBUTES.match(html, at):
+        at = m.end()
+        if not m[1]:  # no = with a quote follows
+            break
+        quote = html[at]
+        close = -1 if quote in missing else html.find(quote, at + 1)
+        if close < 0:
+            missing.add(quote)
+            close = PLAIN_VALUE.match(html, at).end() - 1
+        at = close + 1
+    return at if at < len(html) and html[at] == ">" else -1
+
+
 def tokens(html: str) -> Iterator[tuple[str, str, str]]:
-    """(kind, name or text, attributes) of tags ("open", "close") and text nodes ("text")."""
-    at, end = 0, len(html)
+    """(kind, name or text, attributes) of tags ("open", "close") and text nodes ("text").
+
+    One pass over the page: comments, declarations and tags end where browsers end them; a comment, declaration or tag that
+    never ends takes the rest of the page with it.
+    """
+    at, end, missing = 0, len(html), set()
     while at < end:
-        m = TOKEN.search(html, at)
+        m = START.search(html, at)
         if m is None:
             yield "text", html[at:], ""
             return
         if m.start() > at:
             yield "text", html[at : m.start()], ""
-        at = m.end()
         if not m[2]:
+            empty = EMPTY_COMMENT.match(html, m.start())
+            comment = html.startswith("<!--", m.start())
+            close = empty.end() if empty else html.find("-->", m.start() + 4) + 3 if comment else html.find(">", m.end()) + 1
+            if not empty and close == (2 if comment else 0):  # never ends
+                return
+            at = close
             continue
-        name = m[2].lower()
-        yield ("close" if m[1] else "open"), name, m[3]
-        if not m[1] and name in RAW and not m[3].endswith("/"):
-            close = re.compile(rf"</{re.escape(name)}\b", re.I).search(html, at)
-            at = close.start() if close else end
+        close = _tag_end(html, m.end(), missing)
+        if close < 0:
+            return
+        name, attrs, at = m[2].lower(), html[m.end() : close], close + 1
+        yield ("close" if m[1] else "open"), name, attrs
+        if not m[1] and name in RAW and not attrs.endswith("/"):
+            found = re.compile(rf"</{re.escape(name)}\b", re.I).search(html, at)
+            at = found.start() if found else end
 
 
 class Element:
@@ -122,19 +159,24 @@ class Element:
 
 
 class Node:
-    """A text node: its text, the element around it, whether a block begins with it or a link holds it."""
+    """A text node: its text, the element around it, whether a block begins with it, a link or a heading holds it."""
 
-    __slots__ = ("at", "breaks", "key", "link", "text")
+    __slots__ = ("at", "breaks", "heading", "key", "link", "text")
 
-    def __init__(self, text: str, at: int, key: int, breaks: bool, link: bool):
-        self.text, self.at, self.key, self.breaks, self.link = text, at, key, breaks, link
+    def __init__(self, text: str, at: int, key: int, breaks: bool, link: bool, heading: bool):
+        self.text, self.at, self.key, self.breaks, self.link, self.heading = text, at, key, breaks, link, heading
 
 
 def page(html: str) -> tuple[list[Element], list[Node], list[tuple[int, int]]]:
     """The elements of a page (the first is the page itself), its text nodes, and its tags, each with the element around it, by keys."""
     elements = [Element("", 0, 0, 0, False, False)]
-    stack, nodes, tags = [0], [], []
-    breaks, link = True, False
+    stack, nodes, tags, open_ = [0], [], [], Counter()
+    breaks, link, heading = True, False, False
+
+    def leave() -> str:
+        name = elements[stack.pop()].name
+        open_[name] -= 1
+        return name
 
     def key(*parts: str) -> int:
         return xxhash.xxh3_64_intdigest("\x00".join([str(elements[stack[-1]].key), *parts]))
@@ -142,26 +184,27 @@ def page(html: str) -> tuple[list[Element], list[Node], list[tuple[int, int]]]:
     for kind, name, attrs in tokens(html):
         if kind == "text":
             if name and not name.isspace():
-                nodes.append(Node(entities.unescape(name), stack[-1], key("text", " ".join(name.split())), breaks, link))
+                nodes.append(Node(entities.unescape(name), stack[-1], key("text", " ".join(name.split())), breaks, link, heading))
                 breaks = False
             elif name and nodes:
                 nodes[-1].text += " "
             continue
         if name == "a":
             link = kind == "open"
+        if name in BLOCK:
+            heading = kind == "open" and name in HEADINGS
         if name in BLOCK:
             breaks = True
             while elements[stack[-1]].name == "p":  # any block ends an open paragraph
-                stack.pop()
+                leave()
         if kind == "close":
-            if any(elements[i].name == name for i in stack):
-                while elements[stack.pop()].name != name:
+            if open_[name]:
+                while leave() != name:
                     pass
             if name in CONTAINER or name in NAMED:
                 tags.append((key("/" + name), elements[stack[-1]].key))
             continue
-        in_article = any(elements[i].name == "article" for i in stack)
-        marked = name in RAW or (name in NAMED and not (name == "header" and in_article)) or _marked(name, attrs)
+        marked = name in RAW or (name in NAMED and not (name == "header" and open_["article"])) or _marked(name, attrs)
         if name in VOID or not (marked or name in CONTAINER or name in NAMED) or (attrs.endswith("/") and name not in CONTAINER):
             continue
         marks = re.sub(r"\d+", "0", " ".join(x for m in MARK.findall(attrs) for x in m).lower()) if attrs else ""
@@ -170,6 +213,7 @@ def page(html: str) -> tuple[list[Element], list[Node], list[tuple[int, int]]]:
         lead = name in ("article", "main") and not (attrs and _marked("div", attrs))
         elements.append(Element(name, above, elements[above].depth + 1, own, marked, lead))
         stack.append(len(elements) - 1)
+        open_[name] += 1
 
     # What is marked goes out, but for what holds most of the leads or, without one, of the page's text.
     size, led = [0] * len(elements), [0] * len(elements)
@@ -191,32 +235,40 @@ def page(html: str) -> tuple[list[Element], list[Node], list[tuple[int, int]]]:
     return elements, nodes, tags
 
 
-def around(elements: list[Element], at: int) -> Iterator[int]:
-    """The numbers of an element and of all around it."""
-    while at:
-        yield at
-        at = elements[at].above
-
-
 def extract(html: str, template: dict[int, str] | None = None) -> str:
-    """The main text of a page; ``template`` has the keys of the host's constant texts ("text") and main slots ("main")."""
+    """The main text of a page; ``template`` has the keys of the host's texts that are constant ("text") or frequent ("often"), and of its main slots ("main").
+
+    Constant and frequent blocks of the main slot are left out, but headings stay. Where constant ones hold over four fifths of
+    its text they all stay, where frequent ones hold over half of the rest they do: the page is then one of many near copies,
+    not a frame around an article.
+    """
     elements, nodes, _ = page(html)
     template = template or {}
-    free = [x for x in nodes if not elements[x.at].out]
     slots = [i for i, e in enumerate(elements) if i and not e.out and template.get(e.key) == "main"]
     if slots:
         inner = max(slots, key=lambda i: (elements[i].depth, i))
-        slots = [i for i in slots if elements[i].key == elements[inner].key]
-        slots = {next((k for k in around(elements, i) if elements[k].lead), i) for i in slots}
+        lead = [0] * len(elements)  # the nearest article or main element around each
+        for i, e in enumerate(elements):
+            lead[i] = i if e.lead else lead[e.above]
+        slots = {lead[i] or i for i in slots if elements[i].key == elements[inner].key}
     else:
         slots = {i for i, e in enumerate(elements) if e.lead and not e.out}
-    held = [x for x in free if not slots.isdisjoint(around(elements, x.at))] if slots else free
+    inside = [False] * len(elements)
+    for i, e in enumerate(elements):
+        inside[i] = i in slots or inside[e.above]
+    held = [x for x in nodes if not elements[x.at].out and (inside[x.at] or not slots)]
     blocks: list[list[Node]] = []
     for x in held:
         if x.breaks or not blocks:
             blocks.append([])
         blocks[-1].append(x)
-    varied = [x for b in blocks if any(template.get(y.key) != "text" for y in b) for x in b] or held
+    size = lambda some: sum(len(x.text) for x in some if not x.heading)
+    for role, most in (("text", 0.8), ("often", 0.5)):
+        kept = [b for b in blocks if any(x.heading or template.get(x.key) != role for x in b)]
+        all_of, rest = ([x for b in some for x in b] for some in (blocks, kept))
+        if rest and size(rest) >= (1 - most) * size(all_of):
+            blocks = kept
+    varied = [x for b in blocks for x in b]
     return " ".join("".join((" " if x.breaks else "") + x.text for x in varied).split())
 
 
@@ -244,13 +296,14 @@ def occurrences(pages: DataFrame) -> DataFrame:
             for number, host, html in zip(b["number"], b["host"], b["html"], strict=True):
                 elements, nodes, tags = page(html or "")
                 seen = xxhash.xxh3_64_intdigest(number)
-                chars: Counter[int] = Counter()
-                whole = 0
+                size = [0] * len(elements)
                 for x in nodes:
                     if not elements[x.at].out and not x.link:
-                        whole += len(x.text)
-                        for k in {elements[i].key for i in around(elements, x.at)}:
-                            chars[k] += len(x.text)
+                        size[x.at] += len(x.text)
+                whole, chars = sum(size), Counter()
+                for i in range(len(elements) - 1, 0, -1):  # keys hold the path, so none is met twice on the way up
+                    size[elements[i].above] += size[i]
+                    chars[elements[i].key] += size[i]
                 outer = dict(tags)
                 found = [(t, 0, n, chars[t], outer[t]) for t, n in Counter(t for t, _ in tags).items()]
                 texts = {x.key: elements[x.at].key for x in nodes}
@@ -272,15 +325,16 @@ def occurrences(pages: DataFrame) -> DataFrame:
 
 
 def templates(spark: SparkSession, pages: DataFrame, params: Params, scratch: Scratch) -> DataFrame:
-    """host, token and role ("main" or "text") of the constant texts and main slots of valid classes."""
+    """host, token and role ("main", "text" or "often") of the constant and frequent texts and the main slots of valid classes."""
     often = scratch.keep(occurrences(pages).where(f"pages >= {params.pages}"), "occurrences")
     hosts = often.where("kind = 2").select("host", F.col("pages").alias("host_pages"))
     tags = often.where("kind = 0").join(hosts, "host").where(F.col("pages") >= params.layout * F.col("host_pages")).drop("host_pages")
     outer = often.where("kind <> 1").select("host", F.col("token").alias("around"), F.col("pages").alias("around_pages"))
     texts = often.where("kind = 1").join(outer, ["host", "around"]).where(F.col("pages") >= params.share * F.col("around_pages"))
-    token = F.struct("token", "kind", "around", (F.col("chars") >= params.main * F.greatest("whole", F.lit(1))).alias("main"))
+    always = (F.col("kind") == 1) & (F.col("pages") >= params.always * F.col("around_pages"))
+    token = F.struct("token", "kind", "around", always.alias("always"), (F.col("chars") >= params.main * F.greatest("whole", F.lit(1))).alias("main"))
     # Supported tokens are a bounded multiple of those of one page, so a host's classes are few.
-    classes = tags.unionByName(texts.drop("around_pages")).groupBy("host", "high", "low").agg(F.sort_array(F.collect_list(token)).alias("tokens"), F.max("pages").alias("pages"))
+    classes = tags.withColumn("around_pages", F.lit(None).cast("long")).unionByName(texts).groupBy("host", "high", "low").agg(F.sort_array(F.collect_list(token)).alias("tokens"), F.max("pages").alias("pages"))
     classes = classes.where(F.size("tokens") >= params.tokens)
 
     def one_gap(inner: set[int], outer: set[int], up: dict[int, int]) -> bool:
@@ -304,7 +358,7 @@ def templates(spark: SparkSession, pages: DataFrame, params: Params, scratch: Sc
             if tags and not all(one_gap(tags, x, up) or one_gap(x, tags, up) for x in taken):
                 continue
             taken += [tags] if tags else []
-            rows += [(b["host"].iloc[0], t["token"], "text" if t["kind"] == 1 else "main") for t in own if t["kind"] == 1 or t["main"]]
+            rows += [(b["host"].iloc[0], t["token"], ("text" if t["always"] else "often") if t["kind"] == 1 else "main") for t in own if t["kind"] == 1 or t["main"]]
         return pd.DataFrame(rows, columns=["host", "token", "role"])
 
     ordered = lambda b: nest(b.sort_values(["pages", "high", "low"], ascending=False))
