@@ -73,34 +73,33 @@ def _squashed(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
 
 
-def _grams(text: Column, most: int = 6) -> Column:
-    words = F.split(text, " ")
-    sizes = F.filter(F.sequence(F.lit(1), F.lit(most)), lambda n: n <= F.size(words))
-    runs = F.transform(sizes, lambda n: F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " ")))
-    return F.array_distinct(F.flatten(runs))
-
-
 def relationships(facts: DataFrame, found: DataFrame, conflicts: DataFrame) -> DataFrame:
     """X11i, A6, J8: relations that a fact of the source states: its name, the connecting words, the name of the target.
 
-    Facts meet the rules of their category, then the targets whose name occurs among their word
-    runs; so pairs of concepts arise only where a statement names the target. Names have six words
-    at most.
+    A statement is a fact's title, its value or one of its ``excerpts`` (an array, if facts have that column). It meets the
+    rules of its fact's category, then the names of its own concept and those of targets, each name by its rarest word, so
+    pairs of concepts arise only where a statement may name both, however long the names are.
     """
     named = facts.join(found.select("topic_key", "name"), "topic_key")
     identity = F.regexp_replace(F.regexp_replace("topic_key", "^[^:]*:?", ""), "_", " ")
     names = F.filter(F.array_distinct(F.array(T.key_text(F.col("name")), T.key_text(identity), T.key_text(F.col("title")))), lambda x: F.length(x) >= 2)
-    own = named.select("topic_key", "category", F.explode(names).alias("called")).distinct()
-    escaped = F.regexp_replace(F.regexp_replace("called", r"([.*+?^${}()|\[\]\\])", r"\\$1"), " ", r"\\s+")
-    pattern = F.concat(F.lit(r"(?<![a-z0-9])(?:"), F.array_join(F.sort_array(F.collect_set(escaped)), "|"), F.lit(r")(?![a-z0-9])"))
-    patterns = own.groupBy("topic_key").agg(pattern.alias("pattern"))
+    own = named.select("topic_key", "category", F.explode(names).alias("called")).distinct().withColumn("plain", _squashed(F.col("called")))
+    words = own.withColumn("word", F.explode(F.array_distinct(F.split("plain", " "))))
+    times = words.groupBy("word").agg(F.count("*").alias("n"))
+    rare = words.join(times, "word").groupBy("topic_key", "category", "called", "plain").agg(F.min_by("word", F.struct("n", "word")).alias("word"))
     rules = facts.sparkSession.createDataFrame(K.RELATIONS, "category string, target_category string, relation string, connector string")
-    stated = facts.where("explicit").join(F.broadcast(rules), "category").where(F.expr("value rlike concat('(?i)', connector)"))
-    stated = stated.withColumn("gram", F.explode(_grams(_squashed(F.col("value")))))
-    target = own.select(F.col("topic_key").alias("target"), F.col("category").alias("target_category"), _squashed(F.col("called")).alias("gram")).distinct()
-    met = stated.join(target, ["target_category", "gram"]).where("topic_key <> target").drop("gram").distinct()
-    met = met.join(patterns, "topic_key").join(patterns.select(F.col("topic_key").alias("target"), F.col("pattern").alias("target_pattern")), "target")
-    met = met.where(F.expr(r"value rlike concat('(?is)', pattern, '.{0,120}?', connector, '.{0,120}?', target_pattern)"))
+    excerpts = F.coalesce("excerpts", F.array()) if "excerpts" in facts.columns else F.array().cast("array<string>")
+    said = facts.where("explicit").withColumn("statement", F.explode(F.array_distinct(F.concat(F.array("title", "value"), excerpts))))
+    said = said.join(F.broadcast(rules), "category").where(F.expr("statement rlike concat('(?i)', connector)")).withColumn("told", _squashed(F.col("statement")))
+    said = said.withColumn("words", F.array_distinct(F.concat(F.split("told", " "), F.array(F.lit("")))))  # a name of symbols alone has no word
+    of = rare.select("topic_key", "word", F.col("called").alias("source_name"), F.col("plain").alias("source_plain"))
+    met = said.withColumn("word", F.explode("words")).join(of, ["topic_key", "word"]).where(F.contains("told", "source_plain")).drop("word")
+    to = rare.select(F.col("topic_key").alias("target"), F.col("category").alias("target_category"), "word", F.col("called").alias("target_name"), F.col("plain").alias("target_plain"))
+    met = met.withColumn("word", F.explode("words")).join(to, ["target_category", "word"]).where(F.contains("told", "target_plain") & (F.col("topic_key") != F.col("target")))
+    pattern = lambda x: F.concat(F.lit(r"(?<![a-z0-9])"), F.regexp_replace(F.regexp_replace(x, r"([.*+?^${}()|\[\]\\])", r"\\$1"), " ", r"\\s+"), F.lit(r"(?![a-z0-9])"))
+    met = met.withColumns({"source_name": pattern("source_name"), "target_name": pattern("target_name")})
+    met = met.where(F.expr(r"statement rlike concat('(?is)', source_name, '.{0,120}?', connector, '.{0,120}?', target_name)"))
+    met = met.drop("words", "word", "statement", "told", "source_name", "source_plain", "target_name", "target_plain").distinct()
     source = F.when(F.col("provenance") == "owner", "owner").otherwise(F.col("source"))
     out = met.groupBy("relation", F.col("topic_key").alias("source"), "target").agg(F.round(F.avg("score")).cast("int").alias("mean"), F.count("*").alias("n_facts"), F.countDistinct(source).alias("n_sources"), F.bool_or(F.col("provenance") == "owner").alias("owner"))
     bad = conflicts.select("topic_key").distinct()
