@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import text as T
-from .graph import resolve_redirects
+from .graph import chains
 
 #: Review category and entity type of each category of facts.
 REVIEW_CATEGORY = {
@@ -131,9 +131,9 @@ def refusals(assertions: DataFrame, conflicts: DataFrame) -> DataFrame:
     """Projects that may not be projected: with an open conflict, or without a clear successor.
 
     ``assertions``: project, id, state, predecessor. A predecessor must exist; a correction follows a
-    reviewed one; of the successors of an assertion at most one is approved or corrected; and an
-    assertion with such a successor, or a proposed one, may not be active itself. (Cycles of
-    predecessors show in ``graph.resolve_redirects``.)
+    reviewed one; of the successors of an assertion at most one is approved or corrected; an
+    assertion with such a successor, or a proposed one, may not be active itself; and predecessors
+    may not form a cycle, which refuses its own project only.
     """
     c = F.col
     live = c("state").isin("approved", "corrected")
@@ -143,6 +143,8 @@ def refusals(assertions: DataFrame, conflicts: DataFrame) -> DataFrame:
     unclear = linked.where(c("before").isNull() | ((c("state") == "corrected") & ~c("before").isin("approved", "corrected", "superseded", "archived"))).select("project")
     by = linked.groupBy("project", "predecessor").agg(F.count_if(live).alias("n"), F.bool_or(live | (c("state") == "proposed")).alias("next"), F.first("before").alias("before"))
     unclear = unclear.union(by.where((c("n") > 1) | (c("next") & c("before").isin("approved", "corrected"))).select("project"))
+    cycles = chains(linked.select("project", c("id").alias("src"), c("predecessor").alias("dst"))).where("cyclic")
+    unclear = unclear.union(cycles.select("project"))
     bad = conflicts.where("not resolved").select("project", F.lit("assistant_projection_unresolved_conflict").alias("code"))
     return bad.union(unclear.select("project", F.lit("assistant_projection_unresolved_revision_authority").alias("code"))).groupBy("project").agg(F.min("code").alias("code"))
 
@@ -150,10 +152,11 @@ def refusals(assertions: DataFrame, conflicts: DataFrame) -> DataFrame:
 def projection(assertions: DataFrame, entities: DataFrame, merges: DataFrame, conflicts: DataFrame) -> DataFrame:
     """The items a project may serve: approved or corrected assertions under their merged entity.
 
-    ``entities``: project, entity, type, name; ``merges``: merged entity and its survivor (``src``, ``dst``).
+    ``entities``: project, entity, type, name; ``merges``: merged entity and its survivor (``src``, ``dst``), ids being those of all projects. Items of an
+    entity whose merges lead into a cycle are left out; other items and projects are served.
     """
-    final = resolve_redirects(merges).select(F.col("src").alias("entity"), F.col("dst").alias("canonical"))
-    named = entities.join(final, "entity", "left").select("project", "entity", "type", "name", F.coalesce("canonical", "entity").alias("canonical"))
+    final = chains(merges.select(F.lit(0).alias("project"), "src", "dst")).select(F.col("src").alias("entity"), F.col("dst").alias("canonical"), "cyclic")
+    named = entities.join(final, "entity", "left").where("not coalesce(cyclic, false)").select("project", "entity", "type", "name", F.coalesce("canonical", "entity").alias("canonical"))
     own = assertions.where(F.col("state").isin("approved", "corrected")).join(refusals(assertions, conflicts), "project", "left_anti")
     return own.join(named, ["project", "entity"]).select("project", "id", F.col("canonical").alias("entity"), "type", F.col("name").alias("title"), "value", "state", "predecessor")
 

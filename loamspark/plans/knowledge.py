@@ -228,9 +228,9 @@ def x31_provenance_summary(t: Tables) -> DataFrame:
 
 
 MEMORY = f"""a AS (SELECT o_custkey AS project, o_orderkey AS id, o_custkey * 10 + o_orderkey % 4 AS entity, {STATES!r}[o_orderkey % 5 + 1] AS state, o_orderpriority AS value,
-                   CASE WHEN o_orderkey % 31 = 0 THEN -1 WHEN o_orderkey % 6 = 0 THEN lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) END AS predecessor FROM orders),
+                   CASE WHEN o_orderkey % 31 = 0 THEN -1 WHEN o_orderkey % 101 = 0 THEN o_orderkey WHEN o_orderkey % 6 = 0 THEN lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) END AS predecessor FROM orders),
              l AS (SELECT a.*, p.state AS before FROM a LEFT JOIN a p ON p.project = a.project AND p.id = a.predecessor WHERE a.predecessor IS NOT NULL),
-             u AS (SELECT project FROM l WHERE before IS NULL OR (state = 'corrected' AND before NOT IN ('approved', 'corrected', 'superseded', 'archived')) UNION ALL
+             u AS (SELECT project FROM a WHERE predecessor = id UNION ALL SELECT project FROM l WHERE before IS NULL OR (state = 'corrected' AND before NOT IN ('approved', 'corrected', 'superseded', 'archived')) UNION ALL
                    SELECT project FROM l GROUP BY project, predecessor HAVING count(*) FILTER (WHERE state IN ('approved', 'corrected')) > 1 OR (bool_or(state IN ('approved', 'corrected', 'proposed')) AND min(before) IN ('approved', 'corrected'))),
              r AS (SELECT project, min(code) AS code FROM (SELECT c_custkey AS project, 'assistant_projection_unresolved_conflict' AS code FROM customer WHERE c_acctbal < 0 UNION ALL SELECT project, 'assistant_projection_unresolved_revision_authority' FROM u) GROUP BY 1)"""
 
@@ -239,7 +239,7 @@ def _memory(t: Tables) -> tuple[DataFrame, DataFrame]:
     before = F.lag("o_orderkey").over(W.partitionBy("o_custkey").orderBy("o_orderkey"))
     a = t.orders.select(
         c("o_custkey").alias("project"), c("o_orderkey").alias("id"), (c("o_custkey") * 10 + c("o_orderkey") % 4).alias("entity"), _pick(STATES, c("o_orderkey")).alias("state"), c("o_orderpriority").alias("value"),
-        F.when(c("o_orderkey") % 31 == 0, F.lit(-1)).when(c("o_orderkey") % 6 == 0, before).alias("predecessor"),
+        F.when(c("o_orderkey") % 31 == 0, F.lit(-1)).when(c("o_orderkey") % 101 == 0, c("o_orderkey")).when(c("o_orderkey") % 6 == 0, before).alias("predecessor"),
     )
     return a, t.customer.select(c("c_custkey").alias("project"), (c("c_acctbal") >= 0).alias("resolved"))
 
@@ -250,11 +250,11 @@ def x36_projection_refusals(t: Tables) -> DataFrame:
 
 
 @query(f"""WITH {MEMORY} SELECT project, id, CASE entity % 10 WHEN 3 THEN entity - 3 WHEN 2 THEN entity - 2 ELSE entity END AS entity, CASE WHEN entity % 2 = 0 THEN 'service' ELSE 'product' END AS type, 'e' || entity AS title, value, state, predecessor
-           FROM a WHERE state IN ('approved', 'corrected') AND project NOT IN (SELECT project FROM r)""")
+           FROM a WHERE state IN ('approved', 'corrected') AND project NOT IN (SELECT project FROM r) AND NOT (project % 13 = 0 AND entity % 10 IN (0, 2, 3))""")
 def x36_serving_projection(t: Tables) -> DataFrame:
     a, conflicts = _memory(t)
     entities = a.select("project", "entity").distinct().withColumns({"type": F.when(c("entity") % 2 == 0, "service").otherwise("product"), "name": F.concat(F.lit("e"), c("entity").cast("string"))})
-    merges = t.customer.select(F.explode(F.array(F.struct((c("c_custkey") * 10 + 3).alias("src"), (c("c_custkey") * 10 + 2).alias("dst")), F.struct((c("c_custkey") * 10 + 2).alias("src"), (c("c_custkey") * 10).alias("dst")))).alias("m")).select("m.*")
+    merges = t.customer.select(F.explode(F.array(F.struct((c("c_custkey") * 10 + 3).alias("src"), (c("c_custkey") * 10 + 2).alias("dst")), F.struct((c("c_custkey") * 10 + 2).alias("src"), (c("c_custkey") * 10).alias("dst")), F.when(c("c_custkey") % 13 == 0, F.struct((c("c_custkey") * 10).alias("src"), (c("c_custkey") * 10 + 3).alias("dst"))))).alias("m")).where("m is not null").select("m.*")
     return O.projection(a, entities, merges, conflicts)
 
 

@@ -37,3 +37,16 @@ def test_chains_mark_cycles_by_project(spark):
 def test_nothing_is_connected(spark):
     none = spark.createDataFrame([], "project long, a long, b long")
     assert O.components(none).collect() == [] and O.chains(none.toDF("project", "src", "dst")).collect() == []
+
+
+def test_projects_with_cycles_of_predecessors_are_refused(spark):
+    from loamspark.operators import knowledge as K
+
+    kind = "project long, id long, entity long, state string, value string, predecessor long"
+    rows = [(1, 1, 1, "archived", "a", 2), (1, 2, 1, "archived", "a", 1), (2, 1, 1, "archived", "a", None), (2, 2, 1, "approved", "b", 1), (3, 1, 7, "approved", "c", None), (3, 2, 8, "approved", "d", None)]
+    a = spark.createDataFrame(rows, kind)
+    none = spark.createDataFrame([], "project long, resolved boolean")
+    assert {(r["project"], r["code"]) for r in K.refusals(a, none).collect()} == {(1, "assistant_projection_unresolved_revision_authority")}
+    entities = a.selectExpr("project", "entity", "'t' as type", "'n' as name").distinct()
+    merges = spark.createDataFrame([(7, 6), (6, 7)], "src long, dst long")
+    assert sorted((r["project"], r["id"]) for r in K.projection(a, entities, merges, none).collect()) == [(2, 2), (3, 2)]
