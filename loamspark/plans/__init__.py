@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import batching, changes, chat, concepts, events, facts, governance, graph, intake, knowledge, memory, recrawl, relational, structured, texts, threads, untrusted, web  # noqa: F401  (they register)
+from . import batching, changes, chat, concepts, events, facts, governance, graph, intake, knowledge, made, memory, recrawl, relational, structured, texts, threads, untrusted, web  # noqa: F401  (they register)
 from .registry import QUERIES, SQL
 
 
