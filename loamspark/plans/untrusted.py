@@ -40,3 +40,37 @@ def s2_sitemap_pages(t: Tables) -> DataFrame:
         one = t.supplier.select(at(name).alias("url"), body.alias("body"))
         documents = one if documents is None else documents.union(one)
     return O.followed_sitemaps(documents, t.supplier.select(k.alias("site"), at("root.xml").alias("url")))[0]
+
+
+# --- X16: outputs of a model, one of nine kinds for each order ---------------------------
+
+_FACT = '"category": "{0}", "content": "{1}", "sourceBlockId": "{2}", "source_excerpt": "{3}", "confidenceScore": 0.9'
+OUTPUTS = [
+    '{"facts": [{' + x + "}]}"
+    for x in (
+        _FACT.format("service", "Repairs of bikes", "b1", "repairs of all bikes"), _FACT.format("none", "Repairs", "b1", "x"), _FACT.format("policy", "abc", "b1", "x"), _FACT.format("policy", "Long enough", "b7", "x"),
+        _FACT.format("policy", "Long enough", "b1", " "), _FACT.format("policy", "Long enough", "b1", "we sell boats and cars"),
+    )
+]
+OUTPUTS += ['{"faq_candidates": [{"question": "Q?", "answer": ""}], "conflicts": [{}]}', "[]", '{"facts": [' + ", ".join(["{" + _FACT.format("service", "Repairs of bikes", "b1", "repairs of all bikes") + "}"] * 2) + '], "missingInformation": [{"topic": "t", "reason": "r", "suggested_question": "q"}]}']
+CODES = [[], [("invalid_category", "facts[0].category")], [("invalid_fact", "facts[0].content")], [("missing_source_block", "facts[0].sourceBlockId")], [("missing_source_excerpt", "facts[0].sourceExcerpt")],
+         [("source_excerpt_not_found", "facts[0].sourceExcerpt")], [("invalid_faq_candidate", "faqCandidates[0]"), ("invalid_conflict", "conflicts[0]")], [("invalid_root", "$")], [("duplicate_item", "facts")]]
+_ROWS = ", ".join(f"({i}, '{code}', '{path}')" for i, own in enumerate(CODES) for code, path in own)
+
+
+def _extracted(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    from ..operators import extraction as X
+
+    k = c("o_orderkey")
+    outputs = t.orders.select(c("o_custkey").alias("project"), k.alias("extraction"), F.element_at(F.array(*map(F.lit, OUTPUTS)), (k % len(OUTPUTS)).cast("int") + 1).alias("output"))
+    return X.validate(outputs, t.customer.select(c("c_custkey").alias("project"), F.lit("b1").alias("id"), F.lit("We offer repairs of  all Bikes.").alias("content")))
+
+
+@query(f"SELECT o_custkey AS project, o_orderkey AS extraction, code, path FROM orders JOIN (VALUES {_ROWS}) v(kind, code, path) ON kind = o_orderkey % {len(OUTPUTS)}")
+def x16_extraction_issues(t: Tables) -> DataFrame:
+    return _extracted(t)[1]
+
+
+@query(f"""SELECT o_custkey AS project, o_orderkey AS extraction, kind, 0 AS nth, key FROM orders JOIN (VALUES (0, 'fact', 'service:Repairs of bikes'), (8, 'fact', 'service:Repairs of bikes'), (8, 'missing', 't')) v(n, kind, key) ON n = o_orderkey % {len(OUTPUTS)}""")
+def x16_accepted_items(t: Tables) -> DataFrame:
+    return _extracted(t)[0].drop("confidence", "id")
