@@ -54,6 +54,7 @@ class Params:
     unknown: float = 0.2  #: share of the words of a step that are read by their letters alone
     rate: float = 0.02
     decay: float = 1e-4  #: of the weights, a step
+    bound: float = 4.0  #: of logits, for the calibration
     threshold: float = 0.7
     block: int = 4_000_000  #: characters of a block of texts, about
     batch: int = 4096  #: windows that are read at once
@@ -191,10 +192,14 @@ class Model:
         """The greatest logit of each text."""
         return np.maximum.reduceat(self.logits(b), b.first[:-1]) if len(b.first) > 1 else np.zeros(0)
 
+    def bounded(self, b: Block) -> np.ndarray:
+        """The logit of each text, within bounds, so that a few wrong labels don't level the calibration."""
+        return np.clip(self.of_texts(b).astype(np.float64), -self.params.bound, self.params.bound)
+
     def __call__(self, texts: list[str]) -> np.ndarray:
         if self.constant is not None:
             return np.full(len(texts), self.constant)
-        return sigmoid(self.slope * self.of_texts(block_of(texts, self.params)).astype(np.float64) + self.shift)
+        return sigmoid(self.slope * self.bounded(block_of(texts, self.params)) + self.shift)
 
     def gradients(self, b: Block, windows: np.ndarray, owner: np.ndarray, y: np.ndarray, hidden: np.ndarray | None = None) -> dict[str, np.ndarray]:
         """Of the mean logistic loss of texts, each seen by the soft maximum of its windows; ``owner`` is a window's text.
@@ -318,7 +323,7 @@ def train(texts: list[str], y: np.ndarray, p: Params) -> Model:
 
 def calibrate(model: Model, texts: list[str], y: np.ndarray, weight: np.ndarray) -> None:
     """Fit slope and shift of the logistic curve by Newton's method, with labels drawn in from 0 and 1 by one row each."""
-    x = model.of_texts(block_of(texts, model.params)).astype(np.float64)
+    x = model.bounded(block_of(texts, model.params))
     n = np.array([(y == v).sum() for v in (0, 1)])
     target = np.where(y == 1, (n[1] + 1) / (n[1] + 2), 1 / (n[0] + 2))
     both, beta = np.column_stack([x, np.ones(len(x))]), np.array([1.0, 0.0])
