@@ -22,9 +22,9 @@ UNITS = f"""p AS (SELECT lower(regexp_extract(url, '://([^/?#]*)', 1)) AS projec
               length('PAGE ' || page_id || 'SOURCE ID: p' || page_id || 'URL: ' || coalesce(url, '') || 'TYPE: page' || 'CHUNK:  OF CONTENT:') + 5 + CASE WHEN page_id % 3 = 0 THEN 15 ELSE 0 END AS head FROM pages),
     cut(project, page, chunk, pos, len) AS (SELECT project, page, 1, 0, {MOST} - head - length(n::VARCHAR) - 2 FROM p WHERE head + 2 + n + (n > 0)::INT > {MOST}
         UNION ALL SELECT cut.project, cut.page, chunk + 1, pos + len, {MOST} - head - length(n::VARCHAR) - length((chunk + 1)::VARCHAR) - 1 FROM cut JOIN p ON p.page = cut.page WHERE pos + len < n),
-    u0 AS (SELECT project, page, 1 AS chunk, 1 AS chunks, 0 AS pos, n AS len FROM p WHERE page NOT IN (SELECT page FROM cut)
+    u0 AS MATERIALIZED (SELECT project, page, 1 AS chunk, 1 AS chunks, 0 AS pos, n AS len FROM p WHERE page NOT IN (SELECT page FROM cut)
         UNION ALL SELECT project, page, chunk, count(*) OVER (PARTITION BY page), pos, len FROM cut),
-    u AS (SELECT u0.project, u0.page, chunk, chunks, substr(text, pos + 1, len) AS text, head + length(chunk::VARCHAR) + length(chunks::VARCHAR) + least(len, n - pos) + (n > 0)::INT AS size, row_number() OVER (PARTITION BY u0.project ORDER BY u0.page, chunk) - 1 AS place FROM u0 JOIN p ON p.page = u0.page),
+    u AS MATERIALIZED (SELECT u0.project, u0.page, chunk, chunks, substr(text, pos + 1, len) AS text, head + length(chunk::VARCHAR) + length(chunks::VARCHAR) + least(len, n - pos) + (n > 0)::INT AS size, row_number() OVER (PARTITION BY u0.project ORDER BY u0.page, chunk) - 1 AS place FROM u0 JOIN p ON p.page = u0.page),
     g(project, place, batch, used) AS (SELECT project, place, 1, size FROM u WHERE place = 0
         UNION ALL SELECT g.project, u.place, CASE WHEN used + {len(O.BETWEEN)} + size > {MOST} THEN batch + 1 ELSE batch END, CASE WHEN used + {len(O.BETWEEN)} + size > {MOST} THEN size ELSE used + {len(O.BETWEEN)} + size END FROM g JOIN u ON u.project = g.project AND u.place = g.place + 1)"""
 
