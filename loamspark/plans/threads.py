@@ -21,7 +21,7 @@ def turns(t: Tables) -> DataFrame:
     pick = F.element_at(F.array(*map(F.lit, CYCLE)), (key % len(CYCLE)).cast("int") + 1)
     own = t.conversations.where("conv_id is not null and turn is not null").dropDuplicates(["conv_id", "turn"])
     return own.select(
-        c("conv_id").alias("thread"), "turn", pick.alias("decision"), F.when(key % 3 == 0, words).when(key % 7 == 0, "").alias("goal"), F.when(key % 4 == 0, F.upper(words)).when(key % 5 == 0, "ok!").alias("subject"),
+        c("conv_id").alias("thread"), "turn", pick.alias("decision"), F.when(key % 3 == 0, words).when(key % 7 == 0, "").alias("goal"), F.when(key % 4 == 0, F.concat(F.lit("On "), words)).when(key % 5 == 0, "ok!").alias("subject"),
         F.when(key % 5 == 1, F.concat(F.lit(" the  service "), (key % 6).cast("string"))).alias("service"), F.when(key % 2 == 0, F.concat(F.lit("Summary "), key.cast("string"))).when(key % 9 == 0, "hmm").alias("summary"),
         F.when(key % 4 == 1, F.array(F.lit("A b"), F.lit("a  B "), F.concat(F.lit("c"), (key % 3).cast("string")))).alias("constraints"), F.lit(None).cast("array<string>").alias("details"), F.lit(None).cast("array<string>").alias("questions"),
         F.when(key % 6 == 1, F.array(F.lit(""), F.lit("why"))).alias("clarifications"),
@@ -38,7 +38,7 @@ def _fold_sql() -> str:
     constraints = "CASE WHEN e.decision IN ('reset', 'topic_change') THEN [] WHEN e.decision = 'sidetrack' THEN s.constraints WHEN e.decision = 'resume' THEN coalesce(s.pconstraints, s.constraints) ELSE coalesce(e.constraints, s.constraints) END"
     return f"""u AS (SELECT DISTINCT ON (conv_id, turn) conv_id AS thread, turn, conv_id * 3 + turn AS key, substr(text, 1, 24) AS words FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
         e AS (SELECT thread, turn, row_number() OVER (PARTITION BY thread ORDER BY turn) AS n, {CYCLE!r}[key % {len(CYCLE)} + 1] AS decision, {R.clean('words')} AS w,
-              CASE WHEN key % 3 = 0 THEN {R.clean('words')} WHEN key % 7 = 0 THEN '' END AS goal, CASE WHEN key % 4 = 0 THEN {R.clean('upper(words)')} WHEN key % 5 = 0 THEN 'ok!' END AS subject,
+              CASE WHEN key % 3 = 0 THEN {R.clean('words')} WHEN key % 7 = 0 THEN '' END AS goal, CASE WHEN key % 4 = 0 THEN {R.clean("'On ' || words")} WHEN key % 5 = 0 THEN 'ok!' END AS subject,
               CASE WHEN key % 5 = 1 THEN 'the service ' || key % 6 END AS service, CASE WHEN key % 2 = 0 THEN 'Summary ' || key WHEN key % 9 = 0 THEN 'hmm' END AS summary,
               CASE WHEN key % 4 = 1 THEN ['A b', 'c' || key % 3] END AS constraints, CASE WHEN key % 6 = 1 THEN ['why'] END AS clarifications FROM u),
         f(thread, turn, n, decision, status, goal, subject, service, constraints, clarifications, summary, sidetrack, pgoal, psubject, pservice, pconstraints, failures) AS (
