@@ -39,6 +39,9 @@ LINES = (
     ("Review count", "reviewCount"), ("Rating count", "ratingCount"), ("External profile*", "sameAs"),
 )
 SHOWN = ("name", "description", "text", "value", "price", "ratingValue", "@id")
+HOURS = "dayOfWeek opens closes"
+#: Lines whose properties an entity must have for them to be said; hours are said of their type alone.
+NEEDS = [(label, keys, () if keys == HOURS else tuple(keys.split())) for label, keys in LINES]
 ADDRESS = ("streetAddress", "addressLocality", "addressRegion", "postalCode", "addressCountry")
 NOTHING = re.compile("null|undefined|unknown|n/a", re.I)
 VALUE_CHARS, LIST_ITEMS, URLS = 500, 20, 10
@@ -85,14 +88,16 @@ def entity_lines(entity: dict, named: dict[str, dict]) -> Iterator[tuple[str, st
     first = lambda keys: next((entity[k] for k in keys.split() if entity.get(k) is not None), None)
     who = "Person" if "person" in types else "Product" if "product" in types else "Service" if types & {"service", "professionalservice"} else "Business"
     yield f"{who} name", scalar(entity.get("name"))
-    for label, keys in LINES:
+    for label, keys, needs in NEEDS:
+        if needs and entity.keys().isdisjoint(needs):
+            continue
         if label.endswith("*"):
             yield from ((label[:-1], x) for x in web_urls(entity.get(keys)))
         elif keys == "address":
             own = entity.get("address")
             if isinstance(own, dict):
                 yield label, ", ".join(x for x in (scalar(own.get(k)) for k in ADDRESS) if x)
-        elif keys == "dayOfWeek opens closes":
+        elif keys == HOURS:
             if "openinghoursspecification" in types:
                 day, opens, closes = (scalar(entity.get(k)) for k in keys.split())
                 yield label, f"{day} {opens}-{closes}".strip()

@@ -25,7 +25,7 @@ def json_ld_pages(t: Tables) -> DataFrame:
         F.lit("<html><script>var a = 1;</script>"), script(F.to_json(F.struct(F.lit("x").alias("@context"), F.struct(maker.alias("a"), product.alias("b"), answer.alias("c"), question.alias("d")).alias("@graph")))),
         F.when(k % 4 == 0, script(F.lit("{broken"))).otherwise(""), F.when(k % 5 == 0, script(F.to_json(maker))).otherwise(""),
     )
-    return t.part.select(k.alias("page_id"), html.alias("html"))
+    return t.spread("part").select(k.alias("page_id"), html.alias("html"))
 
 
 @query("""WITH l AS (SELECT p_partkey AS page_id, unnest(list_filter([

@@ -79,3 +79,11 @@ def test_relations_without_urls(spark):
     rows = [(1, "https://a.example/x", '<link rel=canonical href=""><link href="mailto:x" rel="alternate"><link>'), (2, "https://a.example/x", None), (3, None, "<link rel='canonical' href='/y'>")]
     canonical, alternates = O.link_relations(spark.createDataFrame(rows, "page_id long, url string, html string"))
     assert canonical.where("page_id < 3").collect() == [] and [(r["page_id"], r["url"]) for r in alternates.collect()] == [(1, None)]
+
+
+def test_a_small_file_is_dealt_to_all_cores(spark):
+    from loamspark.plans.registry import Tables
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    assert t.part.rdd.getNumPartitions() < 8 <= t.spread("part").rdd.getNumPartitions()
+    assert t.spread("part").exceptAll(t.part).isEmpty() and t.spread("part").count() == t.part.count()
