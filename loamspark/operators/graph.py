@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..session import cut
+from ..session import cut, shuffled
 
 
 class CycleError(ValueError):
@@ -22,7 +22,7 @@ def resolve_redirects(redirects: DataFrame, rounds: int = 64) -> DataFrame:
     now = cut(redirects.select("src", "dst").distinct())
     for _ in range(rounds):
         step = now.select(F.col("src").alias("dst"), F.col("dst").alias("next"))
-        after = cut(now.join(step, "dst", "left").select("src", F.coalesce("next", "dst").alias("dst"), F.col("next").isNotNull().alias("moved")))
+        after = cut(now.join(shuffled(step), "dst", "left").select("src", F.coalesce("next", "dst").alias("dst"), F.col("next").isNotNull().alias("moved")))
         if not after.where("src = dst").isEmpty():
             raise CycleError("redirect cycle")
         now = after.select("src", "dst")
@@ -42,11 +42,11 @@ def chains(redirects: DataFrame) -> DataFrame:
     moving = now.limit(0).select("project", "src")
     for _ in range(most):
         step = now.select("project", F.col("src").alias("dst"), F.col("dst").alias("next"))
-        after = cut(now.join(step, ["project", "dst"], "left").select("project", "src", F.coalesce("next", "dst").alias("dst"), F.col("next").isNotNull().alias("moved")))
+        after = cut(now.join(shuffled(step), ["project", "dst"], "left").select("project", "src", F.coalesce("next", "dst").alias("dst"), F.col("next").isNotNull().alias("moved")))
         now, moving = after.select("project", "src", "dst"), after.where("moved").select("project", "src")
         if moving.isEmpty():
             break
-    return now.join(moving.withColumn("cyclic", F.lit(True)), ["project", "src"], "left").withColumn("cyclic", F.coalesce("cyclic", F.lit(False)))
+    return now.join(shuffled(moving.withColumn("cyclic", F.lit(True))), ["project", "src"], "left").withColumn("cyclic", F.coalesce("cyclic", F.lit(False)))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -61,7 +61,7 @@ def components(edges: DataFrame) -> DataFrame:
         both = edges.union(edges.select("project", "b", "a"))
         least = both.groupBy("project", "a").agg(F.min("b").alias("dst")).where("dst < a").withColumnRenamed("a", "src")
         ends = cut(chains(least).select("project", "src", "dst"))
-        to = lambda x: ends.select("project", F.col("src").alias(x), F.col("dst").alias(f"_{x}"))
+        to = lambda x: shuffled(ends.select("project", F.col("src").alias(x), F.col("dst").alias(f"_{x}")))
         found = cut(found.join(to("root"), ["project", "root"], "left").select("project", "id", F.coalesce("_root", "root").alias("root")))
         edges = edges.join(to("a"), ["project", "a"], "left").join(to("b"), ["project", "b"], "left").select("project", F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"))
         edges = cut(edges.where("a <> b").select("project", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import text as T
+from ..session import shuffled
 from .graph import chains, components
 from .knowledge import ENTITY_TYPE, mapped
 
@@ -352,14 +353,14 @@ def merges(links: DataFrame, entities: DataFrame, keys: DataFrame) -> tuple[Data
     refused; so is each group that shares a key with an entity outside it, as that key would have two owners. What is refused changes no other group.
     """
     live = entities.where("active").select("project", "id", "type")
-    fit = links.join(live.select("project", c("id").alias("a")), ["project", "a"], "left_semi").join(live.select("project", c("id").alias("b")), ["project", "b"], "left_semi")
+    fit = links.join(shuffled(live.select("project", c("id").alias("a"))), ["project", "a"], "left_semi").join(shuffled(live.select("project", c("id").alias("b"))), ["project", "b"], "left_semi")
     own = components(fit.select("project", "a", "b"))
-    mixed = own.join(live, ["project", "id"]).groupBy("project", "root").agg(F.countDistinct("type").alias("types")).where("types > 1").select("project", "root", F.lit(MERGE + "incompatible_entity_types").alias("code"))
-    owner = keys.join(own.select("project", c("id").alias("entity"), "root"), ["project", "entity"], "left").select("project", "type", "value", F.coalesce("root", "entity").alias("owner"), c("root").isNotNull().alias("moves")).distinct()
+    mixed = own.join(shuffled(live), ["project", "id"]).groupBy("project", "root").agg(F.countDistinct("type").alias("types")).where("types > 1").select("project", "root", F.lit(MERGE + "incompatible_entity_types").alias("code"))
+    owner = keys.join(shuffled(own.select("project", c("id").alias("entity"), "root")), ["project", "entity"], "left").select("project", "type", "value", F.coalesce("root", "entity").alias("owner"), c("root").isNotNull().alias("moves")).distinct()
     shared = owner.groupBy("project", "type", "value").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    torn = owner.where("moves").join(shared, ["project", "type", "value"]).select("project", c("owner").alias("root"), F.lit(MERGE + "conflicting_strong_identity_key").alias("code"))
+    torn = owner.where("moves").join(shuffled(shared), ["project", "type", "value"]).select("project", c("owner").alias("root"), F.lit(MERGE + "conflicting_strong_identity_key").alias("code"))
     refused = mixed.union(torn).groupBy("project", "root").agg(F.max("code").alias("code"))
-    done = own.join(refused, ["project", "root"], "left_anti")
+    done = own.join(shuffled(refused), ["project", "root"], "left_anti")
     return done.select("project", "id", c("root").alias("survivor")), refused.select("project", c("root").alias("survivor"), "code")
 
 
@@ -371,13 +372,13 @@ def merged_state(state: dict[str, DataFrame], done: DataFrame) -> dict[str, Data
     """
     moved = done.where("id <> survivor")
     to = lambda name: moved.select("project", c("id").alias(name), "survivor")
-    follow = lambda df, name: df.join(to(name), ["project", name], "left").withColumn(name, F.coalesce("survivor", name)).drop("survivor")
-    old = state["redirects"].select("project", "src", "dst").join(moved.select("project", c("id").alias("src")), ["project", "src"], "left_anti")
+    follow = lambda df, name: df.join(shuffled(to(name)), ["project", name], "left").withColumn(name, F.coalesce("survivor", name)).drop("survivor")
+    old = state["redirects"].select("project", "src", "dst").join(shuffled(moved.select("project", c("id").alias("src"))), ["project", "src"], "left_anti")
     ends = chains(old.union(moved.select("project", "id", "survivor")))
     aliases = follow(state["aliases"], "entity").groupBy("project", "entity", "value").agg(F.min("id").alias("id"), F.bool_or("accepted").alias("accepted"), F.count("*").alias("n"))
     keys = follow(state["keys"], "entity").groupBy("project", "entity", "type", "value", "source").agg(F.min("id").alias("id"), F.bool_or("strong").alias("strong"), F.bool_or("authoritative").alias("authoritative"), F.count("*").alias("n"))
     gone = moved.select("project", "id", F.lit(True).alias("gone"))
-    entities = state["entities"].join(gone, ["project", "id"], "left").withColumn("active", c("active") & c("gone").isNull()).drop("gone")
+    entities = state["entities"].join(shuffled(gone), ["project", "id"], "left").withColumn("active", c("active") & c("gone").isNull()).drop("gone")
     return {
         "entities": entities, "redirects": ends.where("not cyclic and src <> dst").drop("cyclic"), "cycles": ends.where("cyclic").select("project", "src"),
         "aliases": aliases, "keys": keys, "ownership": follow(state["ownership"], "entity"),
