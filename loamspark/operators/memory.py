@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import text as T
-from ..session import shuffled
+from ..session import shuffled, stored
 from .graph import chains, components
 from .knowledge import ENTITY_TYPE, mapped
 
@@ -190,7 +190,11 @@ def rebuild_plan(state: DataFrame, now: DataFrame, force: bool = False) -> DataF
 
 
 def rebuild(previous: dict[str, DataFrame], inputs: dict[str, DataFrame], plan: DataFrame) -> dict[str, DataFrame]:
-    """The memory after a plan. Only projects that it creates, rebuilds or reconstructs are built; others keep their rows."""
+    """The memory after a plan. Only projects that it creates, rebuilds or reconstructs are built; others keep their rows.
+
+    The plan is stored, as every table of the inputs and of the memory meets it: else its two states would be built for each of them.
+    """
+    plan = stored(plan.select("project", "action"), "plan")
     moved = plan.where(c("action").isin("create", "rebuild", "reconstruct")).select("project")
     kept = plan.where(c("action").isin("keep", "refresh")).select("project")
     new = build({name: df.join(moved, "project", "left_semi") for name, df in inputs.items()})
