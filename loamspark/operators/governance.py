@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import cut, shuffled
 
 c = F.col
 ENTRY = ["project", "kind", "entry"]
@@ -87,18 +88,19 @@ def publish(stored: dict[str, DataFrame], staged: dict[str, DataFrame]) -> tuple
 
     A staged row that is stored already is a replay and writes nothing. One whose id is stored with other content is a
     conflict: nothing of its project is published. What is published is then looked up again, null-safe in every column.
+    The projects held back and both tables are stored, as a publication is read again by its checks.
     """
     held = None
     for name in ("reviews", "trusted"):
-        known = staged[name].join(stored[name].select("id"), "id", "left_semi")
-        clash = unequal(known, stored[name], "id").select("project", F.lit(f"canonical_governance_{name}_conflict").alias("code"))
+        known = staged[name].join(shuffled(stored[name].select("id")), "id", "left_semi")
+        clash = unequal(known, shuffled(stored[name]), "id").select("project", F.lit(f"canonical_governance_{name}_conflict").alias("code"))
         held = clash if held is None else held.union(clash)
-    held = held.groupBy("project").agg(F.min("code").alias("code"))
+    held = cut(held.groupBy("project").agg(F.min("code").alias("code")))
     after = {}
     for name in ("reviews", "trusted"):
         rows = stored[name]
-        fresh = staged[name].join(held, "project", "left_anti").join(rows.select("id"), "id", "left_anti").select(rows.columns)
-        after[name] = rows.unionByName(fresh)
+        fresh = staged[name].join(shuffled(held), "project", "left_anti").join(shuffled(rows.select("id")), "id", "left_anti").select(rows.columns)
+        after[name] = cut(rows.unionByName(fresh))
     return after, held
 
 
@@ -106,6 +108,6 @@ def mismatches(after: dict[str, DataFrame], staged: dict[str, DataFrame], held:
     """X34g: postconditions: project and code of staged rows that were published, but aren't found as they were staged."""
     out = None
     for name in ("reviews", "trusted"):
-        bad = unequal(staged[name].join(held, "project", "left_anti"), after[name], "id").select("project", "id", F.lit(f"canonical_governance_completion_{name}_mismatch").alias("code"))
+        bad = unequal(staged[name].join(shuffled(held), "project", "left_anti"), shuffled(after[name]), "id").select("project", "id", F.lit(f"canonical_governance_completion_{name}_mismatch").alias("code"))
         out = bad if out is None else out.union(bad)
     return out

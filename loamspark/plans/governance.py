@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import governance as O
+from ..session import cut, shuffled
 from .memory import _pick, _sha
 from .registry import Tables, query
 
@@ -76,6 +77,7 @@ def x34g_published(t: Tables) -> DataFrame:
     """Projects' new rows; where a stored review has another content nothing is published; a replay of the rest writes nothing."""
     moves, stored = _tables(t)
     staged = O.stage(moves, stored["claims"], stored["evidence"], stored["trusted"])
+    staged = {name: cut(staged[name]) for name in ("reviews", "trusted")}
     clash = staged["reviews"].where("cast(substring(entry, 2, 20) as long) % 19 = 0").withColumn("status", F.lit("other"))
     before = {"reviews": clash, "trusted": stored["trusted"]}
     after, held = O.publish(before, staged)
@@ -84,7 +86,7 @@ def x34g_published(t: Tables) -> DataFrame:
     count = lambda df, name: df.groupBy("project").agg(F.count("*").alias(name))
     out = staged["reviews"].select("project").distinct()
     for name, table, old in (("new_reviews", after["reviews"], before["reviews"]), ("new_trusted", after["trusted"], before["trusted"])):
-        out = out.join(count(table.join(old.select("id"), "id", "left_anti"), name), "project", "left")
-    replayed = again["reviews"].select("project", "id").join(after["reviews"].select("id"), "id", "left_anti")
+        out = out.join(count(table.join(shuffled(old.select("id")), "id", "left_anti"), name), "project", "left")
+    replayed = again["reviews"].select("project", "id").join(shuffled(after["reviews"].select("id")), "id", "left_anti")
     out = out.join(count(replayed, "replayed"), "project", "left").join(count(bad, "mismatches"), "project", "left").join(held.select("project", F.lit(True).alias("held")), "project", "left")
     return out.select("project", *(F.coalesce(n, F.lit(0)).alias(n) for n in ("new_reviews", "new_trusted", "replayed", "mismatches")), F.coalesce("held", F.lit(False)).alias("held"))
