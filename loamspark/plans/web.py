@@ -44,7 +44,7 @@ def x3c_page_titles(t: Tables) -> DataFrame:
            (SELECT source AS site, doc_id AS page_id, unnest(string_split(coalesce(text, ''), chr(10))) AS text FROM documents)
            WHERE {R.clean('text')} <> '' AND NOT {R.is_match('text', O.PROTECTED)} GROUP BY ALL HAVING count(DISTINCT page_id) >= {O.PAGES}""")
 def a8_site_boilerplate(t: Tables) -> DataFrame:
-    return O.boilerplate(_blocks(t))
+    return O.boilerplate(_blocks(t, t.spread("documents").select("doc_id", "source", "text")))
 
 
 X4_SQL = rf"""
@@ -84,4 +84,4 @@ def x4_canonical_urls(t: Tables) -> DataFrame:
 def p13_text_gates(t: Tables) -> DataFrame:
     c = F.col("text")
     nav = F.size(F.regexp_extract_all(F.lower(c), F.lit(T.ascii_words(r"\b(?:home|about|services|products|contact|blog|pricing|login|menu)\b")), F.lit(0))) >= 6
-    return t.documents.select("doc_id", (F.length(c) < 80).alias("too_short"), T.matches(c, O.PROTECTED).alias("protected"), (nav & T.matches(c, r"\b(?:privacy|terms|rights reserved)\b")).alias("chrome"))
+    return t.documents.select("doc_id", (F.length(c) < 80).alias("too_short"), O.protected(c).alias("protected"), (nav & T.matches(c, r"\b(?:privacy|terms|rights reserved)\b")).alias("chrome"))
