@@ -65,7 +65,7 @@ X4_SQL = rf"""
 def x4_page_dedup(t: Tables) -> DataFrame:
     section = F.element_at(F.array(*map(F.lit, SECTIONS)), (F.col("doc_id") % len(SECTIONS) + 1).cast("int"))
     url = F.concat(F.lit("https://"), "source", F.lit(".example.com/"), section, F.lit("/"), F.col("doc_id").cast("string"))
-    return O.deduplicate(t.documents.select(F.col("source").alias("site"), F.col("doc_id").alias("page_id"), url.alias("url"), "text"))
+    return O.deduplicate(t.spread("documents").select(F.col("source").alias("site"), F.col("doc_id").alias("page_id"), url.alias("url"), "text"))
 
 
 @query(DUCK_URL + """, r AS (SELECT page_id, origin || short AS key, length(url) AS n FROM q)
