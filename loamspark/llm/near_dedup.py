@@ -255,18 +255,22 @@ def _differences(v: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(v, np.int64, len(v) // 16), np.frombuffer(v, np.float64, len(v) // 16, len(v) // 2)
 
 
-def difference_counts(rows: DataFrame) -> DataFrame:
-    """pivot, token and n, the number of members of the pivot that have this difference."""
+def frequent_differences(rows: DataFrame, often: float) -> DataFrame:
+    """pivot, token and n, the number of members of the pivot that have this difference, for the frequent ones.
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in batches:
-            own = [_differences(v)[0] for v in x["differences"]]
-            pairs = pd.DataFrame({"pivot": np.repeat(x["pivot"].to_numpy(), [len(t) for t in own]), "token": np.concatenate(own) if own else np.zeros(0, np.int64)})
-            yield pairs.groupby(["pivot", "token"], as_index=False).size().rename(columns={"size": "n"})
+    Each part of a pivot's members names those that more than half of ``often`` of its members have, and two at
+    least: a bounded number of times what a member has, however large the group is. So n is too low by half of
+    ``often`` of the members and one a part at most. Any n is right for the links: it only orders the differences.
+    """
+
+    def count(part: pd.DataFrame) -> pd.DataFrame:
+        token, n = np.unique(np.concatenate([_differences(v)[0] for v in part["differences"]]), return_counts=True)
+        kept = n > max(1, often / 2 * len(part))
+        return pd.DataFrame({"pivot": part["pivot"].iloc[0], "token": token[kept], "n": n[kept]})
 
     kind = dict(rows.dtypes)["pivot"]
-    counted = rows.select("pivot", "differences").mapInPandas(count, f"pivot {kind}, token long, n long")
-    return counted.groupBy("pivot", "token").agg(F.sum("n").alias("n"))
+    named = rows.select("pivot", "part", "differences").groupBy("pivot", "part").applyInPandas(count, f"pivot {kind}, token long, n long")
+    return named.groupBy("pivot", "token").agg(F.sum("n").alias("n"))
 
 
 @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("token", T.LongType()), T.StructField("short", T.BooleanType()), T.StructField("left", T.DoubleType()), T.StructField("size", T.DoubleType())])))
@@ -349,7 +353,7 @@ def links(spark: SparkSession, docs: DataFrame, unique: DataFrame, idf: Broadcas
     if mixed.isEmpty():
         return tested.union(near).where("linked").select("a", "b")
     large = scratch.keep(large.join(copied(mixed).drop("parts", "n"), ["pivot", "part"]), "large")
-    frequent = difference_counts(large).join(mixed.select("pivot", F.col("n").alias("members"), "parts"), "pivot").where(F.col("n") > p.often * F.col("members"))
+    frequent = frequent_differences(large, p.often).join(mixed.select("pivot", F.col("n").alias("members"), "parts"), "pivot").where(F.col("n") > p.often * F.col("members"))
     # At most 1 / often times as many as a member has on average.
     frequent = frequent.groupBy("pivot").agg(F.collect_list(F.struct("token", "n")).alias("frequent"), F.max("parts").alias("parts"))
     rows = large.join(copied(frequent).drop("parts"), ["pivot", "part"], "left")

@@ -105,3 +105,13 @@ def test_a_bucket_of_unlike_texts_loses_no_link(spark):
         return least
 
     assert 20 <= len(want) < 500 and found <= want and component(found) == component(want)
+
+
+def test_a_pivot_with_many_near_copies_counts_only_its_frequent_differences(spark):
+    """Each part of a group names a bounded number of differences, however many its members have; the frequent ones are all there."""
+    import numpy as np
+
+    own = [[10**6 * (i + 1) + j for j in range(20)] + [7, *([8] if i % 4 == 0 else [])] for i in range(256)]
+    packed = [np.array(t, np.int64).tobytes() + np.ones(len(t)).tobytes() for t in own]
+    rows = spark.createDataFrame([("p", i % 2, v) for i, v in enumerate(packed)], "pivot string, part int, differences binary")
+    assert sorted(tuple(r) for r in N.frequent_differences(rows, 1 / 16).collect()) == [("p", 7, 256), ("p", 8, 64)]
