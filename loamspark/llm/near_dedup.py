@@ -45,7 +45,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -273,19 +273,32 @@ def frequent_differences(rows: DataFrame, often: float) -> DataFrame:
     return named.groupBy("pivot", "token").agg(F.sum("n").alias("n"))
 
 
-@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("token", T.LongType()), T.StructField("short", T.BooleanType()), T.StructField("left", T.DoubleType()), T.StructField("size", T.DoubleType())])))
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("token", T.LongType()), *(T.StructField(k, T.BooleanType()) for k in ("often", "short")), *(T.StructField(k, T.DoubleType()) for k in ("left", "size"))])))
 def prefix(differences: pd.Series, short: pd.Series, long: pd.Series, frequent: pd.Series) -> pd.Series:
-    """The first differences, frequent ones last, until ``long`` is left; whether ``short`` is left; what is left; and of how much."""
+    """The first differences, frequent ones last, until ``long`` is left; whether it is frequent and ``short`` is left; what is left; and of how much."""
     out = []
     for v, a, b, last in zip(differences, short, long, frequent, strict=True):
         token, size = _differences(v)
         times = dict((t["token"], t["n"]) for t in last) if last is not None else {}
         order = np.lexsort((token, [times.get(t, 0) for t in token.tolist()]))
         left = size.sum() - np.concatenate(([0.0], np.cumsum(size[order])[:-1]))
-        out.append([{"token": int(t), "short": bool(n >= a), "left": float(n), "size": float(size.sum())} for t, n in zip(token[order].tolist(), left, strict=True) if n >= b])
+        out.append([{"token": t, "often": t in times, "short": bool(n >= a), "left": float(n), "size": float(size.sum())} for t, n in zip(token[order].tolist(), left, strict=True) if n >= b])
     return pd.Series(out, dtype=object)
 
 
+def sharing(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """The rows of each ``group`` that holds two or more, not all linked, with n, how many it holds; without ``often``.
+
+    Most differences are one member's own, so those that are not frequent ones, at most about a tenth of a pivot's
+    members each, are counted where they meet, and only the rows of shared ones come out of that one shuffle.
+    """
+    own = Window.partitionBy("group")
+    seldom = rows.where("not often").withColumns({"n": F.count("*").over(own), "all": F.min("linked").over(own)})
+    often = rows.where("often")
+    groups = scratch.keep(often.groupBy("group").agg(F.count("*").alias("n"), F.min("linked").alias("all")).where("n > 1 and not all").drop("all"), "groups")
+    return attach(often, groups, "group", "n").unionByName(seldom.where("n > 1 and not all").drop("all")).drop("often")
+
+
 def links(spark: SparkSession, docs: DataFrame, unique: DataFrame, idf: Broadcast, p: Params, scratch: Scratch) -> DataFrame:
     """Verified links (a, b) between different texts, ``unique`` holding doc_id and band keys.
 
@@ -358,9 +371,8 @@ def links(spark: SparkSession, docs: DataFrame, unique: DataFrame, idf: Broadcas
     frequent = frequent.groupBy("pivot").agg(F.collect_list(F.struct("token", "n")).alias("frequent"), F.max("parts").alias("parts"))
     rows = large.join(copied(frequent).drop("parts"), ["pivot", "part"], "left")
     rows = rows.select("pivot", "doc_id", "linked", F.explode(prefix("differences", "short", "long", "frequent")).alias("at"))
-    rows = scratch.keep(rows.select(F.xxhash64("pivot", "at.token").alias("group"), "doc_id", "linked", "at.short", "at.left", "at.size"), "prefixes")
-    groups = scratch.keep(rows.groupBy("group").agg(F.count("*").alias("n"), F.min("linked").alias("all")).where("n > 1 and not all").drop("all"), "groups")
-    rows = attach(rows, groups, "group", "n").withColumn("parts", F.ceil(F.col("n") / p.part).cast("int")).join(sized, "doc_id")
+    rows = scratch.keep(rows.select(F.xxhash64("pivot", "at.token").alias("group"), "doc_id", "linked", "at.often", "at.short", "at.left", "at.size"), "prefixes")
+    rows = sharing(rows, scratch).withColumn("parts", F.ceil(F.col("n") / p.part).cast("int")).join(sized, "doc_id")
     # A large group is cut into parts; each pair of parts is a cell of its own.
     rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     rows = scratch.keep(rows.withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")}), "cells")

@@ -115,3 +115,21 @@ def test_a_pivot_with_many_near_copies_counts_only_its_frequent_differences(spar
     packed = [np.array(t, np.int64).tobytes() + np.ones(len(t)).tobytes() for t in own]
     rows = spark.createDataFrame([("p", i % 2, v) for i, v in enumerate(packed)], "pivot string, part int, differences binary")
     assert sorted(tuple(r) for r in N.frequent_differences(rows, 1 / 16).collect()) == [("p", 7, 256), ("p", 8, 64)]
+
+
+def test_differences_of_one_member_only_meet_no_join(spark, monkeypatch):
+    """Rows of frequent differences are joined to their counts; of the others only the shared ones are left, and no link is lost."""
+    given, attach = [], N.attach
+
+    def seen(rows, groups, key, count):
+        given.append(sorted({r["group"] for r in rows.collect()}))
+        return attach(rows, groups, key, count)
+
+    monkeypatch.setattr(N, "attach", seen)
+    own = [(100 * i + j, str(i), i < 2, False) for i in range(1, 9) for j in range(20)]  # each member's own
+    shared = [(7, str(i), i < 2, True) for i in range(1, 9)] + [(8, str(i), i < 2, False) for i in (1, 5)] + [(9, str(i), False, False) for i in (4, 5)]
+    linked = [(10, str(i), True, False) for i in (0, 1)]  # all linked with the pivot
+    rows = spark.createDataFrame(own + shared + linked, "group long, doc_id string, linked boolean, often boolean")
+    got = sorted(tuple(r) for r in N.sharing(rows, N.Scratch(spark, "test")).select("group", "doc_id", "linked", "n").collect())
+    assert got == sorted([(7, str(i), i < 2, 8) for i in range(1, 9)] + [(8, "1", True, 2), (8, "5", False, 2), (9, "4", False, 2), (9, "5", False, 2)])
+    assert given == [[7]]
