@@ -2,8 +2,8 @@
 
 Features are all runs of one to three words. A distinct-feature dictionary holds each n-gram string
 once: every task counts the different strings of its documents, in chunks of words; the strings and
-their counts are dealt over parts by a hash, compressed; each part adds up the counts of equal
-strings and hashes each different one once into its bucket; the buckets are summed. So the source
+their counts are dealt over parts by a hash of their first word, compressed; each part adds up the counts
+of equal strings and hashes each different one once into its bucket; the buckets are summed. So the source
 (all documents) and the target (all benchmark texts) have one count for each bucket, and each bucket
 a gain, the logarithm of how much likelier the target makes it. The gains, one row for each bucket,
 are joined back to the feature counts of each document, again hashing a string once in a chunk.
@@ -46,8 +46,9 @@ class Params:
     least_words: int = 20
     percent: int = 5  #: of the documents that are long enough
     seed: int = 42
-    block: int = 6_000_000  #: characters of a block of texts, about
-    chunk: int = 1 << 21  #: words whose features are counted at once
+    block: int = 8_000_000  #: characters of a block of texts, about
+    chunk: int = 2_000_000  #: words whose features are counted at once
+    followers: int = 64  #: longest features of a chunk that start with the same words, beyond which more words deal them
     part: int = 16_000_000  #: characters of the texts for each part of the dictionary, about
 
 
@@ -107,62 +108,126 @@ def _least(x: np.ndarray) -> np.ndarray:
     return x.astype(np.min_scalar_type(int(x.max(initial=0))))
 
 
+def _key(word: list[np.ndarray], base: int) -> np.ndarray:
+    key = word[0].astype(np.int64)
+    for x in word[1:]:
+        key = key * base + x
+    return key
+
+
+def _added(word: list[np.ndarray], count: np.ndarray, longer: list[np.ndarray], more: np.ndarray, base: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Features and counts, with ``more`` added for the start of each longer feature; those that come to 0 are left out."""
+    n = len(word)
+    key, back = np.unique(np.concatenate((_key(word, base), _key(longer[:n], base))), return_inverse=True)
+    total = np.bincount(back, np.concatenate((count, more)), len(key)).astype(np.int64)
+    key, total = key[total != 0], total[total != 0]
+    return [key // base**i % base for i in range(n - 1, -1, -1)], total
+
+
 def _packed(dictionary: pa.Array, own: list[tuple[list[np.ndarray], np.ndarray]]) -> bytes:
-    """Features of each length, as numbers of the words that occur here, and their counts, compressed."""
+    """Features of each length, as numbers of the words that occur here, and their counts, compressed.
+
+    Of two words or more, only what a count differs from those of the longer features that start with it is kept:
+    nothing for most, since a part holds the longer ones too.
+    """
     used, number = np.unique(np.concatenate([x for word, _ in own for x in word]), return_inverse=True)
-    words = dictionary.take(pa.array(used))
-    offsets, data = places(words)
-    arrays, at = [_least(np.diff(offsets)), data[offsets[0] : offsets[-1]]], 0
-    for word, count in own:
-        arrays.append(_least(count))
-        for k, x in enumerate(word):
-            back = number[at : at + len(x)]
-            at += len(x)
-            arrays.append(_least(back if k else np.diff(back, prepend=0)))  # in order of the first word
-    codec = pa.Codec("zstd", 3)
-    packed = [bytes(codec.compress(x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes())) for x in arrays]  # bytes of one place together
-    head = np.array([len(arrays), *(v for x, y in zip(arrays, packed, strict=True) for v in (x.itemsize, x.nbytes, len(y)))], np.int64)
-    return head.tobytes() + b"".join(packed)
+    offsets, data = places(dictionary.take(pa.array(used)))
+    each = np.split(number, np.cumsum([len(x) for word, _ in own for x in word])[:-1])
+    own = [([each.pop(0) for _ in word], count) for word, count in own]
+    arrays = [np.diff(offsets), data[offsets[0] : offsets[-1]]]
+    for n, (word, count) in enumerate(own, 1):
+        if 1 < n < len(own):
+            longer, more = own[n]
+            word, count = _added(word, count, longer, -more, len(used))
+        arrays += [(count << 1) ^ (count >> 63), np.diff(word[0], prepend=0), *word[1:]]  # signs last; in order of the first word
+    arrays = [_least(x) for x in arrays]
+    head = np.array([len(arrays), *(v for x in arrays for v in (x.itemsize, len(x)))], np.uint32)
+    raw = head.tobytes() + b"".join(x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes() for x in arrays)  # bytes of one place together
+    return len(raw).to_bytes(8, "little") + bytes(pa.Codec("zstd", 3).compress(raw))
 
 
 def _unpacked(value: bytes, k: int) -> tuple[pa.Array, np.ndarray]:
     """The features of k words as strings, and their counts."""
-    n = int(np.frombuffer(value, np.int64, 1)[0])
-    head, codec = np.frombuffer(value, np.int64, 3 * n, 8).reshape(n, 3), pa.Codec("zstd")
-    place = 8 + 24 * n + np.concatenate(([0], np.cumsum(head[:, 2])))
+    raw = bytes(pa.Codec("zstd").decompress(value[8:], int.from_bytes(value[:8], "little")))
+    n = int(np.frombuffer(raw, np.uint32, 1)[0])
+    head = np.frombuffer(raw, np.uint32, 2 * n, 4).astype(np.int64).reshape(n, 2)
+    place = 4 + 8 * n + np.concatenate(([0], np.cumsum(head.prod(axis=1))))
 
     def array(i: int) -> np.ndarray:
-        planes = np.frombuffer(bytes(codec.decompress(value[place[i] : place[i + 1]], int(head[i, 1]))), np.uint8).reshape(int(head[i, 0]), -1)
-        return np.ascontiguousarray(planes.T).view(f"u{head[i, 0]}").ravel()
+        planes = np.frombuffer(raw, np.uint8, place[i + 1] - place[i], place[i]).reshape(head[i, 0], -1)
+        return np.ascontiguousarray(planes.T).view(f"u{head[i, 0]}").ravel().astype(np.int64)
+
+    def features(k: int) -> tuple[list[np.ndarray], np.ndarray]:
+        at = 2 + sum(range(2, k + 1))  # before: a column of counts and one for each word, of each smaller length
+        count, word = array(at), [np.cumsum(array(at + 1)), *(array(at + 1 + i) for i in range(1, k))]
+        count = (count >> 1) ^ -(count & 1)
+        return _added(word, count, *features(k + 1), len(lengths)) if k > 1 and at + 1 + k < n else (word, count)
+
+    lengths = array(0)
+    offsets = np.concatenate(([0], np.cumsum(lengths)))
+    words = pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(raw[place[1] : place[2]])])
+    word, count = features(k)
+    return strings(words, word), count
+
 
-    offsets = np.concatenate(([0], np.cumsum(array(0), dtype=np.int64)))
-    words = pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(array(1).tobytes())])
-    at = 2 + sum(range(2, k + 1))  # before: a column of counts and one for each word, of each smaller length
-    return strings(words, [np.cumsum(array(at + 1), dtype=np.int64), *(array(at + 1 + i).astype(np.int64) for i in range(1, k))]), array(at).astype(np.int64)
+def _hash(word_hash: np.ndarray, word: list[np.ndarray]) -> np.ndarray:
+    h = np.zeros(len(word[0]), np.uint64)
+    for x in word:
+        h = h * BASE + word_hash[x] + np.uint64(1)
+    return h
+
+
+def followed(word: list[np.ndarray], p: Params) -> list[np.ndarray]:
+    """The different rows of ``word``, sorted ones, that occur more than ``followers`` times."""
+    first = np.flatnonzero(np.logical_or.reduce([np.diff(x, prepend=-1) != 0 for x in word]))
+    first = first[np.diff(np.append(first, len(word[0]))) > p.followers]
+    return [x[first] for x in word]
 
 
 def counted_features(texts: DataFrame, parts: int, p: Params) -> DataFrame:
-    """part and packed: the different features of each chunk with their counts, dealt over ``parts``."""
+    """part and packed: the different features of each chunk with their counts, dealt over ``parts``.
+
+    Features go where their first word does, so that a part seldom repeats a word or a shorter feature. Those of a word
+    that starts many are dealt by their first two words, and those of such a pair by all: the same feature of two chunks
+    may then lie in two parts, which changes no sum.
+    """
     schema = pa.schema([("part", pa.int32()), ("packed", pa.binary())])
 
     def dealt(dictionary: pa.Array, own: list[Features]) -> Iterator[tuple[int, bytes]]:
         word_hash, out = crc32(dictionary).astype(np.uint64), []
+        heavy, pair = followed(own[-1].word[:1], p), followed(own[-1].word[:2], p)
         for f in own:
-            h = np.zeros(len(f.count), np.uint64)
-            for x in f.word:
-                h = h * BASE + word_hash[x] + np.uint64(1)
+            h = _hash(word_hash, f.word[:1])
+            if len(f.word) > 1:
+                h = np.where(np.isin(f.word[0], heavy[0]), _hash(word_hash, f.word[:2]), h)
+            if len(f.word) > 2:
+                base = np.int64(len(dictionary))
+                h = np.where(np.isin(_key(f.word[:2], base), _key(pair, base)), _hash(word_hash, f.word), h)
             part = (mix(h) % np.uint64(parts)).astype(np.int32)
             order = np.argsort(part, kind="stable")
             out.append(([x[order] for x in f.word], f.count[order], np.searchsorted(part[order], np.arange(parts + 1))))
         for k in np.flatnonzero(sum(np.diff(edge) for _, _, edge in out)).tolist():
             yield k, _packed(dictionary, [([x[edge[k] : edge[k + 1]] for x in word], count[edge[k] : edge[k + 1]]) for word, count, edge in out])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[str]]:
+        """Texts of several batches, as long as they fit a block."""
+        held, size = [], 0
         for x in batches:
-            for _, block in slices(x, p.block):
-                for chunk in chunks(words_of(block), p, False):
-                    for k, packed in dealt(*chunk):
-                        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([packed], pa.binary())], schema=schema)
+            for _, texts in slices(x, p.block):
+                more = sum(len(t) + 1 for t in texts)
+                if held and size + more > p.block:
+                    yield held
+                    held, size = [], 0
+                held, size = held + texts, size + more
+        if held:
+            yield held
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches):
+            for chunk in chunks(words_of(block), p, False):
+                for k, packed in dealt(*chunk):
+                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([packed], pa.binary())], schema=schema)
+            pa.default_memory_pool().release_unused()
 
     return texts.select(F.lit(0).alias("none"), "text").mapInArrow(run, "part int, packed binary")
 
@@ -176,14 +241,18 @@ def bucket_counts(texts: DataFrame, p: Params = Params()) -> np.ndarray:
         packed, total = rows["packed"].to_pylist(), np.zeros(p.buckets, np.int64)
         for k in range(1, p.longest + 1):  # features of different lengths are never equal
             each = [_unpacked(v, k) for v in packed]
-            n = np.concatenate([x[1] for x in each])
-            known = pa.concat_arrays([x[0] for x in each]).dictionary_encode()
+            for r in range(4):  # equal features are equally long, so a quarter of the strings is numbered at a time
+                own = [np.diff(places(x)[0]) % 4 == r for x, _ in each]
+                n = np.concatenate([y[m] for (_, y), m in zip(each, own, strict=True)])
+                if not len(n):
+                    continue
+                known = pa.chunked_array([x.filter(pa.array(m)) for (x, _), m in zip(each, own, strict=True)]).dictionary_encode().combine_chunks()
+                count = np.bincount(known.indices.to_numpy(), n, len(known.dictionary)).astype(np.int64)
+                known = known.dictionary
+                for a in range(0, len(count), 1 << 17):
+                    np.add.at(total, buckets(known.slice(a, 1 << 17), p), count[a : a + (1 << 17)])
+                del known, own
             del each
-            count = np.bincount(known.indices.to_numpy(), n, len(known.dictionary)).astype(np.int64)
-            known = known.dictionary
-            for a in range(0, len(count), 1 << 18):
-                np.add.at(total, buckets(known.slice(a, 1 << 18), p), count[a : a + (1 << 18)])
-            del known
             pa.default_memory_pool().release_unused()
         at = np.flatnonzero(total)
         return pa.table({"bucket": pa.array(at, pa.int32()), "n": pa.array(total[at])})
@@ -229,7 +298,7 @@ def scored(spark: SparkSession, docs: DataFrame, gain: np.ndarray, p: Params) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            for ids, texts in slices(x, p.block // 4):
+            for ids, texts in slices(x, p.block // 5):
                 n, features, weight = weigh(texts, shared.value, p)
                 score = weight + np.array([noise(i, p.seed) for i in ids], np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in (ids, n, features, weight, score)], schema=schema)

@@ -86,3 +86,26 @@ def test_packed_features_come_back():
         for k, f in enumerate(own, 1):
             features, count = R._unpacked(packed, k)
             assert features.to_pylist() == R.strings(dictionary, f.word).to_pylist() and count.tolist() == f.count.tolist()
+
+
+@pytest.mark.parametrize("followers", [64, 2])
+def test_features_are_dealt_by_their_first_words(spark, followers):
+    """A word's features lie in one part unless it starts very many; no count is lost or found twice either way."""
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(["the", "the", f"w{rng.randrange(40)}"]) for _ in range(rng.randrange(60))) for _ in range(30)]
+    p = R.Params(followers=followers, block=2000, part=400)
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(2)
+    where, got = {}, Counter()
+    for part, packed in R.counted_features(docs, 7, p).collect():
+        for k in (1, 2, 3):
+            features, count = R._unpacked(bytes(packed), k)
+            got.update(dict(zip(features.to_pylist(), count.tolist(), strict=True)))
+            for f in features.to_pylist():
+                where.setdefault(f.split()[0], set()).add(part)
+    want = Counter(" ".join(w[i : i + k]).encode() for w in (t.split() for t in texts) for k in (1, 2, 3) for i in range(len(w) - k + 1))
+    assert got == want
+    assert (len(where[b"the"]) > 1) and (followers == 2 or sum(len(v) == 1 for v in where.values()) == 40)
+    total = [0] * p.buckets
+    for f, n in want.items():
+        total[zlib.crc32(f) % p.buckets] += n
+    assert R.bucket_counts(docs, p).tolist() == total
